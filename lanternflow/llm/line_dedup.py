@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lanternflow.llm import core
 from lanternflow.llm.core import U64, column, mix, numbers
 
-#: Most lines whose arrays are broadcast: about 1.5 MB.
-HOT = 65_536
+#: Most lines whose arrays are broadcast: about 200 KB.
+HOT = 8_192
 MIN_CHARS = 10
 
 
@@ -162,14 +162,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, hot_lines: int = HO
     shards = core.parts(spark)
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")
     base = core.with_rest(docs)
-    if known.where(F.col("n") < floor).isEmpty():
-        joined = base.withColumn("drop", F.lit(None).cast("array<bigint>"))
-    else:
-        asks = core.arrow_map(core.id_text(docs), _asks(hot, min_chars), "h long, mark long, doc_id long").withColumn("shard", shard)
-        cold = known.where(F.col("n") < floor).withColumn("shard", shard)
-        answers = cold.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(_answer, "doc_id long, h long")
-        drops = answers.groupBy("doc_id").agg(F.collect_list("h").alias("drop"))
-        joined = base.join(drops.hint("shuffle_hash"), "doc_id", "left")
+    asks = core.arrow_map(core.id_text(docs), _asks(hot, min_chars), "h long, mark long, doc_id long").withColumn("shard", shard)
+    cold = known.where(F.col("n") < floor).withColumn("shard", shard)
+    answers = cold.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(_answer, "doc_id long, h long")
+    drops = answers.groupBy("doc_id").agg(F.collect_list("h").alias("drop"))
+    joined = base.join(drops.hint("shuffle_hash"), "doc_id", "left")
     out = core.schema_of("doc_id long, n_lines long, n_dropped long, text string", rest=base.schema["rest"].dataType)
     return joined.select("doc_id", "text", "drop", "rest").mapInArrow(_rewriter(hot, min_chars), out)
 
