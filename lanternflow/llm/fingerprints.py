@@ -34,11 +34,9 @@ STEP = 1 << 20
 NONE = 0xFFFF
 
 
-def _uniform(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers of (0, 1) from each hash."""
-    one = ((h >> U64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
-    two = ((h & U64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
-    return one, two
+def _uniforms(h: np.ndarray) -> list[np.ndarray]:
+    """Three numbers of (0, 1) from each hash."""
+    return [(((h >> U64(s)) & U64(0x1FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-21) for s in (43, 22, 1)]
 
 
 def weighted_samples(term: np.ndarray, weight: np.ndarray, samples: int) -> np.ndarray:
@@ -47,20 +45,30 @@ def weighted_samples(term: np.ndarray, weight: np.ndarray, samples: int) -> np.n
     lw = np.log(weight.astype(np.float32))
     for k in range(samples):
         h = mix(term + U64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        u1, u2 = _uniform(h)
+        u1, u2, b = _uniforms(h)
         h = mix(h + U64(0xD1B54A32D192ED03))
-        u3, u4 = _uniform(h)
-        b = _uniform(mix(h + U64(0x8CB92BA72F3D8DD7)))[0]
+        u3, u4, _ = _uniforms(h)
         r, lc = -np.log(u1 * u2), np.log(-np.log(u3 * u4))
         t = np.floor(lw / r + b)
         la = lc - r * (t - b + np.float32(1))
         bits = la.view(np.uint32)
         bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)
-        tag = mix(h ^ (t.astype(np.int64).view(np.uint64) * U64(0x9FB21C651E98DF25))) >> U64(32)
+        tag = (h ^ (t.astype(np.int64).view(np.uint64) * U64(0x9FB21C651E98DF25))) >> U64(32)
         out[:, k] = (bits << U64(32)) | tag
     return out
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the place of each key among them."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    back = np.empty(len(s), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return s[new], back
+
+
 def fingerprints(data: np.ndarray, off: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """A row of 16-bit samples for each text."""
     words = core.Words(data, off)
@@ -68,15 +76,14 @@ def fingerprints(data: np.ndarray, off: np.ndarray, samples: int = SAMPLES) -> n
     out = np.full((n, samples), NONE, np.uint16)
     if not len(words.hash):
         return out
-    order = np.lexsort((words.hash, words.doc))
-    h, doc = words.hash[order], words.doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    weight = np.diff(np.append(at, len(h)))
-    term, doc = h[at], doc[at]
-    pair, back = np.unique(np.rec.fromarrays([term, weight]), return_inverse=True)
-    table = weighted_samples(np.ascontiguousarray(pair["f0"]), np.ascontiguousarray(pair["f1"]), samples)
+    terms, back = _distinct(words.hash)
+    key = np.sort(words.doc * len(terms) + back)
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    weight = np.diff(np.append(at, len(key)))
+    doc, term = np.divmod(key[at], len(terms))
+    top = int(weight.max()) + 1
+    pair, back = _distinct(term * top + weight)
+    table = weighted_samples(terms[pair // top], pair % top, samples)
     full = np.flatnonzero(np.bincount(doc, minlength=n))
     first = np.searchsorted(doc, full)
     stop = np.append(first[1:], len(doc))
