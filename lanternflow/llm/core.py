@@ -230,9 +230,12 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def unique_per_doc(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each text, ascending within it, and where each text's run begins."""
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    """Distinct hashes of each text, ascending within it, and where each text's run begins (texts must be in order)."""
+    h = h.copy()
+    cut = np.searchsorted(doc, np.arange(n_docs + 1))
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if e - s > 1:
+            h[s:e].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[keep], doc[keep]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternflow.llm import bpe, compression_rules, fingerprints, line_dedup, packing, pii
+from lanternflow.llm import bpe, compression_rules, fingerprints, line_dedup, packing, pii, quality_classifier
 
-MODULES = (bpe, compression_rules, fingerprints, line_dedup, packing, pii)
+MODULES = (bpe, compression_rules, fingerprints, line_dedup, packing, pii, quality_classifier)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in MODULES for k, q in m.SQL.items()}
