@@ -76,17 +76,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, per_file: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
     This cuts the lineage so that a lost executor costs one read, and lets
     several later steps use the rows without computing them anew.  Spark
-    deletes the folder when the driver ends.
+    deletes the folder when the driver ends.  ``per_file`` bounds the rows of a
+    file, for very wide rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lanternflow-{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", per_file).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

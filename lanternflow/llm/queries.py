@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternflow.llm import bpe, compression_rules, fingerprints, jaccard_join, line_dedup, packing, pii, quality_classifier
+from lanternflow.llm import (
+    bpe,
+    compression_rules,
+    fingerprints,
+    jaccard_join,
+    line_dedup,
+    maxent_lm,
+    packing,
+    pii,
+    quality_classifier,
+    substring_dedup,
+)
 
-MODULES = (bpe, compression_rules, fingerprints, jaccard_join, line_dedup, packing, pii, quality_classifier)
+MODULES = (jaccard_join, line_dedup, bpe, compression_rules, maxent_lm, quality_classifier, packing, substring_dedup, fingerprints, pii)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in MODULES for k, q in m.SQL.items()}
