@@ -20,6 +20,10 @@ when ``100 * |x & y| >= pct * |x | y|``.
    min(|x - l|, |y - l|) (answer-level: the leader's computed answers carry
    over to sets that are like it).  Only what is left is compared.
 
+Before texts travel to be compared, a pair must pass a bound from a few bytes
+of each set: bits that tell the parity of the tokens with each low part differ
+in at most |x - y| + |y - x| places.
+
 No list is expanded into all pairs, and links between equal sets are one per
 copy.
 """
@@ -39,8 +43,10 @@ from lanternflow.llm.components import components
 from lanternflow.llm.core import U64, column, numbers
 
 WORDS, PCT = 5, 75
-#: Frequent shingles kept, at most: those with one in so many of all places. 8 bytes each.
+#: The most frequent shingles, at most so many, are ordered behind all others. 16 bytes each.
 FREQUENT = 1 << 20
+#: Lists up to this length are compared in one step instead of block by block.
+SHORT = 256
 #: A leader with more members than this is sent to several tasks.
 MEMBERS = 2_000
 #: Bits of the filter over needed ids that is broadcast (4 MB); false hits are removed by a join.
@@ -62,6 +68,44 @@ def sets_of(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, n
     return core.unique_per_doc(h >> U64(1), doc, len(off) - 1)
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """For each value of the tokens' low bits, whether an odd number of tokens has it; as many bits as a power of two holds the set."""
+    b = 1 << max(6, (len(tokens) - 1).bit_length())
+    at = (tokens & U64(b - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=b) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_gap(a: bytes, b: bytes) -> int:
+    """A lower bound of |x - y| + |y - x|: each differing bit needs a token that one set alone has."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    while n > 8 * len(b):
+        n >>= 1
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ y).bit_count()
+
+
+def _plausible(pct: int):
+    """Pairs that the sizes and parity bits of both sets leave possible."""
+
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        na, nb = numbers(b, "na"), numbers(b, "nb")
+        most = (na + nb - 2 * needed(na, nb, pct)).tolist()
+        ok = [parity_gap(x, y) <= m for x, y, m in zip(column(b, "pa").to_pylist(), column(b, "pb").to_pylist(), most, strict=True)]
+        yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return fn
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """``pairs`` without those that cannot link by sizes and parity bits; ``sets`` has doc_id, n, parity."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
+    fits = (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("na") > 0)
+    return core.arrow_map(pairs.where(fits), _plausible(pct), "a long, b long").distinct()
+
+
 def _census(size: int):
     """Per text: digest and size of its set.  Per batch: shingles frequent in it."""
 
@@ -71,12 +115,14 @@ def _census(size: int):
         every: list[np.ndarray] = []
         n: list[int] = []
         digest: list[bytes] = []
+        parity: list[bytes] = []
         for i, j in core.steps(off):
             s, first = sets_of(data, off[i : j + 1], size)
             every.append(s)
             for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 n.append(y - x)
                 digest.append(xxhash.xxh3_128_digest(s[x:y]))
+                parity.append(parity_bits(s[x:y]))
         d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
         s = np.sort(np.concatenate(every))
         at = np.flatnonzero(np.diff(s, prepend=~s[:1])) if len(s) else np.zeros(0, np.int64)
@@ -88,9 +134,10 @@ def _census(size: int):
             [
                 pa.concat_arrays([pa.array(ids), none(pa.int64(), m)]), pa.concat_arrays([pa.array(n, pa.int64()), none(pa.int64(), m)]),
                 pa.concat_arrays([pa.array(d[:, 0].copy()), none(pa.int64(), m)]), pa.concat_arrays([pa.array(d[:, 1].copy()), none(pa.int64(), m)]),
+                pa.concat_arrays([pa.array(parity, pa.binary()), none(pa.binary(), m)]),
                 pa.concat_arrays([none(pa.int64(), k), pa.array(s[at[often]].view(np.int64))]), pa.concat_arrays([none(pa.int64(), k), pa.array(count[often])]),
             ],
-            names=["doc_id", "n", "d1", "d2", "token", "count"],
+            names=["doc_id", "n", "d1", "d2", "parity", "token", "count"],
         )
 
     return fn
@@ -180,6 +227,15 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, lead: np.ndarra
 
     shared is each set's overlap with its leader, -1 if unknown.
     """
+    if len(n) <= SHORT:
+        x, y = np.triu_indices(len(n), 1)
+        need = needed(n[x], n[y], pct)
+        ok = (comp[x] != comp[y]) & (n[x] - pos[x] >= need) & (n[y] - pos[y] >= need) & (100 * n[x] >= pct * n[y])
+        x, y, need = x[ok], y[ok], need[ok]
+        same = (lead[x] == lead[y]) & (shared[x] >= 0) & (shared[y] >= 0)
+        best = np.minimum(shared[x], shared[y]) + np.minimum(n[x] - shared[x], n[y] - shared[y])
+        ok = ~same | (best >= need)
+        return x[ok], y[ok]
     size, start = np.unique(n, return_index=True)
     stop = np.append(start[1:], len(n))
     out_x, out_y = [], []
@@ -210,10 +266,14 @@ def _second(pct: int):
         names = ["token", "set", "n", "pos", "comp", "lead", "shared"]
         for token, ids, n, pos, comp, lead, shared in _grouped(batches, names, 1 << 62):
             cut = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
+            found: list[np.ndarray] = []
             for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(token)], strict=True):
                 x, y = list_pairs(n[s:e].astype(np.int64), pos[s:e].astype(np.int64), comp[s:e], lead[s:e], shared[s:e], pct)
                 if len(x):
-                    yield core.batch_of(a=ids[s:e][x], b=ids[s:e][y])
+                    found.append(np.stack([ids[s:e][x], ids[s:e][y]], axis=1))
+            if found:
+                pair = np.unique(np.concatenate(found), axis=0)
+                yield core.batch_of(a=pair[:, 0].copy(), b=pair[:, 1].copy())
 
     return run
 
@@ -284,10 +344,10 @@ def compare_pairs(docs: DataFrame, pairs: DataFrame, size: int, pct: int) -> Dat
     return sent.select("a", "part", "role", "doc_id", "text").mapInArrow(_verify(size, pct), "a long, b long, shared long, linked boolean")
 
 
-def frequent_table(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray] | tuple:
-    """Frequent tokens, ascending, with their rank by count: at most ``FREQUENT``."""
-    floor = max(16, -(-total // FREQUENT))
-    t = rows.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= floor).toArrow()
+def frequent_table(rows: DataFrame, floor: int = 16) -> tuple[np.ndarray, np.ndarray] | tuple:
+    """The most frequent tokens, ascending, with their rank by count: at most ``FREQUENT``."""
+    t = rows.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= floor)
+    t = t.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
     token, count = t.column("token").to_numpy().view(np.uint64), t.column("count").to_numpy()
     if not len(token):
         return ()
@@ -308,9 +368,9 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     """
     spark = docs.sparkSession
     texts = core.id_text(docs)
-    census = core.stored(core.arrow_map(texts, _census(size), "doc_id long, n long, d1 long, d2 long, token long, count long"), "census")
+    census = core.stored(core.arrow_map(texts, _census(size), "doc_id long, n long, d1 long, d2 long, parity binary, token long, count long"), "census")
     rows = census.where("token IS NULL")
-    frequent = spark.sparkContext.broadcast(frequent_table(census, rows.agg(F.sum("n")).first()[0] or 0))
+    frequent = spark.sparkContext.broadcast(frequent_table(census))
 
     entries = core.arrow_map(texts, _posts(size, pct, frequent), "token long, set long, n int, pos int")
     dealt = entries.repartition(core.parts(spark), "token").sortWithinPartitions("token", "n", "set")
@@ -323,7 +383,7 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     need = F.ceil(F.lit(pct) * (F.col("n") + F.col("lead_n")) / F.lit(100 + pct))
     near = (F.col("n") - F.col("pos") >= need) & (F.col("lead_n") - F.col("lead_pos") >= need)
     first = lists.where((F.col("set") != F.col("lead")) & near).select(F.col("lead").alias("a"), F.col("set").alias("b")).distinct()
-    first = core.stored(compare_pairs(texts, core.stored(_without_copies(first, same), "pairs"), size, pct), "links")
+    first = core.stored(compare_pairs(texts, core.stored(plausible(_without_copies(first, same), rows, pct), "pairs"), size, pct), "links")
     links = first.where("linked").select("a", "b").union(same)
     stars = components(links)
 
@@ -335,7 +395,7 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     left = left.withColumn("shared", shared).repartition(core.parts(spark), "token").sortWithinPartitions("token", "n", "pos", "set")
     second = left.select("token", "set", "n", "pos", "comp", "lead", "shared").mapInArrow(_second(pct), "a long, b long").distinct()
     done = first.select("a", "b").union(first.select("b", "a"))
-    second = core.stored(second.join(done, ["a", "b"], "left_anti"), "pairs")
+    second = core.stored(plausible(second.join(done, ["a", "b"], "left_anti"), rows, pct), "pairs")
     more = compare_pairs(texts, second, size, pct).where("linked").select("a", "b")
     stars = components(stars.union(core.stored(more, "links")))
     out = rows.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id")), "doc_id", "left")
