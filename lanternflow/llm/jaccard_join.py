@@ -9,16 +9,18 @@ when ``100 * |x & y| >= pct * |x | y|``.
    shingles are hardly ever built.
 2. Each distinct set posts its prefix to index lists (token -> set, size,
    position).  If two sets link, they meet in a list.
-3. A list is sorted by size and cut to blocks that start with a leader and
-   hold the sizes it can link with.  Every member is compared with its leader
-   only; members of one block that turn out linked need no more work.
+3. A list is sorted by position.  The set with the earliest one has the fewest
+   rare shingles, which makes it the middle of a group of near copies; it leads
+   all sets of sizes that it can link with, the rest get a leader of their own.
+   Every member is compared with its leader only.
 4. Lists whose sets are still in several components are gone through once
-   more.  For a probing set, each block of equal sizes is skipped from the
-   position on where the rest of the lists is too short (index-level
-   skipping), and a pair is skipped if what both share with their leader
-   proves that they cannot link: |x & y| <= min(|x & l|, |y & l|) +
-   min(|x - l|, |y - l|) (answer-level: the leader's computed answers carry
-   over to sets that are like it).  Only what is left is compared.
+   more.  A set that is like its leader is known by what differs, so whether
+   two members link is derived from their leader's answers and two short deltas
+   (answer-level skipping).  For other pairs, each block of equal sizes is
+   skipped from the position on where the rest of the sets is too short
+   (index-level skipping), and a pair is skipped if |x & y| <= min(|x & l|,
+   |y & l|) + min(|x - l|, |y - l|) is too little.  Only what is left is
+   compared.
 
 Before texts travel to be compared, a pair must pass a bound from a few bytes
 of each set: bits that tell the parity of the tokens with each low part differ
@@ -45,10 +47,12 @@ from lanternflow.llm.core import U64, column, numbers
 WORDS, PCT = 5, 75
 #: The most frequent shingles, at most so many, are ordered behind all others. 16 bytes each.
 FREQUENT = 1 << 20
-#: Lists up to this length are compared in one step instead of block by block.
-SHORT = 256
+#: Lists up to this length are compared in one step instead of block by block; rows of a product of deltas.
+SHORT, RUN = 256, 512
 #: A leader with more members than this is sent to several tasks.
 MEMBERS = 2_000
+#: Members of a leader whose deltas are compared in one task.
+GROUP = 8_192
 #: Bits of the filter over needed ids that is broadcast (4 MB); false hits are removed by a join.
 FILTER_BITS = 1 << 25
 
@@ -202,7 +206,7 @@ def _last_group(key: np.ndarray) -> int:
 
 
 def _lead(pct: int):
-    """Entries sorted by token, size: each with its leader.  Entries alone in their list are dropped."""
+    """Entries sorted by token, position: each with its leader.  Entries alone in their list are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, ids, n, pos in _grouped(batches, ["token", "set", "n", "pos"]):
@@ -213,7 +217,8 @@ def _lead(pct: int):
             while len(rest):
                 first = np.diff(group[rest], prepend=-1) != 0
                 head = rest[np.flatnonzero(first)][np.cumsum(first) - 1]
-                fits = 100 * n[head].astype(np.int64) >= pct * n[rest].astype(np.int64)
+                small, large = np.minimum(n[head], n[rest]).astype(np.int64), np.maximum(n[head], n[rest]).astype(np.int64)
+                fits = 100 * small >= pct * large
                 lead[rest[fits]] = head[fits]
                 rest = rest[~fits]
             use = np.flatnonzero(lead >= 0)
@@ -222,62 +227,147 @@ def _lead(pct: int):
     return run
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, lead: np.ndarray, shared: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+def _bounded(x, y, n, comp, lead, shared, known, need) -> np.ndarray:
+    """Which pairs of places stay: of different components, not settled by their deltas, and able to link."""
+    same = lead[x] == lead[y]
+    ok = (comp[x] != comp[y]) & ~(same & known[x] & known[y])
+    best = np.minimum(shared[x], shared[y]) + np.minimum(n[x] - shared[x], n[y] - shared[y])
+    return ok & (~same | (shared[x] < 0) | (shared[y] < 0) | (best >= need))
+
+
+def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, lead: np.ndarray, shared: np.ndarray, known: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (x, y) in one list, sorted by size and position, that may link and are in different components.
 
-    shared is each set's overlap with its leader, -1 if unknown.
+    shared is each set's overlap with its leader, -1 if unknown.  Pairs of
+    ``known`` sets under one leader are left to ``delta_pairs``.  A block is the
+    entries of one size; against another size it is skipped from the position
+    on where what is left of the set is too short for a link.
     """
     if len(n) <= SHORT:
         x, y = np.triu_indices(len(n), 1)
         need = needed(n[x], n[y], pct)
-        ok = (comp[x] != comp[y]) & (n[x] - pos[x] >= need) & (n[y] - pos[y] >= need) & (100 * n[x] >= pct * n[y])
+        ok = (n[x] - pos[x] >= need) & (n[y] - pos[y] >= need) & (100 * n[x] >= pct * n[y])
         x, y, need = x[ok], y[ok], need[ok]
-        same = (lead[x] == lead[y]) & (shared[x] >= 0) & (shared[y] >= 0)
-        best = np.minimum(shared[x], shared[y]) + np.minimum(n[x] - shared[x], n[y] - shared[y])
-        ok = ~same | (best >= need)
+        ok = _bounded(x, y, n, comp, lead, shared, known, need)
         return x[ok], y[ok]
+    out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if known.all() and (lead == lead[0]).all():
+        return out_x[0], out_y[0]
     size, start = np.unique(n, return_index=True)
     stop = np.append(start[1:], len(n))
-    out_x, out_y = [], []
-    for y in range(1, len(n)):
-        ny, py = int(n[y]), int(pos[y])
-        low = int(np.searchsorted(size, -(-pct * ny // 100)))
-        for k in range(low, len(size)):
-            if start[k] >= y:
-                break
-            need = int(needed(size[k], ny, pct))
-            if ny - py < need:
-                continue
-            s, e = int(start[k]), min(int(stop[k]), y)
-            e = s + int(np.searchsorted(pos[s:e], size[k] - need, "right"))
-            x = np.arange(s, e)
-            x = x[comp[x] != comp[y]]
-            same = (lead[x] == lead[y]) & (shared[x] >= 0) & (shared[y] >= 0)
-            best = np.minimum(shared[x], shared[y]) + np.minimum(n[x] - shared[x], ny - shared[y])
-            x = x[~same | (best >= need)]
-            out_x.append(x)
-            out_y.append(np.full(len(x), y))
+    for k in range(len(size)):
+        for j in range(int(np.searchsorted(size, -(-pct * size[k] // 100))), k + 1):
+            need = int(needed(size[j], size[k], pct))
+            x = np.arange(start[j], start[j] + np.searchsorted(pos[start[j] : stop[j]], size[j] - need, "right"))
+            y = np.arange(start[k], start[k] + np.searchsorted(pos[start[k] : stop[k]], size[k] - need, "right"))
+            for s in range(0, len(y), RUN):
+                gx, gy = (g.ravel() for g in np.meshgrid(x, y[s : s + RUN], indexing="ij"))
+                if j == k:
+                    gx, gy = gx[gx < gy], gy[gx < gy]
+                ok = _bounded(gx, gy, n, comp, lead, shared, known, need)
+                out_x.append(gx[ok])
+                out_y.append(gy[ok])
+    return np.concatenate(out_x), np.concatenate(out_y)
+
+
+def delta_pairs(n: np.ndarray, comp: np.ndarray, deltas: list[np.ndarray], pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of different components that link, for sets known by how they differ from one leader.
+
+    With dx = x ^ l, |x ^ y| = |dx| + |dy| - 2 |dx & dy|, so the overlap follows
+    from the deltas.  Only tokens in two deltas or more matter; the counts of
+    common ones are a product of 0/1 matrices, taken in runs of rows.  Deltas
+    are 32-bit hashes: a collision can only add a pair, which is compared later.
+    """
+    size = np.array([len(d) for d in deltas])
+    flat = np.concatenate(deltas) if len(deltas) else np.zeros(0, np.uint32)
+    token, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column_of = np.cumsum(count > 1) - 1
+    use = count[back] > 1
+    row, col = np.repeat(np.arange(len(n)), size)[use], column_of[back[use]]
+    order = np.argsort(row, kind="stable")
+    row, col = row[order], col[order]
+    width = int((count > 1).sum())
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_x]), np.concatenate([none, *out_y])
+    out_x, out_y = [none], [none]
+    for s in range(0, len(n), RUN):
+        e = min(s + RUN, len(n))
+        common = np.zeros((e - s, len(n)), np.float32)
+        for c in range(0, width, 4096):
+            a = np.zeros((len(n), min(4096, width - c)), np.float32)
+            mine = (col >= c) & (col < c + 4096)
+            a[row[mine], col[mine] - c] = 1
+            common += a[s:e] @ a.T
+        both = (n[s:e, None] + n[None, :] - size[s:e, None] - size[None, :]) / 2 + common
+        x, y = np.nonzero((100 + pct) * both >= pct * (n[s:e, None] + n[None, :]) - 1e-6)
+        ok = (x + s < y) & (comp[x + s] != comp[y])
+        out_x.append(x[ok] + s)
+        out_y.append(y[ok])
+    return np.concatenate(out_x), np.concatenate(out_y)
 
 
 def _second(pct: int):
+    """What the lists leave to compare, besides pairs settled by deltas."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "set", "n", "pos", "comp", "lead", "shared"]
-        for token, ids, n, pos, comp, lead, shared in _grouped(batches, names, 1 << 62):
-            cut = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
+        for table in _whole_groups(batches, "token"):
+            token, ids, n, pos, comp, lead, shared, known = (numbers(table, c) for c in ("token", "set", "n", "pos", "comp", "lead", "shared", "known"))
+            n, pos, known = n.astype(np.int64), pos.astype(np.int64), known.astype(bool)
             found: list[np.ndarray] = []
+            cut = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
             for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(token)], strict=True):
-                x, y = list_pairs(n[s:e].astype(np.int64), pos[s:e].astype(np.int64), comp[s:e], lead[s:e], shared[s:e], pct)
-                if len(x):
-                    found.append(np.stack([ids[s:e][x], ids[s:e][y]], axis=1))
-            if found:
-                pair = np.unique(np.concatenate(found), axis=0)
-                yield core.batch_of(a=pair[:, 0].copy(), b=pair[:, 1].copy())
+                x, y = list_pairs(n[s:e], pos[s:e], comp[s:e], lead[s:e], shared[s:e], known[s:e], pct)
+                found.append(np.stack([ids[s:e][x], ids[s:e][y]], axis=1))
+            yield from _pairs(found)
+
+    return run
+
+
+def _by_deltas(pct: int):
+    """Members of one leader that link by their deltas and are in different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, "part"):
+            part, ids, n, comp = (numbers(table, c) for c in ("part", "set", "n", "comp"))
+            delta = column(table, "delta")
+            cut = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
+                x, y = delta_pairs(n[s:e].astype(np.int64), comp[s:e], [np.frombuffer(delta[k].as_buffer(), np.uint32) for k in range(s, e)], pct)
+                yield from _pairs([np.stack([ids[s:e][x], ids[s:e][y]], axis=1)])
 
     return run
 
 
+def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    pair = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
+    if len(pair):
+        pair = np.unique(pair, axis=0)
+        yield core.batch_of(a=pair[:, 0].copy(), b=pair[:, 1].copy())
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Sorted batches, cut so that no group of ``key`` is split."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = numbers(b, key)
+        first = int(np.searchsorted(k != k[0], True)) if (k != k[0]).any() else len(k)
+        if held and numbers(held[0], key)[0] == k[0]:
+            held.append(b.slice(0, first))
+            b = b.slice(first)
+        if not b.num_rows:
+            continue
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
+            held = []
+        cut = _last_group(numbers(b, key))
+        if cut:
+            yield b.slice(0, cut)
+        held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
+
+
 def _id_filter(spark: SparkSession, ids: DataFrame):
     """A broadcast bit filter over ids, of fixed size."""
     slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("at"))
@@ -298,14 +388,14 @@ def _pick(bits):
 
 
 def _verify(size: int, pct: int):
-    """Rows sorted by leader group and role: the overlap of each member with its leader."""
+    """Rows sorted by leader group and role: each member's overlap with its leader, and how it differs if that is little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders = None, []
         for b in batches:
             part, a, role, ids = (numbers(b, c) for c in ("part", "a", "role", "doc_id"))
             data, off = core.text_bytes(column(b, "text"))
-            out: list[tuple[int, int, int, bool]] = []
+            out: list[tuple[int, int, int, bool, bytes | None]] = []
             for i, j in core.steps(off):
                 s, first = sets_of(data, off[i : j + 1], size)
                 for k in range(i, j):
@@ -319,10 +409,12 @@ def _verify(size: int, pct: int):
                         low, high = (own, x) if len(own) < len(x) else (x, own)
                         at = np.minimum(np.searchsorted(high, low), max(len(high) - 1, 0))
                         both = int((high[at] == low).sum()) if len(high) else 0
-                        out.append((int(a[k]), int(ids[k]), both, 100 * both >= pct * (len(own) + len(x) - both)))
+                        gap = len(own) + len(x) - 2 * both
+                        delta = (np.setxor1d(own, x, True) & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() if 3 * gap <= len(own) + len(x) else None
+                        out.append((int(a[k]), int(ids[k]), both, 100 * both >= pct * (both + gap), delta))
             if out:
-                va, vb, vo, vl = zip(*out, strict=True)
-                yield core.batch_of(a=pa.array(va, pa.int64()), b=pa.array(vb, pa.int64()), shared=pa.array(vo, pa.int64()), linked=pa.array(vl))
+                va, vb, vo, vl, vd = zip(*out, strict=True)
+                yield core.batch_of(a=pa.array(va, pa.int64()), b=pa.array(vb, pa.int64()), shared=pa.array(vo, pa.int64()), linked=pa.array(vl), delta=pa.array(vd, pa.binary()))
 
     return run
 
@@ -341,7 +433,7 @@ def compare_pairs(docs: DataFrame, pairs: DataFrame, size: int, pct: int) -> Dat
     bits = _id_filter(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     texts = core.arrow_map(docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))), _pick(bits), "doc_id long, text string")
     sent = texts.join(asked, "doc_id").repartition(core.parts(spark), "a", "part").sortWithinPartitions("a", "part", "role")
-    return sent.select("a", "part", "role", "doc_id", "text").mapInArrow(_verify(size, pct), "a long, b long, shared long, linked boolean")
+    return sent.select("a", "part", "role", "doc_id", "text").mapInArrow(_verify(size, pct), "a long, b long, shared long, linked boolean, delta binary")
 
 
 def frequent_table(rows: DataFrame, floor: int = 16) -> tuple[np.ndarray, np.ndarray] | tuple:
@@ -373,7 +465,7 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     frequent = spark.sparkContext.broadcast(frequent_table(census))
 
     entries = core.arrow_map(texts, _posts(size, pct, frequent), "token long, set long, n int, pos int")
-    dealt = entries.repartition(core.parts(spark), "token").sortWithinPartitions("token", "n", "set")
+    dealt = entries.repartition(core.parts(spark), "token").sortWithinPartitions("token", "pos", "n", "set")
     lists = core.stored(dealt.mapInArrow(_lead(pct), "token long, set long, n int, pos int, lead long, lead_n int, lead_pos int, many int"), "lists")
 
     copies = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").drop("top")
@@ -387,13 +479,16 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     links = first.where("linked").select("a", "b").union(same)
     stars = components(links)
 
-    left = lists.where("many > 2").join(stars.select(F.col("a").alias("set"), F.col("b").alias("comp")), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    comp = stars.select(F.col("a").alias("set"), F.col("b").alias("comp"))
+    known = core.stored(first.groupBy(F.col("a").alias("lead"), F.col("b").alias("set")).agg(F.max(F.struct("shared", "delta")).alias("x")).select("lead", "set", "x.*"), "known")
+    derived = _derived(known, rows, comp, pct)
+    left = lists.where("many > 2").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     mixed = left.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    known = first.groupBy(F.col("a").alias("lead"), F.col("b").alias("set")).agg(F.max("shared").alias("shared"))
-    left = left.join(mixed, "token", "left_semi").join(known, ["lead", "set"], "left")
-    shared = F.when(F.col("set") == F.col("lead"), F.col("n").cast("long")).otherwise(F.coalesce("shared", F.lit(-1)))
-    left = left.withColumn("shared", shared).repartition(core.parts(spark), "token").sortWithinPartitions("token", "n", "pos", "set")
-    second = left.select("token", "set", "n", "pos", "comp", "lead", "shared").mapInArrow(_second(pct), "a long, b long").distinct()
+    left = left.join(mixed, "token", "left_semi").join(known.select("lead", "set", "shared", F.col("delta").isNotNull().alias("known")), ["lead", "set"], "left")
+    own = F.col("set") == F.col("lead")
+    left = left.withColumns({"shared": F.when(own, F.col("n").cast("long")).otherwise(F.coalesce("shared", F.lit(-1))), "known": own | F.coalesce("known", F.lit(False))})
+    left = left.repartition(core.parts(spark), "token").sortWithinPartitions("token", "n", "pos", "set")
+    second = left.select("token", "set", "n", "pos", "comp", "lead", "shared", "known").mapInArrow(_second(pct), "a long, b long").union(derived).distinct()
     done = first.select("a", "b").union(first.select("b", "a"))
     second = core.stored(plausible(second.join(done, ["a", "b"], "left_anti"), rows, pct), "pairs")
     more = compare_pairs(texts, second, size, pct).where("linked").select("a", "b")
@@ -402,6 +497,24 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _derived(known: DataFrame, rows: DataFrame, comp: DataFrame, pct: int) -> DataFrame:
+    """Pairs that link by their deltas from a common leader.
+
+    A leader with many members has them dealt to parts, and every two parts
+    meet, so a task's memory is bounded.
+    """
+    sizes = rows.groupBy(F.col("doc_id").alias("set")).agg(F.max("n").alias("n"))
+    members = known.where("delta IS NOT NULL").select("lead", "set", "delta")
+    members = members.union(members.select("lead", F.col("lead").alias("set"), F.lit(b"").alias("delta")).distinct())
+    members = members.join(sizes, "set").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    mixed = members.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("low < high")
+    own, other = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"), F.col("other")
+    dealt = members.join(mixed.select("lead", "parts"), "lead").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("part", F.xxhash64("lead", F.least(own, other), F.greatest(own, other)))
+    dealt = dealt.repartition(core.parts(known.sparkSession), "part").sortWithinPartitions("part", "set")
+    return dealt.select("part", "set", "n", "comp", "delta").mapInArrow(_by_deltas(pct), "a long, b long")
+
+
 def _without_copies(pairs: DataFrame, same: DataFrame) -> DataFrame:
     """Pairs between the first documents of their copies; pairs of copies are known to link already."""
     for c in ("a", "b"):
