@@ -437,9 +437,20 @@ def compare_pairs(docs: DataFrame, pairs: DataFrame, size: int, pct: int) -> Dat
 
 
 def frequent_table(rows: DataFrame, floor: int = 16) -> tuple[np.ndarray, np.ndarray] | tuple:
-    """The most frequent tokens, ascending, with their rank by count: at most ``FREQUENT``."""
+    """The most frequent tokens, ascending, with their rank by count: at most ``FREQUENT``.
+
+    A histogram of counts (four bins to a doubling) gives the least count that
+    keeps the table within its bound, so only the table itself is collected.
+    """
     t = rows.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= floor)
-    t = t.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    bins = t.groupBy(F.floor(4 * F.log2("count")).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
+    total = 0
+    for r in bins:
+        total += r["n"]
+        if total > FREQUENT:
+            floor = max(floor, int(2 ** ((r["k"] + 1) / 4)) + 1)
+            break
+    t = t.where(F.col("count") >= floor).toArrow()
     token, count = t.column("token").to_numpy().view(np.uint64), t.column("count").to_numpy()
     if not len(token):
         return ()
