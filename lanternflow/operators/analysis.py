@@ -90,3 +90,16 @@ def metrics_map(per_class: DataFrame) -> DataFrame:
     names = [c for c in per_class.columns if c != "class_name"]
     means = [F.avg(c).alias(c) for c in names]
     return per_class.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", F.struct(*names).alias("metrics"))))).alias("per_class"), *means)
+
+
+def attach_hits(pairs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Person-vehicle records with their person's hit confidence; null without a hit."""
+    keys = ["clip_id", "frame_idx", "person_track_id"]
+    return pairs.join(hits.select(*keys, F.col("confidence").alias("weapon_confidence")), keys, "left")
+
+
+def presence(frames: DataFrame, objs: DataFrame) -> DataFrame:
+    """For each frame, whether it has a person, a vehicle, and both."""
+    seen = objs.groupBy("clip_id", "frame_idx").agg(F.bool_or(F.col("cls") == "person").alias("has_person"), F.bool_or(F.col("cls") == "vehicle").alias("has_vehicle"))
+    out = frames.join(seen, ["clip_id", "frame_idx"], "left").fillna(False, ["has_person", "has_vehicle"])
+    return out.withColumn("has_pair", F.col("has_person") & F.col("has_vehicle"))

@@ -52,3 +52,20 @@ def hit_boxes(hits: DataFrame, persons: DataFrame) -> DataFrame:
     keys = ["clip_id", "frame_idx"]
     first = persons.groupBy(*keys, F.col("track_id").alias("person_track_id")).agg(F.min_by("bbox", "det_ord").alias("person_bbox"))
     return hits.join(first, [*keys, "person_track_id"], "left")
+
+
+def hit_lines(hits: DataFrame, threshold: float) -> DataFrame:
+    """A line for each hit, marked if it reaches the threshold; needs ts_s."""
+    above = F.col("confidence") >= F.lit(threshold)
+    text = F.format_string("frame %d t=%.2fs person#%d weapon %.3f%s", "frame_idx", "ts_s", "person_track_id", "confidence", F.when(above, " *").otherwise(""))
+    return hits.select("clip_id", "frame_idx", "ts_s", "person_track_id", "confidence", above.alias("above"), text.alias("line"))
+
+
+def drawable(boxes: DataFrame) -> DataFrame:
+    """Boxes that a frame's picture shows: all but those named person."""
+    return boxes.where(F.lower(F.coalesce("class_name", F.lit(""))) != "person")
+
+
+def export_names(boxes: DataFrame, place: str) -> DataFrame:
+    """File name of each exported label box: its place, aspect ratio and image."""
+    return boxes.withColumn("name", F.format_string("%03d_ar%.1f_%s", F.col(place), "aspect", "image_stem"))

@@ -422,9 +422,7 @@ def q_signal_extremes(spark, sf_dir):
         ((F.col("vehicle_ord") % 13) - F.lit(20.0)).alias("approach_speed_px_s"), ((F.col("det_ord") % 97) / F.lit(10.0)).alias("dwell_time_s"), ((F.col("det_ord") % 31) / F.lit(10.0)).alias("close_dwell_time_s"),
     )
     pairs = pairs.withColumns({"struggle_score": F.col("person_vehicle_distance_norm") - 2, "sprint_score": F.col("person_vehicle_distance_norm"), "weapon_score": F.lit(None).cast("double")})
-    seen = d.objects.groupBy("clip_id", "frame_idx").agg(F.bool_or(F.col("cls") == "person").alias("has_person"), F.bool_or(F.col("cls") == "vehicle").alias("has_vehicle"))
-    frames = T.frames(spark, sf_dir).join(seen, ["clip_id", "frame_idx"], "left").fillna(False, ["has_person", "has_vehicle"])
-    out = analysis.signal_extremes(pairs, frames)
+    out = analysis.signal_extremes(pairs, analysis.presence(T.frames(spark, sf_dir), d.objects))
     return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -446,6 +444,28 @@ def q_frame_at(spark, sf_dir):
     return frame_at(T.objects(spark, sf_dir), seconds=20.4 / 15.0, fps=T.FPS).select("frame_idx", "track_id", r6("confidence").alias("confidence"))
 
 
+@query(_with("SELECT frame_idx, person_track_id, round(ts_s, 6) AS ts_s, confidence >= 0.5e0 AS above FROM hit", "hit"))
+def q_hit_lines(spark, sf_dir):
+    return annotate.hit_lines(_timed(plan(spark, sf_dir).hits), 0.5).select("frame_idx", "person_track_id", r6("ts_s").alias("ts_s"), "above")
+
+
+@query(_with("SELECT p.frame_idx, p.person_track_id, p.vehicle_track_id, coalesce(round(h.confidence, 6), -1) AS weapon_confidence FROM pair p LEFT JOIN hit h USING (frame_idx, person_track_id)", "pair", "hit"))
+def q_pair_hits(spark, sf_dir):
+    d = plan(spark, sf_dir)
+    pairs = d.persons.join(gate._vehicles(d.vehicles), ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", F.col("track_id").alias("person_track_id"), "vehicle_track_id")
+    return analysis.attach_hits(pairs, d.hits).select("frame_idx", "person_track_id", "vehicle_track_id", F.coalesce(r6("weapon_confidence"), F.lit(-1.0)).alias("weapon_confidence"))
+
+
+@query(_with("SELECT f.frame_idx, EXISTS (SELECT 1 FROM per WHERE per.frame_idx = f.frame_idx) AS has_person, EXISTS (SELECT 1 FROM veh WHERE veh.frame_idx = f.frame_idx) AS has_vehicle FROM (SELECT DISTINCT frame_idx FROM ev) f", "ev", "per", "veh"))
+def q_presence(spark, sf_dir):
+    return analysis.presence(T.frames(spark, sf_dir), T.objects(spark, sf_dir)).select("frame_idx", "has_person", "has_vehicle")
+
+
+@query(_with("SELECT frame_idx, person_track_id, box_ord FROM raw WHERE lower(coalesce(class_name, '')) <> 'person'", "raw"))
+def q_drawable_boxes(spark, sf_dir):
+    return annotate.drawable(T.weapon_raw(spark, sf_dir)).select("frame_idx", "person_track_id", "box_ord")
+
+
 @query(_with(_EVENTS, "evt"))
 def q_events_stream(spark, sf_dir):
     from lanternflow.streaming.debounce import replay

@@ -54,6 +54,18 @@ def image_folder(spark: SparkSession, root: str, source: str, splits: Sequence[s
     return rows.select(F.lit(source).alias("source"), *[F.regexp_extract("path", pattern, i).alias(n) for i, n in ((1, "split"), (2, "image_stem"), (3, "ext"))])
 
 
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, width, height) of the images that can be decoded; others are left out."""
+    rows = spark.read.format("image").option("dropInvalid", True).load(path)
+    return rows.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+
+
+def clips(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    """Clip metadata: clip_id, path, width, height, fps (0 or null: 30), frame_count."""
+    t = spark.createDataFrame(list(rows), schema.CLIPS)
+    return t.withColumn("fps", F.coalesce(F.when(F.col("fps") > 0, F.col("fps")), F.lit(30.0)))
+
+
 def manifest_names(text: str) -> list[str]:
     """Class names of a YAML manifest; a mapping is ordered by its keys as numbers."""
     import yaml
