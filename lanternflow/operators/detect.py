@@ -89,8 +89,12 @@ def infer(crops: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd
     return crops.mapInPandas(run, schema.WEAPON_RAW)
 
 
+def in_crops(best: DataFrame, crops: DataFrame) -> DataFrame:
+    """Best threats with their crop's columns and the box in frame coordinates; crops need person_track_id and window."""
+    return best.join(crops, [*FRAME_KEYS, "person_track_id"]).withColumn("bbox", G.to_frame(F.col("crop_bbox"), F.col("window")))
+
+
 def hits(raw: DataFrame, crops: DataFrame, conf: float = DEFAULT.weapon_conf, non_threat: Iterable[str] | None = None) -> DataFrame:
     """Best threat of each gated person, in frame coordinates."""
     where = crops.select(*FRAME_KEYS, F.col("track_id").alias("person_track_id"), "window")
-    best = best_threat(threats(raw, conf, non_threat)).join(where, [*FRAME_KEYS, "person_track_id"])
-    return best.select(*FRAME_KEYS, "person_track_id", "confidence", G.to_frame(F.col("crop_bbox"), F.col("window")).alias("bbox"))
+    return in_crops(best_threat(threats(raw, conf, non_threat)), where).select(*FRAME_KEYS, "person_track_id", "confidence", "bbox")

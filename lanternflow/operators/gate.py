@@ -34,15 +34,17 @@ def _semi(persons: DataFrame, vehicles: DataFrame, proximity: float, how: str) -
     return p.join(v, on, how)
 
 
-def nearest_gated(persons: DataFrame, vehicles: DataFrame, proximity: float = DEFAULT.weapon_proximity_norm) -> DataFrame:
+def nearest_gated(persons: DataFrame, vehicles: DataFrame, proximity: float = DEFAULT.weapon_proximity_norm, carry: tuple[str, ...] = ()) -> DataFrame:
     """The nearest vehicle within reach of each person; of equally near ones the first.
 
-    The aggregate reuses the join's partitioning and combines before it.
+    The aggregate reuses the join's partitioning and combines before it.  A
+    person is gated if and only if it is here, so ``carry`` (columns of
+    persons) lets a plan take gate and nearest vehicle from one join.
     """
     pairs = persons.join(_vehicles(vehicles), KEYS).withColumn("dist_norm", G.distance_norm(F.col("bbox"), F.col("vehicle_bbox"), G.diagonal(F.col("width"), F.col("height"))))
     near = pairs.where(F.col("dist_norm") <= proximity)
-    best = near.groupBy(*KEYS, F.col("track_id").alias("person_track_id"), F.col("det_ord").alias("person_ord")).agg(F.min(F.struct("dist_norm", "vehicle_ord", "vehicle_track_id")).alias("best"))
-    return best.select(*KEYS, "person_track_id", "person_ord", "best.vehicle_track_id", "best.dist_norm")
+    best = near.groupBy(*KEYS, F.col("track_id").alias("person_track_id"), F.col("det_ord").alias("person_ord")).agg(F.min(F.struct("dist_norm", "vehicle_ord", "vehicle_track_id", *carry)).alias("best"))
+    return best.select(*KEYS, "person_track_id", "person_ord", "best.vehicle_track_id", "best.dist_norm", *[f"best.{c}" for c in carry])
 
 
 def nearest_any(persons: DataFrame, vehicles: DataFrame) -> DataFrame:

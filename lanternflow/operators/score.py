@@ -17,7 +17,11 @@ def gate_score(confidence: Column, threshold: float) -> Column:
 
 def hits_by_vehicle(nearest: DataFrame, hits: DataFrame) -> DataFrame:
     """The greatest confidence and the people of each vehicle with a hit, in the order they were detected."""
-    joined = nearest.join(hits.select(*KEYS, "person_track_id", "confidence"), [*KEYS, "person_track_id"])
+    return group_hits(nearest.join(hits.select(*KEYS, "person_track_id", "confidence"), [*KEYS, "person_track_id"]))
+
+
+def group_hits(joined: DataFrame) -> DataFrame:
+    """As ``hits_by_vehicle``, for hits that already carry their vehicle and their person's ordinal."""
     people = F.transform(F.array_sort(F.collect_list(F.struct("person_ord", "person_track_id"))), lambda x: x["person_track_id"])
     return joined.groupBy(*KEYS, "vehicle_track_id").agg(F.max("confidence").alias("confidence"), people.alias("person_ids"))
 

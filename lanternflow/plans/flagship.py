@@ -31,17 +31,24 @@ class Detections:
         """Crops of gated persons: what a model would be shown."""
         return detect.crop_windows(gate.gated(self.persons, self.vehicles, self.config.weapon_proximity_norm), self.config.weapon_pad_ratio)
 
-    @property
-    def hits(self) -> DataFrame:
-        return detect.hits(self.raw, self.crops, self.config.weapon_conf)
-
     @property
     def nearest(self) -> DataFrame:
         return gate.nearest_gated(self.persons, self.vehicles, self.config.weapon_proximity_norm)
 
+    @property
+    def matched(self) -> DataFrame:
+        """Each gated person's best threat with the nearest vehicle: one person-vehicle join and one with the boxes."""
+        near = gate.nearest_gated(self.persons, self.vehicles, self.config.weapon_proximity_norm, ("bbox", "width", "height"))
+        crops = detect.crop_windows(near, self.config.weapon_pad_ratio).drop("bbox", "width", "height")
+        return detect.in_crops(detect.best_threat(detect.threats(self.raw, self.config.weapon_conf)), crops)
+
+    @property
+    def hits(self) -> DataFrame:
+        return self.matched.select("clip_id", "frame_idx", "person_track_id", "confidence", "bbox")
+
     @property
     def by_vehicle(self) -> DataFrame:
-        return score.hits_by_vehicle(self.nearest, self.hits)
+        return score.group_hits(self.matched)
 
     @property
     def samples(self) -> DataFrame:
