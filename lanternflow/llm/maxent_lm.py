@@ -122,15 +122,33 @@ def _history(block: Block) -> np.ndarray:
     return f
 
 
-def class_logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Log-softmax of the classes for a run of histories; the last row of w is the bias."""
-    x = w[f[0]]
-    x += w[f[1]]
-    x += w[f[2]]
+_ONES = np.ones(CLASSES, np.float32)
+
+
+def _softmax(w: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a run of histories: logits x (kept where exp neither overflows nor vanishes), exp(x), and its sums.
+
+    The last row of w is the bias.
+    """
+    x = np.take(w, f[0], axis=0)
+    x += np.take(w, f[1], axis=0)
+    x += np.take(w, f[2], axis=0)
     x += w[BUCKETS]
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    np.clip(x, -60, 60, out=x)
+    e = np.exp(x)
+    return x, e, e @ _ONES
+
+
+def class_logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Log-probabilities of all classes for a run of histories."""
+    x, _, z = _softmax(w, f)
+    return x - np.log(z)[:, None]
+
+
+def class_scores(w: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-probability of each history's own class."""
+    x, _, z = _softmax(w, f)
+    return x[np.arange(len(y)), y] - np.log(z)
 
 
 def train_on(w: np.ndarray, square: np.ndarray, block: Block, classes: Classes, turn: int, rounds: int, rate: float = RATE) -> int:
@@ -143,10 +161,11 @@ def train_on(w: np.ndarray, square: np.ndarray, block: Block, classes: Classes,
     f, y = _history(block)[:, at], classes.of(block.vocab, block.ending)[block.tokens[at]]
     for s in range(0, len(at), STEP):
         fs, ys = f[:, s : s + STEP], y[s : s + STEP]
-        g = np.exp(class_logits(w, fs))
+        _, g, z = _softmax(w, fs)
+        g /= z[:, None]
         g[np.arange(len(ys)), ys] -= 1
         for k in range(3):
-            order = np.argsort(fs[k], kind="stable")
+            order = np.argsort(fs[k].astype(np.uint16), kind="stable")
             own = fs[k][order]
             cut = np.flatnonzero(np.diff(own, prepend=-1))
             total = np.add.reduceat(g[order], cut, axis=0)
@@ -217,8 +236,7 @@ def _scorer(model, classes: Classes, emit, base: tuple[int, int]):
             score = inside[block.tokens]
             w = model.value
             for s in range(0, len(y), STEP):
-                x = class_logits(w, f[:, s : s + STEP])
-                score[s : s + STEP] += x[np.arange(len(x)), y[s : s + STEP]] / np.log(10)
+                score[s : s + STEP] += class_scores(w, f[:, s : s + STEP], y[s : s + STEP]) / np.log(10)
             add = lambda v: np.add.reduceat(v, cut)
             out.append(pa.table({
                 "doc_id": block.doc_id, "held_out": block.held.astype(bool), "n_tokens": np.diff(block.first), "n_known": add((c > 0).astype(np.int64)[block.tokens]),
