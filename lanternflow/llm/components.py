@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 
 from lanternflow.llm import core
 
+#: Links that one task takes without a shuffle (a few MB).
+SMALL = 200_000
+
 
 def _large_star(links: DataFrame) -> DataFrame:
+    """Each node's larger neighbours move to the smallest of the node and its neighbours.  Gives a > b."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(low, "a")
+    """Each node and its smaller neighbours move to the smallest of these.  Takes and gives a > b."""
+    low = links.groupBy("a").agg(F.min("b").alias("low"))
+    moved = links.join(low, "a")
     return moved.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
 
 
@@ -30,11 +34,14 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(a, b): each linked node but the smallest of its component, and that smallest one.
 
     ``links`` has two long columns a and b; their order and repeats do not
-    matter and links of a node with itself are ignored.
+    matter and links of a node with itself are ignored.  A table of at most
+    ``SMALL`` links is one partition, which spares each round its shuffles.
     """
     now = core.stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(now)
     for _ in range(most_rounds):
+        if state[0] <= SMALL:
+            now = now.coalesce(1)
         now = core.stored(_small_star(_large_star(now)), "links")
         last, state = state, _state(now)
         if state == last:

@@ -502,8 +502,9 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     second = left.select("token", "set", "n", "pos", "comp", "lead", "shared", "known").mapInArrow(_second(pct), "a long, b long").union(derived).distinct()
     done = first.select("a", "b").union(first.select("b", "a"))
     second = core.stored(plausible(second.join(done, ["a", "b"], "left_anti"), rows, pct), "pairs")
-    more = compare_pairs(texts, second, size, pct).where("linked").select("a", "b")
-    stars = components(stars.union(core.stored(more, "links")))
+    more = core.stored(compare_pairs(texts, second, size, pct).where("linked").select("a", "b"), "links")
+    if not more.isEmpty():
+        stars = components(stars.union(more))
     out = rows.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id")), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternflow.llm import bpe, compression_rules, core, fingerprints, jaccard_join, line_dedup, maxent_lm, packing, pii, quality_classifier, substring_dedup
+from lanternflow.llm import components as components_module
 from lanternflow.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, component_id string, rest string"
@@ -161,7 +162,9 @@ def test_keep_one(docs):
     assert Counter(r.doc_id for r in kept.collect()) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components_module, "SMALL", small)
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(i, i + 1) for i in range(300, 360)] + [(500, 500 + i) for i in range(1, 40)]
     got = {r.a: r.b for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
