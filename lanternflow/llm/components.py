@@ -16,18 +16,22 @@ from lanternflow.llm import core
 SMALL = 200_000
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, small: bool) -> DataFrame:
     """Each node's larger neighbours move to the smallest of the node and its neighbours.  Gives a > b."""
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _fewer(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), small)
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
     return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, small: bool) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of these.  Takes and gives a > b."""
     low = links.groupBy("a").agg(F.min("b").alias("low"))
-    moved = links.join(low, "a")
-    return moved.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
+    moved = links.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return _fewer(moved.union(low.select("a", F.col("low").alias("b"))), small).where("a <> b").distinct()
+
+
+def _fewer(df: DataFrame, small: bool) -> DataFrame:
+    return df.coalesce(1) if small else df
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -40,9 +44,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     now = core.stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(now)
     for _ in range(most_rounds):
-        if state[0] <= SMALL:
-            now = now.coalesce(1)
-        now = core.stored(_small_star(_large_star(now)), "links")
+        small = state[0] <= SMALL
+        now = core.stored(_small_star(_large_star(now, small), small), "links")
         last, state = state, _state(now)
         if state == last:
             return now

@@ -120,6 +120,18 @@ def binary_column(data: bytes | np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(off), pa.py_buffer(data)])
 
 
+def bit_filter(slots: DataFrame, bits: int) -> bytes:
+    """A bit for each slot (a column ``at`` below ``bits``), packed little-endian.
+
+    Slots are combined to 64-bit words before they are shuffled, so at most
+    bits / 64 rows are collected, whatever the input.
+    """
+    words = slots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy().astype(np.int64)] = words.column("bits").to_numpy().view(np.uint64)
+    return out.tobytes()
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -131,7 +131,7 @@ def _census(size: int):
         s = np.sort(np.concatenate(every))
         at = np.flatnonzero(np.diff(s, prepend=~s[:1])) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.append(at, len(s)))
-        often = count >= max(4, -(-len(s) // FREQUENT))
+        often = count >= max(2, -(-len(s) // FREQUENT))
         k, m = len(ids), int(often.sum())
         none = lambda t, x: pa.nulls(x, t)
         yield pa.RecordBatch.from_arrays(
@@ -371,11 +371,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Re
 def _id_filter(spark: SparkSession, ids: DataFrame):
     """A broadcast bit filter over ids, of fixed size."""
     slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("at"))
-    blocks = slots.groupBy(F.shiftright("at", 15).cast("int").alias("block")).agg(F.collect_set(F.col("at").bitwiseAND(F.lit(32767)).cast("short")).alias("at"))
-    has = np.zeros(FILTER_BITS, bool)
-    for r in blocks.toLocalIterator():
-        has[(r["block"] << 15) + np.array(r["at"], np.int64)] = True
-    return spark.sparkContext.broadcast(np.packbits(has, bitorder="little").tobytes())
+    return spark.sparkContext.broadcast(core.bit_filter(slots, FILTER_BITS))
 
 
 def _pick(bits):
@@ -436,7 +432,7 @@ def compare_pairs(docs: DataFrame, pairs: DataFrame, size: int, pct: int) -> Dat
     return sent.select("a", "part", "role", "doc_id", "text").mapInArrow(_verify(size, pct), "a long, b long, shared long, linked boolean, delta binary")
 
 
-def frequent_table(rows: DataFrame, floor: int = 16) -> tuple[np.ndarray, np.ndarray] | tuple:
+def frequent_table(rows: DataFrame, floor: int = 8) -> tuple[np.ndarray, np.ndarray] | tuple:
     """The most frequent tokens, ascending, with their rank by count: at most ``FREQUENT``.
 
     A histogram of counts (four bins to a doubling) gives the least count that

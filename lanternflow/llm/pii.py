@@ -161,11 +161,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: i
     pairs = found.where(F.size("near") > 0).select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.e", "x.t").distinct()
     pairs = core.stored(pairs.groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "terms")
     entities = found.where(F.size("entities") > 0).select("doc_id", F.explode("entities").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    slots = pairs.select(_filter_slots(F.col("t")).alias("b")).groupBy(F.shiftright("b", 13).cast("int").alias("block")).agg(F.collect_set(F.col("b").bitwiseAND(F.lit(8191)).cast("int")).alias("at"))
-    has = np.zeros(FILTER_BITS, bool)
-    for r in slots.toLocalIterator():
-        has[(r["block"] << 13) + np.array(r["at"], np.int64)] = True
-    bits = spark.sparkContext.broadcast(np.packbits(has, bitorder="little").tobytes())
+    bits = spark.sparkContext.broadcast(core.bit_filter(pairs.select(_filter_slots(F.col("t")).alias("at")), FILTER_BITS))
     terms = core.arrow_map(core.id_text(docs).select("text"), _term_counts(bits), "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     n_et, n_e, n_t = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_et", "n_e", "n_t"))
     pmi, ic = F.log(F.lit(float(max(total, 1))) * n_et / (n_e * n_t)), F.log(F.lit(float(max(total, 1))) / n_e)
