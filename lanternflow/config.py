@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The defaults of a run, and the names under which its metadata gives them.
 @dataclass(frozen=True)
 class RunConfig:
     video_path: str = ""
@@ -25,7 +26,8 @@ class RunConfig:
     weapon_max_gap_s: float = 0.15
 
 
-#: Class ids the detector is asked for; 0 is a person, all others are vehicles.
+# Class ids the detector is asked for (0 is a person, all others are vehicles); names that are no
+# threat; the event's type; how long a banner stays; above-samples that a streak needs.
 DETECTOR_CLASSES = (0, 2, 3, 5, 7)
 NON_THREAT_NAMES = ("person", "hand", "phone")
 EVENT_TYPE = "weapon"
