@@ -476,18 +476,19 @@ def test_base_spans():
 
 
 def test_disclosing_terms_and_masks(spark):
-    rows = [(i, f"please ask Zyxwv about it at zy{k}@corp.example or later {'the words ' * 5}") for i in range(6) for k in [i % 2]]
-    rows += [(100 + i, f"please ask anybody about it or later the words number {i}") for i in range(200)] + [(400, None), (401, ""), (None, "ring +1 555 123 4567 now")]
+    rows = [(i, f"please ask Zyxwv{k} or Qrst{k} about it at zy{k}@corp.example or later {'the words ' * 5}") for i in range(6) for k in [i % 2]]
+    rows += [(100 + i, f"please ask anybody about it at home or later the words number {i}") for i in range(200)]
+    rows += [(300, "zyxwv0 alone"), (301, "zyxwv1 alone"), (400, None), (401, ""), (None, "ring +1 555 123 4567 now")]
     docs = frame(spark, rows)
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
     assert len(got) == len(rows) and got[400].spans == [] and got[core.NULL_ID].n_phone == 1
-    n = Counter(w for _, t in rows for w in set(toks(t)))
     for i in range(6):
         text = dict(rows)[i]
         kinds = {text[s.s : s.e]: pii.KINDS[s.k] for s in got[i].spans}
-        assert kinds == {f"zy{i % 2}@corp.example": "email", "Zyxwv": "generalise", "at": "generalise"} and n[b"zyxwv"] == 6
+        # Of 211 documents 3 have the entity; a term in 4, 3 of them with it, tells nearly all of it.
+        assert kinds == {f"zy{i % 2}@corp.example": "email", f"Zyxwv{i % 2}": "generalise", f"Qrst{i % 2}": "remove"}
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert out[0].startswith("please ask [TERM] about it [TERM] [EMAIL] or later") and out[100] == dict(rows)[100] and out[None] == "ring [PHONE] now"
+    assert out[0].startswith("please ask [TERM] or  about it at [EMAIL] or later") and out[100] == dict(rows)[100] and out[None] == "ring [PHONE] now"
     assert pii.sanitise(docs).columns == docs.columns
 
 
