@@ -22,9 +22,9 @@ when ``100 * |x & y| >= pct * |x | y|``.
    |y & l|) + min(|x - l|, |y - l|) is too little.  Only what is left is
    compared.
 
-Before texts travel to be compared, a pair must pass a bound from a few bytes
-of each set: bits that tell the parity of the tokens with each low part differ
-in at most |x - y| + |y - x| places.
+Before a pair leaves a list and before texts travel to be compared, it must
+pass a bound from a few bytes of each set: bits that tell the parity of the
+tokens with each low part differ in at most |x - y| + |y - x| places.
 
 No list is expanded into all pairs, and links between equal sets are one per
 copy.
@@ -312,11 +312,16 @@ def _second(pct: int):
         for table in _whole_groups(batches, "token"):
             token, ids, n, pos, comp, lead, shared, known = (numbers(table, c) for c in ("token", "set", "n", "pos", "comp", "lead", "shared", "known"))
             n, pos, known = n.astype(np.int64), pos.astype(np.int64), known.astype(bool)
+            parity = column(table, "parity")
             found: list[np.ndarray] = []
             cut = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
             for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(token)], strict=True):
                 x, y = list_pairs(n[s:e], pos[s:e], comp[s:e], lead[s:e], shared[s:e], known[s:e], pct)
-                found.append(np.stack([ids[s:e][x], ids[s:e][y]], axis=1))
+                if len(x):
+                    bits = parity.slice(s, e - s).to_pylist()
+                    most = n[s:e][x] + n[s:e][y] - 2 * needed(n[s:e][x], n[s:e][y], pct)
+                    ok = [parity_gap(bits[i], bits[j]) <= m for i, j, m in zip(x.tolist(), y.tolist(), most.tolist(), strict=True)]
+                    found.append(np.stack([ids[s:e][x[ok]], ids[s:e][y[ok]]], axis=1))
             yield from _pairs(found)
 
     return run
@@ -494,8 +499,9 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     left = left.join(mixed, "token", "left_semi").join(known.select("lead", "set", "shared", F.col("delta").isNotNull().alias("known")), ["lead", "set"], "left")
     own = F.col("set") == F.col("lead")
     left = left.withColumns({"shared": F.when(own, F.col("n").cast("long")).otherwise(F.coalesce("shared", F.lit(-1))), "known": own | F.coalesce("known", F.lit(False))})
+    left = left.join(rows.select(F.col("doc_id").alias("set"), F.col("n").cast("int").alias("n"), "parity").distinct(), ["set", "n"])
     left = left.repartition(core.parts(spark), "token").sortWithinPartitions("token", "n", "pos", "set")
-    second = left.select("token", "set", "n", "pos", "comp", "lead", "shared", "known").mapInArrow(_second(pct), "a long, b long").union(derived).distinct()
+    second = left.select("token", "set", "n", "pos", "comp", "lead", "shared", "known", "parity").mapInArrow(_second(pct), "a long, b long").union(derived).distinct()
     done = first.select("a", "b").union(first.select("b", "a"))
     second = core.stored(plausible(second.join(done, ["a", "b"], "left_anti"), rows, pct), "pairs")
     more = core.stored(compare_pairs(texts, second, size, pct).where("linked").select("a", "b"), "links")
