@@ -419,6 +419,25 @@ def test_runs():
     assert substring_dedup.runs(m, 75, 24) == [] == substring_dedup.runs(np.zeros(0, bool), 75, 1)
 
 
+def test_windows_that_fit_no_leader_lead(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(20):
+        own = [[f"u{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+        p = [f"p{k}x{i}" for i in range(56)]
+        # The smallest id ends with the passage's first half.
+        rows += [(3 * k, " ".join(own[0] + p[:30])), (3 * k + 1, " ".join(p + own[1])), (3 * k + 2, " ".join(p + own[2]))]
+    got = {r.doc_id for r in substring_dedup.repeated_passages(frame(spark, rows), functions=1, agree=1).collect()}
+    assert got == {i for i, _ in rows if i % 3}
+
+
+def test_link_tries_all_windows_of_a_leader():
+    key, ids = np.full(5, 9), np.array([1, 1, 2, 3, 3])
+    left, right = np.array([46, 10, 12, 5, 5]), np.array([3, 41, 46, 20, 41])
+    links, lead = substring_dedup._link(key, ids, left, right, 46)
+    assert set(zip(links["a"].tolist(), links["b"].tolist(), strict=True)) == {(1, 2), (1, 3)} and lead.tolist() == [0, 1]
+
+
 # --- 9: fingerprints
 
 
