@@ -438,6 +438,24 @@ def test_link_tries_all_windows_of_a_leader():
     assert set(zip(links["a"].tolist(), links["b"].tolist(), strict=True)) == {(1, 2), (1, 3)} and lead.tolist() == [0, 1]
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(5)
+    w = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(400):
+        p = w(rng.randint(50, 60))
+        q = list(p)
+        for i in rng.sample(range(4, 46), 2):
+            q[i] = f"x{i}"
+        pair = [w(rng.randint(20, 120)) + t + w(rng.randint(20, 120)) for t in (p, q)]
+        five = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in pair]
+        if any(substring_dedup.runs(np.isin(np.arange(len(a)), [i for i, g in enumerate(a) if g in set(b)]), 75, 46) for a, b in (five, five[::-1])):
+            want |= {2 * k, 2 * k + 1}
+        rows += [(2 * k + i, " ".join(t)) for i, t in enumerate(pair)]
+    got = {r.doc_id for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert len(want) > 500 and want <= got
+
+
 # --- 9: fingerprints
 
 
