@@ -456,6 +456,26 @@ def test_edited_passages_are_found(spark):
     assert len(want) > 500 and want <= got
 
 
+def test_runs_against_all_stretches():
+    m = np.zeros(80, bool)
+    m[0:5] = m[15:40] = m[48:68] = True
+    assert substring_dedup.runs(m, 75, 46) == [(15, 68, 45)]
+    rng = np.random.default_rng(4)
+    for n in range(60):
+        m = np.repeat(rng.random(n) < 0.7, rng.integers(1, 5, n))
+        ends = [(i, j, int(m[i:j].sum())) for i in range(len(m)) for j in range(i + 1, len(m) + 1) if m[i] and m[j - 1]]
+        good = [x for x in ends if x[1] - x[0] >= 6 and 100 * x[2] >= 75 * (x[1] - x[0])]
+        far = {}
+        for i, j, k in good:
+            far[i] = max(far.get(i, (0, 0)), (j, k))
+        want, top = [], 0
+        for i in sorted(far):
+            if far[i][0] > top:
+                top = far[i][0]
+                want.append((i, *far[i]))
+        assert substring_dedup.runs(m, 75, 6) == want
+
+
 # --- 9: fingerprints
 
 
