@@ -2,7 +2,8 @@
 
 The base finds e-mail addresses, IP addresses, card and phone numbers.  Each
 value found is a protected entity.  A term near its mentions discloses it when
-the two go together far more than by chance: with document counts,
+the two go together far more than by chance, and is masked wherever it stands
+in a document with the entity: with document counts,
 
     PMI(e; t) = log(N * n(e,t) / (n(e) * n(t)))  >=  alpha * IC(e),  IC(e) = log(N / n(e)),
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from lanternflow.llm import core
 from lanternflow.llm.core import column, numbers
+from lanternflow.llm.jaccard_join import FILTER_BITS as ID_BITS
+from lanternflow.llm.jaccard_join import _id_filter, _pick
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -86,8 +89,8 @@ def entity(kind: int, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - 2**63
 
 
-def context(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the words within so many words of each mention and clear of all spans."""
+def clear_words(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, start, end) of the words, in code points, and which are clear of all spans."""
     raw = np.frombuffer(text.encode(), np.uint8)
     words = core.Words(raw, np.array([0, len(raw)]))
     point = np.zeros(len(raw) + 1, np.int64)
@@ -96,18 +99,23 @@ def context(text: str, spans: list[tuple[int, int, int]], window: int) -> list[t
     clear = np.ones(len(start), bool)
     for s, _, e in spans:
         clear[np.searchsorted(end, s, "right") : np.searchsorted(start, e, "left")] = False
-    out = []
+    return words.hash.view(np.int64), start, end, clear
+
+
+def context(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tuple[int, int]]:
+    """(entity, term) of the words within so many words of each mention and clear of all spans."""
+    term, start, end, clear = clear_words(text, spans)
+    out = set()
     for s, k, e in spans:
         who = entity(k, text[s:e])
         lo, hi = np.searchsorted(end, s, "right"), np.searchsorted(start, e, "left")
-        for w in range(max(0, lo - window), min(len(start), hi + window)):
-            if clear[w]:
-                out.append((who, int(words.hash[w].astype(np.int64)), int(start[w]), int(end[w])))
+        near = slice(max(0, lo - window), min(len(start), hi + window))
+        out.update((who, t) for t in term[near][clear[near]].tolist())
     return out
 
 
 _SPAN = "array<struct<s:int,k:int,e:int>>"
-_FOUND = f"doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {_SPAN}, entities array<long>, near array<struct<e:long,t:long,s:int,f:int>>"
+_FOUND = f"doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {_SPAN}, entities array<long>, near array<struct<e:long,t:long>>"
 
 
 def _find(window: int):
@@ -121,12 +129,12 @@ def _find(window: int):
             rows["sha"].append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest() if spans else empty)
             rows["base"].append([{"s": s, "k": k, "e": e} for s, k, e in spans])
             rows["entities"].append(sorted({entity(k, t[s:e]) for s, k, e in spans}))
-            rows["near"].append([{"e": e, "t": w, "s": s, "f": f} for e, w, s, f in context(t, spans, window)] if spans else [])
+            rows["near"].append([{"e": e, "t": w} for e, w in sorted(context(t, spans, window))] if spans else [])
         n = np.array(rows["count"], np.int64).reshape(-1, 4)
         yield core.batch_of(
             doc_id=numbers(b, "doc_id"), mark=numbers(b, "mark"), n_email=n[:, 0].copy(), n_ip=n[:, 1].copy(), n_card=n[:, 2].copy(), n_phone=n[:, 3].copy(),
             base_sha256=pa.array(rows["sha"], pa.string()), base=pa.array(rows["base"], pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))),
-            entities=pa.array(rows["entities"], pa.list_(pa.int64())), near=pa.array(rows["near"], pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("f", pa.int32())]))),
+            entities=pa.array(rows["entities"], pa.list_(pa.int64())), near=pa.array(rows["near"], pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))),
         )
 
     return fn
@@ -171,6 +179,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: i
     )
 
 
+def _mark_terms(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The places of each text's terms, wherever they stand clear of the base's finds."""
+    more: list[list[dict]] = []
+    for text, terms in zip(column(b, "text").to_pylist(), column(b, "terms").to_pylist(), strict=True):
+        kind = {x["t"]: x["k"] for x in sorted(terms, key=lambda x: x["k"])}
+        term, start, end, clear = clear_words(text, base_spans(text))
+        at = np.flatnonzero(clear & np.isin(term, np.fromiter(kind, np.int64, len(kind))))
+        more.append([{"s": int(start[w]), "k": kind[int(term[w])], "e": int(end[w])} for w in at])
+    kinds = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
+    yield core.batch_of(doc_id=numbers(b, "doc_id"), mark=numbers(b, "mark"), more=pa.array(more, kinds))
+
+
 def find_pii(docs: DataFrame, window: int = WINDOW, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """Find personal data and the terms that disclose it.
 
@@ -185,9 +205,12 @@ def find_pii(docs: DataFrame, window: int = WINDOW, alpha: float = ALPHA, suppor
     texts = core.id_text(docs).withColumn("mark", F.xxhash64("text"))
     found = core.stored(core.arrow_map(texts, _find(window), _FOUND), "pii")
     terms = disclosing_terms(docs, found, alpha, support)
-    near = found.where(F.size("near") > 0).select("doc_id", "mark", F.explode("near").alias("x")).select("doc_id", "mark", "x.*")
-    more = near.join(terms, ["e", "t"]).groupBy("doc_id", "mark", "s", "f").agg(F.max("kind").alias("k"))
-    more = more.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("s", "k", F.col("f").alias("e"))).alias("more"))
+    told = found.where(F.size("entities") > 0).select("doc_id", "mark", F.explode("entities").alias("e")).join(terms, "e")
+    told = core.stored(told.groupBy("doc_id", "mark", "t").agg(F.max("kind").alias("k")).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("t", "k")).alias("terms")), "told")
+    bits = _id_filter(docs.sparkSession, told.select(F.col("doc_id").alias("id")))
+    picked = core.arrow_map(core.id_text(docs).withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))), _pick(bits), "doc_id long, text string")
+    hold = picked.withColumn("mark", F.xxhash64("text")).join(told, ["doc_id", "mark"]).select("doc_id", "mark", "text", "terms")
+    more = core.arrow_map(hold, _mark_terms, f"doc_id long, mark long, more {_SPAN}").groupBy("doc_id", "mark").agg(F.first("more").alias("more"))
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
     return found.drop("near", "entities").join(more, ["doc_id", "mark"], "left").withColumn("spans", spans).drop("more", "base")
 

@@ -549,6 +549,13 @@ def test_disclosing_terms_and_masks(spark):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def test_disclosing_terms_are_masked_away_from_the_mention(spark):
+    rows = [(i, f"Zyxwv wrote this {'and so on ' * 5} write to Zyxwv at zy@corp.example {'and so on ' * 5} yours Zyxwv") for i in range(4)]
+    rows += [(100 + i, f"wrote this and so on write to him at home yours number {i}") for i in range(200)]
+    out = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert all("[EMAIL]" in out[i] and "Zyxwv" not in out[i] for i in range(4)) and out[100] == dict(rows)[100]
+
+
 # --- all of them
 
 
