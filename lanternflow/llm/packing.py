@@ -4,9 +4,12 @@ Documents become pieces (only documents longer than a sequence are cut), and
 pieces are packed by bounded-space online best-fit: at most ``OPEN`` bins are
 open; a bitset over free space says in a few machine operations which open bin
 fits most tightly.  When a piece needs a new bin and all places are taken, the
-fullest open bin closes.  Groups of pieces, dealt at random and of bounded
-size, are packed independently, so the work spreads over any number of tasks;
-a group feeds its pieces from long to short.
+fullest open bin closes.
+
+Pieces are dealt to tasks at random and come there in the order of their
+documents; ``RUN`` of them arrive together and are placed from long to short.
+A task streams its pieces through the same open bins from its first to its
+last, so its memory does not depend on how many it has.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ from lanternflow.llm import core
 from lanternflow.llm.core import column, numbers
 
 LENGTH = 2048
-OPEN = 4096
-#: Pieces packed together, on average.
-GROUP = 16_384
+#: Bins that are open at once in a task, and pieces that arrive together.
+OPEN, RUN = 64, 256
+#: Pieces of one task, on average; each task ends with some bins unfilled, at most ``OPEN``.
+TASK = 1 << 16
 SEPARATOR = 0
 #: Words whose ids a Python worker keeps.
 CACHE = 400_000
@@ -122,60 +126,81 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
     return core.id_text(docs).mapInArrow(_cutter(tokenizer, length, with_ids), schema)
 
 
-def best_fit(lengths: list[int], room: int, most_open: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each length, in the order given.
+class OpenBins:
+    """Bounded-space online best-fit.
 
     ``bits`` has bit f set if an open bin has f free places; ``bins[f]`` are
     those bins.  The lowest set bit at or above a length is the best fit, the
-    lowest of all is the fullest bin.
+    lowest of all is the fullest bin.  ``closed`` counts bins closed for want
+    of a place.
     """
-    bits, n_open, made = 0, 0, 0
-    bins: list[list[int]] = [[] for _ in range(room + 1)]
-    at: list[int] = []
-    place: list[int] = []
-    for n in lengths:
-        fits = bits >> n
-        if fits:
-            free = n + ((fits & -fits).bit_length() - 1)
-            b = bins[free].pop()
-            if not bins[free]:
-                bits ^= 1 << free
-            n_open -= 1
-        else:
-            if n_open == most_open and n < room:
-                full = (bits & -bits).bit_length() - 1
-                bins[full].pop()
-                if not bins[full]:
-                    bits ^= 1 << full
-                n_open -= 1
-            free, b, made = room, made, made + 1
-        at.append(b)
-        place.append(room - free)
-        if free > n:
-            bins[free - n].append(b)
-            bits |= 1 << (free - n)
-            n_open += 1
-    return at, place
-
-
-def _packer(room: int, most_open: int):
-    def fn(key: tuple, t: pa.Table) -> pa.Table:
-        order = np.lexsort([t.column(c).to_numpy() for c in ("slot", "piece", "doc_id")] + [-t.column("length").to_numpy()])
-        t = t.take(pa.array(order))
-        at, place = best_fit(t.column("length").to_pylist(), room, most_open)
-        seq = np.array(at, np.int64) + (int(key[0].as_py()) << 32)
-        return t.drop_columns(["slot", "group"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(place, pa.int64()))
-
-    return fn
-
-
-def pack(found: DataFrame, length: int = LENGTH, most_open: int = OPEN, group: int = GROUP) -> DataFrame:
+
+    def __init__(self, room: int, most_open: int) -> None:
+        self.room, self.most_open = room, most_open
+        self.bits, self.open, self.made, self.closed = 0, 0, 0, 0
+        self.bins: list[list[int]] = [[] for _ in range(room + 1)]
+
+    def _take(self, free: int) -> int:
+        b = self.bins[free].pop()
+        if not self.bins[free]:
+            self.bits ^= 1 << free
+        self.open -= 1
+        return b
+
+    def put(self, lengths: list[int]) -> tuple[list[int], list[int]]:
+        """Bin and offset of each length, in the order given."""
+        room, bins = self.room, self.bins
+        at: list[int] = []
+        place: list[int] = []
+        for n in lengths:
+            fits = self.bits >> n
+            if fits:
+                free = n + ((fits & -fits).bit_length() - 1)
+                b = self._take(free)
+            else:
+                if self.open == self.most_open and n < room:
+                    self._take((self.bits & -self.bits).bit_length() - 1)
+                    self.closed += 1
+                free, b = room, self.made
+                self.made += 1
+            at.append(b)
+            place.append(room - free)
+            if free > n:
+                bins[free - n].append(b)
+                self.bits |= 1 << (free - n)
+                self.open += 1
+        return at, place
+
+
+def longest_first(lengths: np.ndarray, run: int) -> np.ndarray:
+    """The order in which pieces are placed: run by run as they arrive, inside a run from long to short (ties as they came)."""
+    return np.lexsort((-lengths, np.arange(len(lengths)) // run))
+
+
+def _packer(room: int, most_open: int, run: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, high = OpenBins(room, most_open), TaskContext.get().partitionId() << 32
+        for b in batches:
+            if not b.num_rows:
+                continue
+            length = numbers(b, "length")
+            order = longest_first(length, run)
+            seq, place = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+            seq[order], place[order] = bins.put(length[order].tolist())
+            keep = [c for c in b.schema.names if c != "slot"]
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in keep), pa.array(seq + high), pa.array(place)], names=[*keep, "sequence_id", "offset"])
+
+    return go
+
+
+def pack(found: DataFrame, length: int = LENGTH, most_open: int = OPEN, run: int = RUN, task: int = TASK) -> DataFrame:
     """Give each piece a sequence and its place there."""
     found = core.stored(found, "pieces")
-    groups = max(1, -(-found.count() // group))
+    tasks = max(1, -(-found.count() // task))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "slot")
-    dealt = found.withColumn("group", F.pmod("slot", F.lit(groups)).cast("long"))
-    return dealt.groupBy("group").applyInArrow(_packer(length, most_open), f"{fields}, sequence_id long, offset long")
+    # Every column decides the order, so a task that runs again packs alike.
+    dealt = found.repartition(tasks, "slot").sortWithinPartitions("doc_id", "piece", "slot", "length", "ids_crc32")
+    return dealt.mapInArrow(_packer(length, most_open, run), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, most_open: int = OPEN, with_ids: bool = False) -> DataFrame:
@@ -188,7 +213,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, most_o
 
     Null or empty text: the separator alone, a piece of length 1.  A null
     doc_id is packed and given back as null.  Repeated rows are packed once
-    each.  An empty table gives no pieces.
+    each.  Of open bins with equal space the last used is taken.  Very long
+    texts are tokenised whole.  An empty table gives no pieces.
     """
     return core.give_back_ids(pack(pieces(docs, tokenizer, length, with_ids), length, most_open))
 

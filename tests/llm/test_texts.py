@@ -263,7 +263,8 @@ def test_packing(docs, library):
 def test_best_fit(most):
     rng = random.Random(most)
     lengths = [rng.randint(1, 50) for _ in range(500)]
-    at, place = packing.best_fit(lengths, 50, most)
+    bins = packing.OpenBins(50, most)
+    at, place = (x + y for x, y in zip(bins.put(lengths[:200]), bins.put(lengths[200:]), strict=True))
     free: dict[int, int] = {}  # of bins that may be open
     for k, (n, b, p) in enumerate(zip(lengths, at, place, strict=True)):
         used_later = set(at[k:])
@@ -280,7 +281,25 @@ def test_best_fit(most):
     total: Counter = Counter()
     for n, b in zip(lengths, at, strict=True):
         total[b] += n
-    assert max(total.values()) <= 50
+    assert max(total.values()) <= 50 and (bins.closed > 0) == (most < 500)
+
+
+def test_packing_closes_bins_and_fills_them():
+    """With the query's own settings bins close for want of a place, and sequences stay within 1 % of the least number."""
+    rng = np.random.default_rng(2)
+    lengths = np.minimum(2048, 1 + rng.lognormal(6.5, 1.1, packing.TASK).astype(np.int64))
+    order = packing.longest_first(lengths, packing.RUN)
+    assert (np.sort(order.reshape(-1, packing.RUN), axis=1).ravel() == np.arange(len(lengths))).all()
+    bins = packing.OpenBins(packing.LENGTH, packing.OPEN)
+    at, _ = bins.put(lengths[order].tolist())
+    assert bins.closed > 0 and bins.open <= packing.OPEN and len(set(at)) <= 1.01 * lengths.sum() / packing.LENGTH
+
+
+def test_packing_over_several_tasks(docs):
+    tasks = packing.pack(packing.pieces(docs, packing.tokenizer_path("byte_bpe_50k.json"), 64), 64, 4, 8, 50).collect()
+    assert len({r.sequence_id >> 32 for r in tasks}) > 3
+    ends = {(r.sequence_id, r.offset + r.length) for r in tasks}
+    assert all(r.offset == 0 or (r.sequence_id, r.offset) in ends for r in tasks) and max(e for _, e in ends) <= 64
 
 
 # --- 4: compression rules
