@@ -132,6 +132,38 @@ def bit_filter(slots: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
+#: Bits of a filter over ids that is broadcast (4 MB); false hits are removed by a join.
+ID_BITS = 1 << 25
+
+
+def id_slot(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(ID_BITS))
+
+
+def id_filter(spark: SparkSession, ids: DataFrame | None):
+    """A broadcast bit filter over the column ``id``, of fixed size; None: no id."""
+    return spark.sparkContext.broadcast(bytes(ID_BITS // 8) if ids is None else bit_filter(ids.select(id_slot("id").alias("at")), ID_BITS))
+
+
+def in_id_filter(bits: bytes, at: np.ndarray) -> np.ndarray:
+    has = np.frombuffer(bits, np.uint8)
+    return ((has[at >> 3] >> (at & 7)) & 1).astype(bool)
+
+
+def with_slot(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) with each id's place in a filter, for ``in_id_filter``."""
+    return texts.select("doc_id", "text", id_slot("doc_id").alias("at"))
+
+
+def pick(texts: DataFrame, bits) -> DataFrame:
+    """The rows (doc_id, text) whose id a filter may hold."""
+
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield b.filter(pa.array(in_id_filter(bits.value, numbers(b, "at")))).select(["doc_id", "text"])
+
+    return arrow_map(with_slot(texts), fn, "doc_id long, text string")
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

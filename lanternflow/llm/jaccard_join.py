@@ -53,8 +53,6 @@ SHORT, RUN = 256, 512
 MEMBERS = 2_000
 #: Members of a leader whose deltas are compared in one task.
 GROUP = 8_192
-#: Bits of the filter over needed ids that is broadcast (4 MB); false hits are removed by a join.
-FILTER_BITS = 1 << 25
 
 
 def needed(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
@@ -373,21 +371,6 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Re
         yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
 
 
-def _id_filter(spark: SparkSession, ids: DataFrame):
-    """A broadcast bit filter over ids, of fixed size."""
-    slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("at"))
-    return spark.sparkContext.broadcast(core.bit_filter(slots, FILTER_BITS))
-
-
-def _pick(bits):
-    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        has = np.frombuffer(bits.value, np.uint8)
-        at = numbers(b, "at")
-        yield b.filter(pa.array(((has[at >> 3] >> (at & 7)) & 1).astype(bool))).select(["doc_id", "text"])
-
-    return fn
-
-
 def _verify(size: int, pct: int):
     """Rows sorted by leader group and role: each member's overlap with its leader, and how it differs if that is little."""
 
@@ -431,8 +414,7 @@ def compare_pairs(docs: DataFrame, pairs: DataFrame, size: int, pct: int) -> Dat
     members = pairs.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
     leaders = counted.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("doc_id"))
     asked = leaders.union(members)
-    bits = _id_filter(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    texts = core.arrow_map(docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))), _pick(bits), "doc_id long, text string")
+    texts = core.pick(docs, core.id_filter(spark, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
     sent = texts.join(asked, "doc_id").repartition(core.parts(spark), "a", "part").sortWithinPartitions("a", "part", "role")
     return sent.select("a", "part", "role", "doc_id", "text").mapInArrow(_verify(size, pct), "a long, b long, shared long, linked boolean, delta binary")
 

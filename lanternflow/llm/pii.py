@@ -1,16 +1,21 @@
 """Personal data: fixed patterns, and terms that disclose them by corpus statistics.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers.  Each
-value found is a protected entity.  A term near its mentions discloses it when
-the two go together far more than by chance, and is masked wherever it stands
-in a document with the entity: with document counts,
+value found is a protected entity.  A term discloses it when the two go together
+far more than by chance; it is then masked wherever it stands in a document
+with the entity.  With counts of documents,
 
     PMI(e; t) = log(N * n(e,t) / (n(e) * n(t)))  >=  alpha * IC(e),  IC(e) = log(N / n(e)),
 
 the information-theoretic condition for t to give away the share alpha of what
-naming e would.  Terms that give away everything (they occur in no document
-without the entity) are removed, the others that exceed the threshold are
-generalised.  n(e), n(e,t) and n(t) cover all documents.
+naming e would.  n(e), n(e,t) and n(t) cover all documents and whole texts; a
+document is an id, however many rows it has.
+
+Terms that give away everything (they occur in no document without the entity)
+are removed.  The others that exceed the threshold are generalised to their
+shape (a name, a word, a code ...), if the shape stays under the threshold
+itself: it stands in n(s) documents, so it gives away log(N / n(s)) at most.  A
+shape that is too rare is no cover, and its terms are removed.
 """
 
 from __future__ import annotations
@@ -27,8 +32,6 @@ from pyspark.sql import functions as F
 
 from lanternflow.llm import core
 from lanternflow.llm.core import column, numbers
-from lanternflow.llm.jaccard_join import FILTER_BITS as ID_BITS
-from lanternflow.llm.jaccard_join import _id_filter, _pick
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -36,13 +39,18 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MASK = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
+MASK = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+#: What a term is generalised to, by its shape: digits; digits and letters; small letters; capitals; a capital first; anything else.
+SHAPES = ("[NUMBER]", "[CODE]", "[WORD]", "[CAPITALS]", "[NAME]", "[TERM]")
 
 _DIGITS = re.compile("[^0-9]")
 _DOTTED = re.compile(r"[0-9]\.[0-9]").search
 _LONG = re.compile(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]").search
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-WINDOW, ALPHA, SUPPORT = 6, 0.9, 3
+ALPHA, SUPPORT = 0.9, 3
+#: Pairs of entity and term that a step makes before it adds them up.
+PAIRS = 2_000_000
+_ALONE = -(2**63)
 #: Bits of the filter over candidate terms that is broadcast (1 MB); false hits are removed by a join.
 FILTER_BITS = 1 << 23
 
@@ -102,117 +110,223 @@ def clear_words(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarra
     return words.hash.view(np.int64), start, end, clear
 
 
-def context(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tuple[int, int]]:
-    """(entity, term) of the words within so many words of each mention and clear of all spans."""
-    term, start, end, clear = clear_words(text, spans)
-    out = set()
-    for s, k, e in spans:
-        who = entity(k, text[s:e])
-        lo, hi = np.searchsorted(end, s, "right"), np.searchsorted(start, e, "left")
-        near = slice(max(0, lo - window), min(len(start), hi + window))
-        out.update((who, t) for t in term[near][clear[near]].tolist())
-    return out
+_UPPER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
+_UPPER[65:91], _DIGIT[48:58] = True, True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def shapes(words: core.Words) -> np.ndarray:
+    """The shape of each word (its place in ``SHAPES``); letters beyond ASCII count as small ones.  ``words`` keep their case."""
+    if not len(words.start):
+        return np.zeros(0, np.int64)
+    cut = np.stack([words.start, words.end], axis=1).ravel()
+    count = lambda m: np.add.reduceat(np.append(m[words.data], False).astype(np.int32), cut)[::2]
+    upper, digit, letter = count(_UPPER), count(_DIGIT), count(_LETTER)
+    first = _UPPER[words.data[words.start]]
+    return np.select([(digit > 0) & (letter == 0), digit > 0, letter == 0, upper == 0, (upper == letter) & (upper > 1), first & (upper == 1)], [0, 1, 5, 2, 3, 4], 5)
 
 
 _SPAN = "array<struct<s:int,k:int,e:int>>"
-_FOUND = f"doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {_SPAN}, entities array<long>, near array<struct<e:long,t:long>>"
+_FOUND = f"doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {_SPAN}, entities array<long>"
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
 
 
-def _find(window: int):
+def _find(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     empty = hashlib.sha256(b"").hexdigest()
+    rows: dict[str, list] = {k: [] for k in ("count", "sha", "base", "entities")}
+    for t in column(b, "text").to_pylist():
+        spans = base_spans(t)
+        rows["count"].append([sum(k == x for _, k, _ in spans) for x in range(4)] if spans else [0, 0, 0, 0])
+        rows["sha"].append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest() if spans else empty)
+        rows["base"].append([{"s": s, "k": k, "e": e} for s, k, e in spans])
+        rows["entities"].append(sorted({entity(k, t[s:e]) for s, k, e in spans}))
+    n = np.array(rows["count"], np.int64).reshape(-1, 4)
+    yield core.batch_of(
+        doc_id=numbers(b, "doc_id"), mark=numbers(b, "mark"), n_email=n[:, 0].copy(), n_ip=n[:, 1].copy(), n_card=n[:, 2].copy(), n_phone=n[:, 3].copy(),
+        base_sha256=pa.array(rows["sha"], pa.string()), base=pa.array(rows["base"], _SPANS), entities=pa.array(rows["entities"], pa.list_(pa.int64())),
+    )
 
-    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows: dict[str, list] = {k: [] for k in ("count", "sha", "base", "entities", "near")}
-        for t in column(b, "text").to_pylist():
-            spans = base_spans(t)
-            rows["count"].append([sum(k == x for _, k, _ in spans) for x in range(4)] if spans else [0, 0, 0, 0])
-            rows["sha"].append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest() if spans else empty)
-            rows["base"].append([{"s": s, "k": k, "e": e} for s, k, e in spans])
-            rows["entities"].append(sorted({entity(k, t[s:e]) for s, k, e in spans}))
-            rows["near"].append([{"e": e, "t": w} for e, w in sorted(context(t, spans, window))] if spans else [])
-        n = np.array(rows["count"], np.int64).reshape(-1, 4)
-        yield core.batch_of(
-            doc_id=numbers(b, "doc_id"), mark=numbers(b, "mark"), n_email=n[:, 0].copy(), n_ip=n[:, 1].copy(), n_card=n[:, 2].copy(), n_phone=n[:, 3].copy(),
-            base_sha256=pa.array(rows["sha"], pa.string()), base=pa.array(rows["base"], pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))),
-            entities=pa.array(rows["entities"], pa.list_(pa.int64())), near=pa.array(rows["near"], pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64())]))),
-        )
 
-    return fn
+def _slots(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return t & (FILTER_BITS - 1), (t >> np.int64(23)) & (FILTER_BITS - 1)
+
+
+def _in_filter(bits: bytes, t: np.ndarray) -> np.ndarray:
+    has = np.frombuffer(bits, np.uint8)
+    one, two = _slots(t)
+    return ((has[one >> 3] >> (one & 7)) & (has[two >> 3] >> (two & 7)) & 1).astype(bool)
+
+
+def _term_filter(spark: SparkSession, t: DataFrame):
+    """A broadcast bit filter over the terms of ``t``, of fixed size."""
+    slot = lambda x: x.bitwiseAND(F.lit(FILTER_BITS - 1))
+    slots = t.select(F.explode(F.array(slot(F.col("t")), slot(F.shiftright("t", 23)))).alias("at"))
+    return spark.sparkContext.broadcast(core.bit_filter(slots, FILTER_BITS))
 
 
-def _filter_slots(t: Column) -> Column:
-    return F.explode(F.array(F.pmod(t, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(t, 23), F.lit(FILTER_BITS))))
+def _own_terms(text: str) -> np.ndarray:
+    term, _, _, clear = clear_words(text, base_spans(text))
+    return np.unique(term[clear])
 
 
-def _term_counts(bits):
+def _common_terms(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with ``text`` of documents with entities: the terms of these texts and, for each, the documents."""
+    every = [_own_terms(t) for t in column(b, "text").to_pylist()]
+    t, n = np.unique(np.concatenate(every), return_counts=True)
+    yield core.batch_of(t=t, n=n.astype(np.int64))
+
+
+def _term_counts(terms, repeated):
+    """Documents with each term of the filter (t) and each shape (below 0: -1 - shape); rows of ids that may repeat are told one by one."""
+
     def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = numbers(b, "doc_id")
         data, off = core.text_bytes(column(b, "text"))
+        one = core.in_id_filter(repeated.value, numbers(b, "at"))
         all_t: list[np.ndarray] = []
+        told: list[tuple[np.ndarray, np.ndarray]] = []
         for i, j in core.steps(off):
-            words = core.Words(data, off[i : j + 1])
-            t = words.hash.view(np.int64)
-            has = np.frombuffer(bits.value, np.uint8)
-            one, two = t % FILTER_BITS, (words.hash >> core.U64(23)).view(np.int64) % FILTER_BITS
-            hit = ((has[one >> 3] >> (one & 7)) & (has[two >> 3] >> (two & 7)) & 1).astype(bool)
+            words, cased = core.Words(data, off[i : j + 1]), core.Words(data, off[i : j + 1], lower=False)
+            hit = _in_filter(terms.value, words.hash.view(np.int64))
             h, first = core.unique_per_doc(words.hash[hit], words.doc[hit], j - i)
-            all_t.append(h)
-        t, n = np.unique(np.concatenate(all_t).view(np.int64), return_counts=True)
-        yield core.batch_of(t=t, n=n.astype(np.int64))
+            kind = np.zeros((j - i, len(SHAPES)), bool)
+            kind[cased.doc, shapes(cased)] = True
+            doc, shape = np.nonzero(kind)
+            t = np.concatenate([h.view(np.int64), -1 - shape])
+            doc = np.concatenate([np.repeat(np.arange(j - i), np.diff(first)), doc])
+            alone = ~one[i:j][doc]
+            all_t.append(t[alone])
+            told.append((t[~alone], ids[i:j][doc[~alone]]))
+        t, n = np.unique(np.concatenate(all_t), return_counts=True)
+        more_t, more_id = (np.concatenate(x) for x in zip(*told, strict=True))
+        yield core.batch_of(t=np.concatenate([t, more_t]), n=np.append(n, np.zeros(len(more_t), np.int64)), doc_id=pa.concat_arrays([pa.nulls(len(t), pa.int64()), pa.array(more_id, pa.int64())]))
 
     return fn
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: int) -> DataFrame:
-    """(e, t, kind): terms that disclose an entity, with the number of their kind."""
-    spark = docs.sparkSession
-    total = docs.count()
-    pairs = found.where(F.size("near") > 0).select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.e", "x.t").distinct()
-    pairs = core.stored(pairs.groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "terms")
-    entities = found.where(F.size("entities") > 0).select("doc_id", F.explode("entities").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    bits = spark.sparkContext.broadcast(core.bit_filter(pairs.select(_filter_slots(F.col("t")).alias("at")), FILTER_BITS))
-    terms = core.arrow_map(core.id_text(docs).select("text"), _term_counts(bits), "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
-    n_et, n_e, n_t = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_et", "n_e", "n_t"))
+def _pair_counts(terms, repeated):
+    """Documents (text, and their entities) to pairs of entity and term of the filter, added up here before they are shuffled; those of ids that may repeat come with the id."""
+
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        wait: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            pair, n = np.unique(np.concatenate(wait), axis=0, return_counts=True)
+            wait.clear()
+            alone = pair[:, 2] == _ALONE
+            return core.batch_of(e=pair[:, 0].copy(), t=pair[:, 1].copy(), n=np.where(alone, n, 0), doc_id=pa.array(pair[:, 2], mask=alone))
+
+        one = core.in_id_filter(repeated.value, numbers(b, "at"))
+        for text, own, i, again in zip(column(b, "text").to_pylist(), column(b, "entities").to_pylist(), numbers(b, "doc_id").tolist(), one.tolist(), strict=True):
+            t = _own_terms(text)
+            t = t[_in_filter(terms.value, t)]
+            for e in own if len(t) else ():
+                wait.append(np.stack([np.full(len(t), e), t, np.full(len(t), i if again else _ALONE)], axis=1))
+                size += len(t)
+                if size > PAIRS:
+                    yield flush()
+                    size = 0
+        if wait:
+            yield flush()
+
+    return fn
+
+
+def _documents(counted: DataFrame, *keys: str) -> DataFrame:
+    """Documents for each key from partial counts n (doc_id null) and single rows with an id, which count once."""
+    each = counted.groupBy(*keys, "doc_id").agg(F.sum("n").alias("n"))
+    return each.groupBy(*keys).agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1)).alias("n"))
+
+
+def _is_disclosing(n_et: Column, n_e: Column, n_t: Column, total: int, alpha: float) -> Column:
+    n_et, n_e, n_t = (F.greatest(x, F.lit(1)).cast("double") for x in (n_et, n_e, n_t))
     pmi, ic = F.log(F.lit(float(max(total, 1))) * n_et / (n_e * n_t)), F.log(F.lit(float(max(total, 1))) / n_e)
-    return (
-        pairs.join(entities, "e").join(terms, "t").where((ic > 0) & (pmi >= F.lit(alpha) * ic))
-        .select("e", "t", F.when(F.col("n_et") >= F.col("n_t"), F.lit(5)).otherwise(F.lit(4)).alias("kind"))
-    )
+    return (ic > 0) & (pmi >= F.lit(alpha) * ic)
+
 
+def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: int) -> tuple[DataFrame, list[int]]:
+    """(e, t, n_e, kind): terms that disclose an entity, with the number of their kind; and the documents of each shape.
 
-def _mark_terms(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    Only entities in ``support`` documents or more can have such terms, and a
+    term must be in as many with an entity.  n(e,t) is at most n(e), so a term
+    discloses nothing if n(t) > n(e)^alpha N^(1 - alpha) for the largest n(e):
+    what is left after these two bounds is counted against entities.
+    """
+    spark = docs.sparkSession
+    texts = core.id_text(docs)
+    rows = texts.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    total, again = rows.agg(F.count("*"), F.sum((F.col("rows") > 1).cast("long"))).first()
+    repeated = core.id_filter(spark, rows.where("rows > 1").select(F.col("doc_id").alias("id")) if again else None)
+    mentions = found.where(F.size("entities") > 0).select("doc_id", F.explode("entities").alias("e")).distinct()
+    entities = core.stored(mentions.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
+    most = entities.agg(F.max("n_e")).first()[0] or 0
+
+    # An id's entities; a filter, then a join, brings them to its texts.
+    holders = mentions.join(entities.select("e"), "e").groupBy("doc_id").agg(F.collect_list("e").alias("entities"))
+    bits = core.id_filter(spark, holders.select(F.col("doc_id").alias("id")))
+    picked = core.stored(core.with_slot(core.pick(texts, bits)).join(holders, "doc_id"), "mentions")
+    common = core.arrow_map(picked.select("text"), _common_terms, "t long, n long").groupBy("t").agg(F.sum("n").alias("m")).where(F.col("m") >= support)
+    counted = core.arrow_map(core.with_slot(texts), _term_counts(_term_filter(spark, common), repeated), "t long, n long, doc_id long")
+    n_t = core.stored(_documents(counted, "t").withColumnRenamed("n", "n_t"), "terms")
+    by_shape = {r["t"]: r["n_t"] for r in n_t.where(F.col("t").between(-len(SHAPES), -1)).collect()}
+
+    able = n_t.where(_is_disclosing(F.lit(most), F.lit(most), F.col("n_t"), total, alpha)).select("t", "n_t")
+    pairs = core.arrow_map(picked, _pair_counts(_term_filter(spark, able), repeated), "e long, t long, n long, doc_id long")
+    pairs = _documents(pairs, "e", "t").withColumnRenamed("n", "n_et").where(F.col("n_et") >= support)
+    out = pairs.join(entities, "e").join(able, "t").where(_is_disclosing(F.col("n_et"), F.col("n_e"), F.col("n_t"), total, alpha))
+    kind = F.when(F.col("n_et") >= F.col("n_t"), F.lit(5)).otherwise(F.lit(4))
+    # A shape in at most n(e)^alpha N^(1 - alpha) documents would disclose the entity as well.
+    cover = [by_shape.get(-1 - k, 0) for k in range(len(SHAPES))]
+    floor = F.pow(F.col("n_e").cast("double"), F.lit(alpha)) * F.lit(float(max(total, 1)) ** (1 - alpha))
+    return out.select("e", "t", kind.alias("kind"), floor.alias("floor")), cover
+
+
+def _mark_terms(cover: list[int]):
     """The places of each text's terms, wherever they stand clear of the base's finds."""
-    more: list[list[dict]] = []
-    for text, terms in zip(column(b, "text").to_pylist(), column(b, "terms").to_pylist(), strict=True):
-        kind = {x["t"]: x["k"] for x in sorted(terms, key=lambda x: x["k"])}
-        term, start, end, clear = clear_words(text, base_spans(text))
-        at = np.flatnonzero(clear & np.isin(term, np.fromiter(kind, np.int64, len(kind))))
-        more.append([{"s": int(start[w]), "k": kind[int(term[w])], "e": int(end[w])} for w in at])
-    kinds = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
-    yield core.batch_of(doc_id=numbers(b, "doc_id"), mark=numbers(b, "mark"), more=pa.array(more, kinds))
+
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        more: list[list[dict]] = []
+        for text, terms in zip(column(b, "text").to_pylist(), column(b, "terms").to_pylist(), strict=True):
+            rule = {x["t"]: (x["k"], x["f"]) for x in terms}
+            term, start, end, clear = clear_words(text, base_spans(text))
+            raw = np.frombuffer(text.encode(), np.uint8)
+            shape = shapes(core.Words(raw, np.array([0, len(raw)]), lower=False))
+            own = []
+            for w in np.flatnonzero(clear & np.isin(term, np.fromiter(rule, np.int64, len(rule)))).tolist():
+                k, floor = rule[int(term[w])]
+                own.append({"s": int(start[w]), "k": 5 if cover[shape[w]] <= floor else k, "e": int(end[w])})
+            more.append(own)
+        yield core.batch_of(doc_id=numbers(b, "doc_id"), mark=numbers(b, "mark"), more=pa.array(more, _SPANS))
+
+    return fn
 
 
-def find_pii(docs: DataFrame, window: int = WINDOW, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def find_pii(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """Find personal data and the terms that disclose it.
 
     Returns doc_id, mark (a hash of the text), the base's counts and digest,
     and ``spans``: array<struct<s, k, e>> by start and kind (code points, end
     exclusive; k indexes ``KINDS``).
 
-    Null or empty text: no spans.  Repeated rows get the same spans and count
-    as one document; a null doc_id is one more document.  An empty table gives
-    an empty table.
+    Null or empty text: no spans.  Repeated rows get the same spans; rows of
+    one id count as one document, whose texts are taken together.  A null
+    doc_id is one more document.  A term with ties between entities takes the
+    stricter kind.  Very long texts are read whole.  An empty table gives an
+    empty table.
     """
     texts = core.id_text(docs).withColumn("mark", F.xxhash64("text"))
-    found = core.stored(core.arrow_map(texts, _find(window), _FOUND), "pii")
-    terms = disclosing_terms(docs, found, alpha, support)
+    found = core.stored(core.arrow_map(texts, _find, _FOUND), "pii")
+    terms, cover = disclosing_terms(docs, found, alpha, support)
     told = found.where(F.size("entities") > 0).select("doc_id", "mark", F.explode("entities").alias("e")).join(terms, "e")
-    told = core.stored(told.groupBy("doc_id", "mark", "t").agg(F.max("kind").alias("k")).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("t", "k")).alias("terms")), "told")
-    bits = _id_filter(docs.sparkSession, told.select(F.col("doc_id").alias("id")))
-    picked = core.arrow_map(core.id_text(docs).withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))), _pick(bits), "doc_id long, text string")
+    told = told.groupBy("doc_id", "mark", "t").agg(F.max("kind").alias("k"), F.max("floor").alias("f")).groupBy("doc_id", "mark")
+    told = core.stored(told.agg(F.collect_list(F.struct("t", "k", "f")).alias("terms")), "told")
+    picked = core.pick(core.id_text(docs), core.id_filter(docs.sparkSession, told.select(F.col("doc_id").alias("id"))))
     hold = picked.withColumn("mark", F.xxhash64("text")).join(told, ["doc_id", "mark"]).select("doc_id", "mark", "text", "terms")
-    more = core.arrow_map(hold, _mark_terms, f"doc_id long, mark long, more {_SPAN}").groupBy("doc_id", "mark").agg(F.first("more").alias("more"))
+    more = core.arrow_map(hold, _mark_terms(cover), f"doc_id long, mark long, more {_SPAN}").groupBy("doc_id", "mark").agg(F.first("more").alias("more"))
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
-    return found.drop("near", "entities").join(more, ["doc_id", "mark"], "left").withColumn("spans", spans).drop("more", "base")
+    return found.drop("entities").join(more, ["doc_id", "mark"], "left").withColumn("spans", spans).drop("more", "base")
 
 
 def spans_text(spans: Column) -> Column:
@@ -220,6 +334,11 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def shape_of(word: str) -> str:
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return SHAPES[shapes(core.Words(raw, np.array([0, len(raw)]), lower=False))[0]]
+
+
 def mask(text: str, spans: list) -> str:
     """The text with each span masked; where spans overlap, the earlier (then the first kind) decides."""
     out, done = [], 0
@@ -228,7 +347,7 @@ def mask(text: str, spans: list) -> str:
             if x["e"] > done:
                 done = x["e"]
             continue
-        out += [text[done : x["s"]], MASK[KINDS[x["k"]]]]
+        out += [text[done : x["s"]], "" if x["k"] == 5 else shape_of(text[x["s"] : x["e"]]) if x["k"] == 4 else MASK[KINDS[x["k"]]]]
         done = x["e"]
     return "".join([*out, text[done:]])
 
@@ -239,7 +358,11 @@ def _masker(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with its personal data masked and disclosing terms generalised or removed; same columns and rows."""
+    """``docs`` with its personal data masked and disclosing terms generalised or removed; same columns and rows.
+
+    Null and empty texts come back empty.  Repeated rows are masked alike.  An
+    empty table gives an empty table.
+    """
     spans = find_pii(docs, **options).where(F.size("spans") > 0).groupBy("doc_id", "mark").agg(F.first("spans").alias("spans"))
     base = core.with_rest(docs).withColumn("mark", F.xxhash64("text"))
     joined = base.join(spans.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "spans", "rest")

@@ -564,7 +564,7 @@ def test_disclosing_terms_and_masks(spark):
         # Of 211 documents 3 have the entity; a term in 4, 3 of them with it, tells nearly all of it.
         assert kinds == {f"zy{i % 2}@corp.example": "email", f"Zyxwv{i % 2}": "generalise", f"Qrst{i % 2}": "remove"}
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert out[0].startswith("please ask [TERM] or  about it at [EMAIL] or later") and out[100] == dict(rows)[100] and out[None] == "ring [PHONE] now"
+    assert out[0].startswith("please ask [CODE] or  about it at [EMAIL] or later") and out[100] == dict(rows)[100] and out[None] == "ring [PHONE] now"
     assert pii.sanitise(docs).columns == docs.columns
 
 
@@ -575,6 +575,78 @@ def test_disclosing_terms_are_masked_away_from_the_mention(spark):
     assert all("[EMAIL]" in out[i] and "Zyxwv" not in out[i] for i in range(4)) and out[100] == dict(rows)[100]
 
 
+def brute_terms(rows, alpha=pii.ALPHA, support=pii.SUPPORT):
+    """{entity: {term: kind}} by whole documents, from the definition."""
+    docs, shape_in = defaultdict(lambda: (set(), set())), defaultdict(set)
+    for i, t in rows:
+        spans, t = brute_pii(t or ""), t or ""
+        docs[i][0].update((k, t[s:e].lower()) for s, k, e in spans)
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t):
+            shape_in[pii.shape_of(m[0])].add(i)
+            if not any(s < m.end() and m.start() < e for s, _, e in spans):
+                docs[i][1].add(m[0].lower())
+    n = len(docs)
+    words_in = defaultdict(set)
+    for i, t in rows:
+        for w in toks(t):
+            words_in[w.decode()].add(i)
+    n_e = Counter(e for es, _ in docs.values() for e in es)
+    n_et = Counter((e, t) for es, ts in docs.values() for e in es for t in ts)
+    out = defaultdict(dict)
+    for (e, t), k in n_et.items():
+        ic, df = math.log(n / n_e[e]), len(words_in[t])
+        if k >= support and ic > 0 and math.log(n * k / (n_e[e] * df)) >= alpha * ic - 1e-12:
+            out[e][t] = "remove" if k >= df else "generalise"
+    return out, {s: len(i) for s, i in shape_in.items()}, n, n_e
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    """Random documents, some of them repeated rows, one id with different texts, terms far from the mentions."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(260):
+        w = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(5, 60))]
+        k = rng.randrange(12)
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), f"user{k}@mail.example")
+            w += rng.choice([[], [f"Term{k}"], [f"Term{k}", f"Mark{k}"], [f"term{k}", f"BIG{k}"]])
+        elif i % 9 == 0:
+            w.insert(0, f"Term{k}")
+        rows.append((i, " ".join(w)))
+    rows += rows[:60:4] * 3 + [(4, "user1@mail.example and Term1 and MARK1 again"), (None, None), (None, "user2@mail.example Term2")]
+    want, cover, n, n_e = brute_terms(rows)
+    kinds = {k for x in want.values() for k in x.values()}
+    assert kinds == {"remove", "generalise"} and sum(map(len, want.values())) >= 8
+    got = pii.find_pii(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    seen = 0
+    for r in got:
+        for t in {t or "" for i, t in rows if (core.NULL_ID if i is None else i) == r.doc_id}:
+            own = {(k, t[s:e].lower()) for s, k, e in brute_pii(t)}
+            expect = set()
+            for m in re.finditer(r"[^ ]+", t):
+                hits = [(e, want[e][m[0].lower()]) for e in own if m[0].lower() in want[e]]
+                if hits and not any(s < m.end() and m.start() < e for s, _, e in brute_pii(t)):
+                    floor = max(n_e[e] for e, _ in hits) ** pii.ALPHA * n ** (1 - pii.ALPHA)
+                    expect.add((m.start(), "remove" if any(k == "remove" for _, k in hits) or cover[pii.shape_of(m[0])] <= floor else "generalise"))
+            if {(x.s, pii.KINDS[x.k]) for x in r.spans if x.k >= 4} == expect:
+                seen += 1
+                break
+    assert seen == len(rows)
+    out = pii.sanitise(frame(spark, rows)).collect()
+    assert len(out) == len(rows) and not [r.text for r in out if "@" in r.text]
+
+
+def test_repeated_rows_change_no_finding(spark):
+    rows = [(i, f"ask Zyxwv{k} or Qrst{k} at zy{k}@corp.example") for i in range(6) for k in [i % 2]] + [(100 + i, f"ask anybody or at home number {i}") for i in range(200)]
+    find = lambda x: {(r.doc_id, str(r.spans)) for r in pii.find_pii(frame(spark, x)).collect()}
+    assert find(rows) == find(rows + rows[:6] * 2)
+
+
+def test_shapes():
+    assert [pii.shape_of(x) for x in ("12.5", "a1", "word", "ABC", "Name", "A", "iPhone", "...", "é", "Éa")] == ["[NUMBER]", "[CODE]", "[WORD]", "[CAPITALS]", "[NAME]", "[NAME]", "[TERM]", "[TERM]", "[WORD]", "[WORD]"]
+
+
 # --- all of them
 
 
