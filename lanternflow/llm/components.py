@@ -45,7 +45,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     state = _state(now)
     for _ in range(most_rounds):
         small = state[0] <= SMALL
-        now = core.stored(_small_star(_large_star(now, small), small), "links")
+        old, now = now, core.stored(_small_star(_large_star(now, small), small), "links")
+        core.free(old)
         last, state = state, _state(now)
         if state == last:
             return now

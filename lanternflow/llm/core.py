@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,6 +52,36 @@ def like(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[(fresh[c] if fresh.get(c) is not None else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``key``, cut so that no group is split."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = numbers(b, key)
+        other = np.flatnonzero(k != k[0])
+        first = int(other[0]) if len(other) else len(k)
+        if held and numbers(held[0], key)[0] == k[0]:
+            held.append(b.slice(0, first))
+            b = b.slice(first)
+        if not b.num_rows:
+            continue
+        if held:
+            yield _joined(held)
+        k = numbers(b, key)
+        other = np.flatnonzero(k != k[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield b.slice(0, cut)
+        held = [b.slice(cut)]
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches(max_chunksize=None)[0]
+
+
 def schema_of(ddl: str, **columns) -> T.StructType:
     """A schema from DDL and, after it, columns with their types."""
     s = T._parse_datatype_string(ddl)
@@ -81,17 +112,35 @@ def stored(df: DataFrame, label: str, per_file: int = 0) -> DataFrame:
 
     This cuts the lineage so that a lost executor costs one read, and lets
     several later steps use the rows without computing them anew.  Spark
-    deletes the folder when the driver ends.  ``per_file`` bounds the rows of a
-    file, for very wide rows.
+    deletes the folder when the driver ends; ``free`` does so before.
+    ``per_file`` bounds the rows of a file, for very wide rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lanternflow-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").option("maxRecordsPerFile", per_file).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    where, files = _where(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+_paths: dict[int, str] = {}
+
+
+def _where(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete stored tables; nothing that is still to run may read them."""
+    for t in tables:
+        if path := _paths.pop(id(t), None):
+            where, files = _where(t.sparkSession, path)
+            files.delete(where, True)
 
 
 def parts(spark: SparkSession) -> int:

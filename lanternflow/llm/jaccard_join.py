@@ -51,8 +51,8 @@ FREQUENT = 1 << 20
 SHORT, RUN = 256, 512
 #: A leader with more members than this is sent to several tasks.
 MEMBERS = 2_000
-#: Members of a leader whose deltas are compared in one task.
-GROUP = 8_192
+#: Members of a list, and members of a leader with deltas, that a cell of ``_dealt`` takes from each side.
+LIST, GROUP = 4_096, 8_192
 
 
 def needed(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
@@ -177,41 +177,31 @@ def _posts(size: int, pct: int, frequent):
     return fn
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 200_000) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches, cut where ``names[0]`` changes; a very long group comes in pieces."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        now = [numbers(b, c) for c in names]
-        if not len(now[0]):
-            continue
-        if held:
-            now = [np.concatenate([*h, x]) for h, x in zip(zip(*held, strict=True), now, strict=True)]
-            held = []
-        cut = _last_group(now[0])
-        if len(now[0]) - cut > most:
-            cut = len(now[0])
-        if cut:
-            yield [x[:cut] for x in now]
-        if cut < len(now[0]):
-            held = [[x[cut:] for x in now]]
-    if held:
-        yield held[0]
-
-
-def _last_group(key: np.ndarray) -> int:
-    other = np.flatnonzero(key != key[-1])
-    return int(other[-1]) + 1 if len(other) else 0
-
-
 def _lead(pct: int):
-    """Entries sorted by token, position: each with its leader.  Entries alone in their list are dropped."""
+    """Entries sorted by token, position: each with its leader.  Entries alone in their list are dropped.
+
+    Of a list that goes on in the next batch only the leaders are held (or its
+    only entry so far), so a list may have any length.  ``many`` is the list's
+    length, 3 at least where a batch ends in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, ids, n, pos in _grouped(batches, ["token", "set", "n", "pos"]):
+        held: list[np.ndarray] | None = None
+        alone = False
+        for b in batches:
+            cols = [numbers(b, c) for c in ("token", "set", "n", "pos")]
+            if not len(cols[0]):
+                continue
+            fresh = np.ones(len(cols[0]), bool)
+            went_on = held is not None and held[0][0] == cols[0][0]
+            if went_on:
+                fresh = np.append(np.full(len(held[0]), alone), fresh)
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            token, ids, n, pos = cols
             group = np.cumsum(np.diff(token, prepend=token[:1]) != 0)
             many = np.bincount(group)
-            rest = np.flatnonzero(many[group] > 1)
             lead = np.full(len(token), -1)
+            rest = np.arange(len(token))
             while len(rest):
                 first = np.diff(group[rest], prepend=-1) != 0
                 head = rest[np.flatnonzero(first)][np.cumsum(first) - 1]
@@ -219,8 +209,15 @@ def _lead(pct: int):
                 fits = 100 * small >= pct * large
                 lead[rest[fits]] = head[fits]
                 rest = rest[~fits]
-            use = np.flatnonzero(lead >= 0)
-            yield core.batch_of(token=token[use], set=ids[use], n=n[use], pos=pos[use], lead=ids[lead[use]], lead_n=n[lead[use]], lead_pos=pos[lead[use]], many=many[group[use]].astype(np.int32))
+            use = np.flatnonzero(fresh & (many[group] > 1))
+            last = np.flatnonzero((group == group[-1]) & (lead == np.arange(len(lead))))
+            alone = many[-1] == 1
+            held = [x[last] for x in cols]
+            many[-1] = max(many[-1], 3)
+            if went_on:
+                many[0] = max(many[0], 3)
+            if len(use):
+                yield core.batch_of(token=token[use], set=ids[use], n=n[use], pos=pos[use], lead=ids[lead[use]], lead_n=n[lead[use]], lead_pos=pos[lead[use]], many=many[group[use]].astype(np.int32))
 
     return run
 
@@ -233,7 +230,19 @@ def _bounded(x, y, n, comp, lead, shared, known, need) -> np.ndarray:
     return ok & (~same | (shared[x] < 0) | (shared[y] < 0) | (best >= need))
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, lead: np.ndarray, shared: np.ndarray, known: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+#: Who meets whom: a home row every guest, a row that is both every other.
+HOME, GUEST, BOTH = 0, 1, 2
+
+
+def _roles(role: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Where all rows are both, those of the largest component need not meet each other: they are at home."""
+    if len(role) < 3 or (role != BOTH).any():
+        return role
+    comps, back, count = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.where(back == np.argmax(count), HOME, BOTH)
+
+
+def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, lead: np.ndarray, shared: np.ndarray, known: np.ndarray, pct: int, role: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places (x, y) in one list, sorted by size and position, that may link and are in different components.
 
     shared is each set's overlap with its leader, -1 if unknown.  Pairs of
@@ -241,10 +250,12 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, lead: np.ndarra
     entries of one size; against another size it is skipped from the position
     on where what is left of the set is too short for a link.
     """
+    role = _roles(np.full(len(n), BOTH) if role is None else role, comp)
+    meet = np.array([[False, True, True], [True, False, False], [True, False, True]])
     if len(n) <= SHORT:
         x, y = np.triu_indices(len(n), 1)
         need = needed(n[x], n[y], pct)
-        ok = (n[x] - pos[x] >= need) & (n[y] - pos[y] >= need) & (100 * n[x] >= pct * n[y])
+        ok = meet[role[x], role[y]] & (n[x] - pos[x] >= need) & (n[y] - pos[y] >= need) & (100 * n[x] >= pct * n[y])
         x, y, need = x[ok], y[ok], need[ok]
         ok = _bounded(x, y, n, comp, lead, shared, known, need)
         return x[ok], y[ok]
@@ -256,65 +267,71 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, lead: np.ndarra
     for k in range(len(size)):
         for j in range(int(np.searchsorted(size, -(-pct * size[k] // 100))), k + 1):
             need = int(needed(size[j], size[k], pct))
-            x = np.arange(start[j], start[j] + np.searchsorted(pos[start[j] : stop[j]], size[j] - need, "right"))
-            y = np.arange(start[k], start[k] + np.searchsorted(pos[start[k] : stop[k]], size[k] - need, "right"))
-            for s in range(0, len(y), RUN):
-                gx, gy = (g.ravel() for g in np.meshgrid(x, y[s : s + RUN], indexing="ij"))
-                if j == k:
-                    gx, gy = gx[gx < gy], gy[gx < gy]
-                ok = _bounded(gx, gy, n, comp, lead, shared, known, need)
-                out_x.append(gx[ok])
-                out_y.append(gy[ok])
+            x_all = np.arange(start[j], start[j] + np.searchsorted(pos[start[j] : stop[j]], size[j] - need, "right"))
+            y_all = np.arange(start[k], start[k] + np.searchsorted(pos[start[k] : stop[k]], size[k] - need, "right"))
+            for r in (HOME, GUEST, BOTH):
+                x, y = x_all[role[x_all] == r], y_all[meet[r, role[y_all]]]
+                for s in range(0, len(y) if len(x) else 0, RUN):
+                    gx, gy = (g.ravel() for g in np.meshgrid(x, y[s : s + RUN], indexing="ij"))
+                    if j == k:
+                        gx, gy = gx[gx < gy], gy[gx < gy]
+                    ok = _bounded(gx, gy, n, comp, lead, shared, known, need)
+                    out_x.append(gx[ok])
+                    out_y.append(gy[ok])
     return np.concatenate(out_x), np.concatenate(out_y)
 
 
-def delta_pairs(n: np.ndarray, comp: np.ndarray, deltas: list[np.ndarray], pct: int) -> tuple[np.ndarray, np.ndarray]:
+def delta_pairs(n: np.ndarray, comp: np.ndarray, deltas: list[np.ndarray], pct: int, role: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places (x, y) of different components that link, for sets known by how they differ from one leader.
 
     With dx = x ^ l, |x ^ y| = |dx| + |dy| - 2 |dx & dy|, so the overlap follows
     from the deltas.  Only tokens in two deltas or more matter; the counts of
-    common ones are a product of 0/1 matrices, taken in runs of rows.  Deltas
-    are 32-bit hashes: a collision can only add a pair, which is compared later.
+    common ones are a product of matrices, taken in runs of rows.  Deltas are
+    32-bit hashes.  The matrices hold how often a delta has a hash, so tokens
+    that collide, in one delta or between two, can only raise a product: a
+    collision can add a pair, which is compared later, but lose none.
     """
+    role = _roles(np.full(len(n), BOTH) if role is None else role, comp)
     size = np.array([len(d) for d in deltas])
     flat = np.concatenate(deltas) if len(deltas) else np.zeros(0, np.uint32)
-    token, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+    _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
     column_of = np.cumsum(count > 1) - 1
     use = count[back] > 1
-    row, col = np.repeat(np.arange(len(n)), size)[use], column_of[back[use]]
-    order = np.argsort(row, kind="stable")
-    row, col = row[order], col[order]
     width = int((count > 1).sum())
+    cell, times = np.unique(np.repeat(np.arange(len(n)), size)[use] * max(width, 1) + column_of[back[use]], return_counts=True)
+    row, col = np.divmod(cell, max(width, 1))
     none = np.zeros(0, np.int64)
     out_x, out_y = [none], [none]
-    for s in range(0, len(n), RUN):
-        e = min(s + RUN, len(n))
-        common = np.zeros((e - s, len(n)), np.float32)
+    guests, homes = np.flatnonzero(role != HOME), np.flatnonzero(role != GUEST)
+    for s in range(0, len(guests), RUN):
+        g = guests[s : s + RUN]
+        common = np.zeros((len(g), len(homes)), np.float32)
         for c in range(0, width, 4096):
             a = np.zeros((len(n), min(4096, width - c)), np.float32)
             mine = (col >= c) & (col < c + 4096)
-            a[row[mine], col[mine] - c] = 1
-            common += a[s:e] @ a.T
-        both = (n[s:e, None] + n[None, :] - size[s:e, None] - size[None, :]) / 2 + common
-        x, y = np.nonzero((100 + pct) * both >= pct * (n[s:e, None] + n[None, :]) - 1e-6)
-        ok = (x + s < y) & (comp[x + s] != comp[y])
-        out_x.append(x[ok] + s)
-        out_y.append(y[ok])
+            a[row[mine], col[mine] - c] = times[mine]
+            common += a[g] @ a[homes].T
+        both = (n[g, None] + n[None, homes] - size[g, None] - size[None, homes]) / 2 + common
+        x, y = np.nonzero((100 + pct) * both >= pct * (n[g, None] + n[None, homes]) - 1e-6)
+        x, y = g[x], homes[y]
+        ok = (comp[x] != comp[y]) & ((x < y) | (role[x] != BOTH) | (role[y] != BOTH))
+        out_x.append(np.minimum(x[ok], y[ok]))
+        out_y.append(np.maximum(x[ok], y[ok]))
     return np.concatenate(out_x), np.concatenate(out_y)
 
 
 def _second(pct: int):
-    """What the lists leave to compare, besides pairs settled by deltas."""
+    """What the cells of lists leave to compare, besides pairs settled by deltas."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, "token"):
-            token, ids, n, pos, comp, lead, shared, known = (numbers(table, c) for c in ("token", "set", "n", "pos", "comp", "lead", "shared", "known"))
+        for table in core.whole_groups(batches, "cell"):
+            cell, ids, n, pos, comp, lead, shared, known, role = (numbers(table, c) for c in ("cell", "set", "n", "pos", "comp", "lead", "shared", "known", "role"))
             n, pos, known = n.astype(np.int64), pos.astype(np.int64), known.astype(bool)
             parity = column(table, "parity")
             found: list[np.ndarray] = []
-            cut = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
-            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(token)], strict=True):
-                x, y = list_pairs(n[s:e], pos[s:e], comp[s:e], lead[s:e], shared[s:e], known[s:e], pct)
+            cut = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(cell)], strict=True):
+                x, y = list_pairs(n[s:e], pos[s:e], comp[s:e], lead[s:e], shared[s:e], known[s:e], pct, role[s:e])
                 if len(x):
                     bits = parity.slice(s, e - s).to_pylist()
                     most = n[s:e][x] + n[s:e][y] - 2 * needed(n[s:e][x], n[s:e][y], pct)
@@ -329,12 +346,12 @@ def _by_deltas(pct: int):
     """Members of one leader that link by their deltas and are in different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, "part"):
-            part, ids, n, comp = (numbers(table, c) for c in ("part", "set", "n", "comp"))
+        for table in core.whole_groups(batches, "cell"):
+            cell, ids, n, comp, role = (numbers(table, c) for c in ("cell", "set", "n", "comp", "role"))
             delta = column(table, "delta")
-            cut = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))
-            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
-                x, y = delta_pairs(n[s:e].astype(np.int64), comp[s:e], [np.frombuffer(delta[k].as_buffer(), np.uint32) for k in range(s, e)], pct)
+            cut = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(cell)], strict=True):
+                x, y = delta_pairs(n[s:e].astype(np.int64), comp[s:e], [np.frombuffer(delta[k].as_buffer(), np.uint32) for k in range(s, e)], pct, role[s:e])
                 yield from _pairs([np.stack([ids[s:e][x], ids[s:e][y]], axis=1)])
 
     return run
@@ -347,30 +364,6 @@ def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield core.batch_of(a=pair[:, 0].copy(), b=pair[:, 1].copy())
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Sorted batches, cut so that no group of ``key`` is split."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = numbers(b, key)
-        first = int(np.searchsorted(k != k[0], True)) if (k != k[0]).any() else len(k)
-        if held and numbers(held[0], key)[0] == k[0]:
-            held.append(b.slice(0, first))
-            b = b.slice(first)
-        if not b.num_rows:
-            continue
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
-            held = []
-        cut = _last_group(numbers(b, key))
-        if cut:
-            yield b.slice(0, cut)
-        held = [b.slice(cut)]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
-
-
 def _verify(size: int, pct: int):
     """Rows sorted by leader group and role: each member's overlap with its leader, and how it differs if that is little."""
 
@@ -462,14 +455,13 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     dealt = entries.repartition(core.parts(spark), "token").sortWithinPartitions("token", "pos", "n", "set")
     lists = core.stored(dealt.mapInArrow(_lead(pct), "token long, set long, n int, pos int, lead long, lead_n int, lead_pos int, many int"), "lists")
 
-    copies = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").drop("top")
-    same = rows.where("n > 0").select(F.col("doc_id").alias("a"), "d1", "d2").join(copies, ["d1", "d2"]).where("a <> b").select("a", "b").distinct()
-    same = core.stored(same, "copies")
+    same = core.stored(_copies(rows), "copies")
 
     need = F.ceil(F.lit(pct) * (F.col("n") + F.col("lead_n")) / F.lit(100 + pct))
     near = (F.col("n") - F.col("pos") >= need) & (F.col("lead_n") - F.col("lead_pos") >= need)
     first = lists.where((F.col("set") != F.col("lead")) & near).select(F.col("lead").alias("a"), F.col("set").alias("b")).distinct()
-    first = core.stored(compare_pairs(texts, core.stored(plausible(_without_copies(first, same), rows, pct), "pairs"), size, pct), "links")
+    asked = core.stored(plausible(_without_copies(first, same), rows, pct), "pairs")
+    first = core.stored(compare_pairs(texts, asked, size, pct), "links")
     links = first.where("linked").select("a", "b").union(same)
     stars = components(links)
 
@@ -477,38 +469,69 @@ def jaccard_components(docs: DataFrame, pct: int = PCT, size: int = WORDS) -> Da
     known = core.stored(first.groupBy(F.col("a").alias("lead"), F.col("b").alias("set")).agg(F.max(F.struct("shared", "delta")).alias("x")).select("lead", "set", "x.*"), "known")
     derived = _derived(known, rows, comp, pct)
     left = lists.where("many > 2").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    mixed = left.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    left = left.join(mixed, "token", "left_semi").join(known.select("lead", "set", "shared", F.col("delta").isNotNull().alias("known")), ["lead", "set"], "left")
+    left = _dealt(left.select("token", "set", "pos", "n", "comp", "lead"), "token", LIST)
+    left = left.join(known.select("lead", "set", "shared", F.col("delta").isNotNull().alias("known")), ["lead", "set"], "left")
     own = F.col("set") == F.col("lead")
     left = left.withColumns({"shared": F.when(own, F.col("n").cast("long")).otherwise(F.coalesce("shared", F.lit(-1))), "known": own | F.coalesce("known", F.lit(False))})
     left = left.join(rows.select(F.col("doc_id").alias("set"), F.col("n").cast("int").alias("n"), "parity").distinct(), ["set", "n"])
-    left = left.repartition(core.parts(spark), "token").sortWithinPartitions("token", "n", "pos", "set")
-    second = left.select("token", "set", "n", "pos", "comp", "lead", "shared", "known", "parity").mapInArrow(_second(pct), "a long, b long").union(derived).distinct()
+    left = left.repartition(core.parts(spark), "cell").sortWithinPartitions("cell", "n", "pos", "set", "role")
+    second = left.select("cell", "set", "n", "pos", "comp", "lead", "shared", "known", "parity", "role").mapInArrow(_second(pct), "a long, b long").union(derived).distinct()
     done = first.select("a", "b").union(first.select("b", "a"))
     second = core.stored(plausible(second.join(done, ["a", "b"], "left_anti"), rows, pct), "pairs")
+    core.free(lists, asked, known)
     more = core.stored(compare_pairs(texts, second, size, pct).where("linked").select("a", "b"), "links")
     if not more.isEmpty():
         stars = components(stars.union(more))
+    core.free(first, same, second, more)
     out = rows.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id")), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _derived(known: DataFrame, rows: DataFrame, comp: DataFrame, pct: int) -> DataFrame:
-    """Pairs that link by their deltas from a common leader.
+def _copies(rows: DataFrame) -> DataFrame:
+    """(a, b): each document with an equal set in one of smaller id, and the smallest such id.
+
+    Copies are counted and found again by digest and a salt, so a group of very
+    many copies is spread over the tasks.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(core.parts(rows.sparkSession))).cast("int")
+    own = rows.where("n > 0").select("doc_id", "d1", "d2", salt.alias("salt"))
+    each = own.groupBy("d1", "d2", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"))
+    least = each.groupBy("d1", "d2").agg(F.min("low").alias("b"), F.max("top").alias("top")).where("b < top").drop("top")
+    spots = each.select("d1", "d2", "salt").join(least, ["d1", "d2"])
+    return own.join(spots, ["d1", "d2", "salt"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The members (set, comp) of groups with several components, dealt to cells in which all pairs of different components meet.
 
-    A leader with many members has them dealt to parts, and every two parts
-    meet, so a task's memory is bounded.
+    A group of up to ``most`` members is one cell.  In a larger one, members of
+    the largest component are only at home, in one of its parts by their hash;
+    the others are also guests of every part, in cells of their own, so a cell
+    has about ``most`` home rows and as many guests whatever the group's size.
     """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(key, "k")
+    each = rows.join(sizes.where(F.col("k") > most).select(key), key, "left_semi").groupBy(key, "comp").agg(F.count("*").alias("m"))
+    major = each.groupBy(key).agg(F.max(F.struct("m", "comp")).alias("x")).select(key, F.col("x.comp").alias("major"), "x.m")
+    number = lambda x: F.greatest(F.lit(1), F.ceil(x / F.lit(most))).cast("int")
+    sizes = sizes.join(major, key, "left").select(key, "major", number(F.col("k")).alias("homes"), number(F.col("k") - F.coalesce("m", "k")).alias("guests"))
+    spot = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
+    own, visit = (F.pmod(F.xxhash64("set", F.lit(seed)), F.col(c)) for seed, c in ((1, "homes"), (2, "guests")))
+    home = F.transform(F.sequence(F.lit(0), F.col("guests") - 1), lambda j: spot(own, j, HOME))
+    guest = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda i: spot(i, visit, GUEST))
+    spots = F.when(F.col("major").isNull(), F.array(spot(F.lit(0), F.lit(0), BOTH))).when(F.col("comp") == F.col("major"), home).otherwise(F.concat(home, guest))
+    dealt = rows.join(sizes, key).withColumn("spot", F.explode(spots))
+    cell = F.when(F.col("major").isNull(), F.col(key)).otherwise(F.xxhash64(key, "spot.i", "spot.j"))
+    return dealt.withColumns({"cell": cell, "role": F.col("spot.role")}).drop("spot", "major", "homes", "guests")
+
+
+def _derived(known: DataFrame, rows: DataFrame, comp: DataFrame, pct: int) -> DataFrame:
+    """Pairs that link by their deltas from a common leader."""
     sizes = rows.groupBy(F.col("doc_id").alias("set")).agg(F.max("n").alias("n"))
     members = known.where("delta IS NOT NULL").select("lead", "set", "delta")
     members = members.union(members.select("lead", F.col("lead").alias("set"), F.lit(b"").alias("delta")).distinct())
     members = members.join(sizes, "set").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    mixed = members.groupBy("lead").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("low < high")
-    own, other = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"), F.col("other")
-    dealt = members.join(mixed.select("lead", "parts"), "lead").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("part", F.xxhash64("lead", F.least(own, other), F.greatest(own, other)))
-    dealt = dealt.repartition(core.parts(known.sparkSession), "part").sortWithinPartitions("part", "set")
-    return dealt.select("part", "set", "n", "comp", "delta").mapInArrow(_by_deltas(pct), "a long, b long")
+    dealt = _dealt(members, "lead", GROUP).repartition(core.parts(known.sparkSession), "cell").sortWithinPartitions("cell", "set", "role")
+    return dealt.select("cell", "set", "n", "comp", "delta", "role").mapInArrow(_by_deltas(pct), "a long, b long")
 
 
 def _without_copies(pairs: DataFrame, same: DataFrame) -> DataFrame:
@@ -520,7 +543,11 @@ def _without_copies(pairs: DataFrame, same: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id (all rows of that id)."""
+    """``docs`` with one document of each component: the one with the smallest doc_id (all rows of that id).
+
+    Null and empty texts link with nothing, so all of them stay; a null doc_id
+    stays unless it is like another document.  An empty table gives an empty one.
+    """
     gone = jaccard_components(docs, **options).where("component_id < doc_id").select("doc_id").distinct()
     return core.like(core.with_rest(docs).join(gone, "doc_id", "left_anti"), docs)
 

@@ -1,20 +1,24 @@
 """LM scoring by a hashed maximum-entropy model with class-factored softmax.
 
-    P(w | history) = P(class(w) | history) * P(w | class(w))
-
-The class factor is a softmax over ``CLASSES`` classes with hashed features of
-the history: the word before, the two words before, and the word before that
-one alone (a skip feature).  Inside a class the only feature is the word, for
-which the maximum-entropy solution is the smoothed relative frequency.
-Classes are the most frequent words alone, then words by their most frequent
-endings, then the rest; an unknown word belongs to its ending's class.
-
-Tokens are packed to blocks (each with its own vocabulary) once and stored.
-Word counts are summed by word and sent back to each block, so no vocabulary is
-ever broadcast.  Training passes over the blocks: each partition takes gradient
-steps on its own tokens from the common weights, and the partitions' weights,
-weighted by their tokens, are averaged slice by slice.  Only the model, whose
-size is fixed, is broadcast or collected.
+A word's class is given by digits: a class, a class within it, and so on for
+``LEVELS`` levels of ``FAN`` each, all read from the word's hash; few words share
+all digits.  Each digit has a softmax of its own,
+
+    P(w | history) = prod_k P(digit_k | digits before, history) * P(w | all digits),
+
+so the history tells apart classes and, inside a class, the words of it.  The
+features of each softmax are hashed: the word before, the two words before, and
+the word before that one alone (a skip feature), each taken together with the
+digits so far.  A softmax starts from the digits' shares in the corpus; the last
+factor is the word's smoothed share among the words of its digits.
+
+Tokens are packed to blocks (each with its own vocabulary, by hash) once and
+stored.  Slices of the vocabularies are added up by hash range and only counts
+are sent back to each block, so no vocabulary is ever broadcast.  Training
+passes over the blocks: each partition takes gradient steps on its own tokens
+from the common weights; the partitions' weights are averaged row by row,
+weighted by how much gradient each has seen.  Only the model, whose size is
+fixed, is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -24,28 +28,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternflow.llm import core
 from lanternflow.llm.core import U64, column, mix, numbers
 
-CLASSES, TOP = 64, 25
-BUCKETS = 1 << 13
+BITS, LEVELS = 4, 4
+FAN, LEAVES = 1 << BITS, 1 << (BITS * LEVELS)
+#: Hashed rows of ``FAN`` weights for each level: 17 MB in all.
+BUCKETS = 1 << 16
 SLICES = 32
-#: Tokens of a block, and of a gradient step.
-BLOCK, STEP = 2_000_000, 4096
+#: Tokens of a block, and of a gradient step; vocabulary entries of a part.
+BLOCK, STEP, PART = 1_000_000, 4096, 1 << 19
 ROUNDS, RATE = 2, 0.5
 SMOOTH = 0.1
 END = np.uint64(0x5EED0E11D0C5A11D)
-_BINARY = ("doc_id", "held", "first", "vocab", "ending", "train", "tokens")
-BLOCKS_SCHEMA = "block long, " + ", ".join(f"{c} binary" for c in _BINARY)
+_COLUMNS = {"doc_id": np.int64, "held": np.uint8, "first": np.int64, "vocab": np.uint64, "train": np.uint32, "tokens": np.uint32}
+BLOCKS_SCHEMA = "block long, size long, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
 def held_out(folds: int = 10) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """The bytes of an array, the first of all values, then the second and so on, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes())
+
+
+def unsqueeze(raw: memoryview | bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(raw)), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _pack(n_block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -57,10 +74,7 @@ def _pack(n_block: int):
             data, off = core.text_bytes(column(b, "text"))
             for i, j in core.steps(off):
                 words = core.Words(data, off[i : j + 1])
-                ending = words.data[words.end - 1].astype(np.uint16)
-                ending |= np.where(words.end - words.start > 1, words.data[np.maximum(words.end - 2, 0)], 0).astype(np.uint16) << np.uint16(8)
-                at = words.first[1:]
-                wait.append((ids[i:j], held[i:j], words.count + 1, np.insert(words.hash, at, END), np.insert(ending, at, 0)))
+                wait.append((ids[i:j], held[i:j], words.count + 1, np.insert(words.hash, words.first[1:], END)))
                 if sum(len(x[3]) for x in wait) >= n_block:
                     yield _block(made, wait)
                     made, wait = made + 1, []
@@ -71,176 +85,215 @@ def _pack(n_block: int):
 
 
 def _block(number: int, wait: list[tuple]) -> pa.RecordBatch:
-    ids, held, count, h, ending = (np.concatenate(x) for x in zip(*wait, strict=True))
-    vocab, at, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    place = np.empty(len(order), np.uint32)
-    place[order] = np.arange(len(order), dtype=np.uint32)
-    tokens = place[back]
+    ids, held, count, h = (np.concatenate(x) for x in zip(*wait, strict=True))
+    vocab, tokens = np.unique(h, return_inverse=True)
     train = np.bincount(tokens, np.repeat(held == 0, count), len(vocab)).astype(np.uint32)
-    cols = {"doc_id": ids, "held": held, "first": np.append(0, np.cumsum(count)), "vocab": vocab[order], "ending": ending[at][order], "train": train, "tokens": tokens}
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64())] + [pa.array([np.ascontiguousarray(cols[c]).tobytes()], pa.binary()) for c in _BINARY], names=["block", *_BINARY])
+    cols = {"doc_id": ids, "held": held, "first": np.append(0, np.cumsum(count)), "vocab": vocab, "train": train, "tokens": tokens.astype(np.uint32)}
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([len(vocab)], pa.int64())] + [pa.array([squeeze(cols[c].astype(kind))], pa.binary()) for c, kind in _COLUMNS.items()],
+        names=["block", "size", *_COLUMNS],
+    )
 
 
 class Block:
-    KINDS = {"doc_id": np.int64, "held": np.uint8, "first": np.int64, "vocab": np.uint64, "ending": np.uint16, "train": np.uint32, "tokens": np.uint32}
+    """Texts as tokens: places in the block's own vocabulary, which is sorted by hash."""
 
-    def __init__(self, row: dict) -> None:
-        for c, kind in self.KINDS.items():
-            setattr(self, c, np.frombuffer(row[c], kind))
+    def __init__(self, **columns: np.ndarray) -> None:
+        self.doc_id, self.held, self.first, self.vocab, self.train, self.tokens = (columns.get(c) for c in _COLUMNS)
 
     @staticmethod
-    def each(b: pa.RecordBatch | pa.Table) -> Iterator[Block]:
+    def each(b: pa.RecordBatch | pa.Table, *only: str) -> Iterator[Block]:
         for i in range(b.num_rows):
-            yield Block({c: b.column(c)[i].as_buffer() for c in Block.KINDS})
-
-
-@dataclass(frozen=True)
-class Classes:
-    """The class of a word: its own if frequent, else its ending's."""
+            yield Block(**{c: unsqueeze(b.column(c)[i].as_buffer(), _COLUMNS[c]) for c in only or _COLUMNS})
 
-    top: np.ndarray  # hashes, ascending
-    ending: np.ndarray  # class of each two-byte ending
 
-    def of(self, vocab: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        k = self.ending[ending].astype(np.int64)
-        at = np.minimum(np.searchsorted(self.top, vocab), len(self.top) - 1)
-        return np.where(self.top[at] == vocab, at, k)
+def leaf(h: np.ndarray) -> np.ndarray:
+    """All digits of a word as one number: the highest bits of its hash."""
+    return (h >> U64(64 - BITS * LEVELS)).astype(np.int64)
 
 
-def _history(block: Block) -> np.ndarray:
-    """Three hashed features of each token's history, by bucket; a text's first words see a mark for its beginning."""
+def histories(block: Block, at: np.ndarray) -> np.ndarray:
+    """Three hashes for the history of each token ``at``; a text's first words see a mark for its beginning."""
     h = block.vocab[block.tokens]
     one, two = np.roll(h, 1), np.roll(h, 2)
     first = block.first[:-1]
     second = first[np.diff(block.first) > 1] + 1
     one[first] = two[first] = two[second] = END
-    f = np.empty((3, len(h)), np.int64)
-    f[0] = (mix(one + U64(1)) % U64(BUCKETS)).astype(np.int64)
-    f[1] = (mix(mix(one + U64(2)) + two) % U64(BUCKETS)).astype(np.int64)
-    f[2] = (mix(two + U64(3)) % U64(BUCKETS)).astype(np.int64)
-    return f
-
-
-_ONES = np.ones(CLASSES, np.float32)
-
-
-def _softmax(w: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a run of histories: logits x (kept where exp neither overflows nor vanishes), exp(x), and its sums.
-
-    The last row of w is the bias.
-    """
-    x = np.take(w, f[0], axis=0)
-    x += np.take(w, f[1], axis=0)
-    x += np.take(w, f[2], axis=0)
-    x += w[BUCKETS]
-    np.clip(x, -60, 60, out=x)
-    e = np.exp(x)
-    return x, e, e @ _ONES
-
-
-def class_logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Log-probabilities of all classes for a run of histories."""
-    x, _, z = _softmax(w, f)
-    return x - np.log(z)[:, None]
+    one, two = one[at], two[at]
+    return np.stack([mix(one + U64(1)), mix(mix(one + U64(2)) + two), mix(two + U64(3))])
 
 
-def class_scores(w: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log-probability of each history's own class."""
-    x, _, z = _softmax(w, f)
-    return x[np.arange(len(y)), y] - np.log(z)
+@dataclass(frozen=True)
+class Model:
+    """Weights of each level's hashed rows, and the logits that digits start from by the digits before."""
 
+    weights: np.ndarray  # levels, buckets, fan
+    start: tuple[np.ndarray, ...]  # for each level: digits before, fan
 
-def train_on(w: np.ndarray, square: np.ndarray, block: Block, classes: Classes, turn: int, rounds: int, rate: float = RATE) -> int:
-    """Gradient steps over the training texts whose turn it is; w and square change in place.  Returns the tokens used."""
+    @staticmethod
+    def of(mass: np.ndarray) -> Model:
+        """The untrained model: each digit has its share of the leaves' counts."""
+        start = []
+        for k in range(LEVELS):
+            m = mass.reshape(FAN ** (k + 1), -1).sum(axis=1).reshape(-1, FAN) + 0.5
+            start.append(np.log(m / m.sum(axis=1, keepdims=True)).astype(np.float32))
+        return Model(np.zeros((LEVELS, BUCKETS, FAN), np.float32), tuple(start))
+
+    def softmax(self, k: int, hist: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """For a run of histories and digits before: feature rows, logits x (kept where exp neither overflows nor vanishes), exp(x), its sums."""
+        node = before.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(k)
+        rows = [(((f ^ node) * U64(0xD6E8FEB86659FD93)) >> U64(48)).astype(np.uint16) for f in hist]
+        w = self.weights[k]
+        x = np.take(self.start[k], before, axis=0)
+        for r in rows:
+            x += np.take(w, r, axis=0)
+        np.clip(x, -30, 30, out=x)
+        e = np.exp(x)
+        return rows, x, e, e @ _ONES
+
+    def log_likelihood(self, hist: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Log-probability of each leaf after its history."""
+        out = np.zeros(len(word), np.float64)
+        at = np.arange(len(word))
+        for k in range(LEVELS):
+            before, digit = word >> (BITS * (LEVELS - k)), (word >> (BITS * (LEVELS - 1 - k))) & (FAN - 1)
+            _, x, _, z = self.softmax(k, hist, before)
+            out += x[at, digit] - np.log(z)
+        return out
+
+    def step(self, square: np.ndarray, hist: np.ndarray, word: np.ndarray, rate: float) -> None:
+        """One gradient step on a run of tokens; the weights and ``square`` change in place."""
+        at = np.arange(len(word))
+        for k in range(LEVELS):
+            before, digit = word >> (BITS * (LEVELS - k)), (word >> (BITS * (LEVELS - 1 - k))) & (FAN - 1)
+            rows, _, g, z = self.softmax(k, hist, before)
+            g /= z[:, None]
+            g[at, digit] -= 1
+            w, seen = self.weights[k], square[k]
+            for r in rows:
+                order = np.argsort(r, kind="stable")
+                own = r[order]
+                new = np.ones(len(own), bool)
+                new[1:] = own[1:] != own[:-1]
+                cut = np.flatnonzero(new)
+                total = np.add.reduceat(np.take(g, order, axis=0), cut, axis=0)
+                use = own[cut]
+                seen[use] += np.einsum("ij,ij->i", total, total)
+                total *= (rate / np.sqrt(seen[use] + 1))[:, None]
+                w[use] -= total
+
+
+_ONES = np.ones(FAN, np.float32)
+
+
+def train_on(model: Model, square: np.ndarray, block: Block, turn: int, rounds: int, rate: float = RATE) -> int:
+    """Gradient steps over the training texts whose turn it is.  Returns the tokens used."""
     count = np.diff(block.first)
     mine = (block.held == 0) & (np.arange(len(count)) % rounds == turn)
     at = np.flatnonzero(np.repeat(mine, count))
-    if not len(at):
-        return 0
-    f, y = _history(block)[:, at], classes.of(block.vocab, block.ending)[block.tokens[at]]
+    hist, word = histories(block, at), leaf(block.vocab)[block.tokens[at]]
     for s in range(0, len(at), STEP):
-        fs, ys = f[:, s : s + STEP], y[s : s + STEP]
-        _, g, z = _softmax(w, fs)
-        g /= z[:, None]
-        g[np.arange(len(ys)), ys] -= 1
-        for k in range(3):
-            order = np.argsort(fs[k].astype(np.uint16), kind="stable")
-            own = fs[k][order]
-            cut = np.flatnonzero(np.diff(own, prepend=-1))
-            total = np.add.reduceat(g[order], cut, axis=0)
-            rows = own[cut]
-            square[rows] += np.einsum("ij,ij->i", total, total)
-            w[rows] -= (rate / np.sqrt(square[rows] + 1.0))[:, None] * total
+        model.step(square, hist[:, s : s + STEP], word[s : s + STEP], rate)
     return len(at)
 
 
-def _train(model, classes: Classes, turn: int, rounds: int):
+def _train(model, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, square, used = model.value.copy(), np.zeros(BUCKETS + 1, np.float32), 0
+        own = Model(model.value.weights.copy(), model.value.start)
+        square, used = np.zeros((LEVELS, BUCKETS), np.float32), 0
         for b in batches:
-            for block in Block.each(b):
-                used += train_on(w, square, block, classes, turn, rounds)
+            for block in Block.each(b, "held", "first", "vocab", "tokens"):
+                used += train_on(own, square, block, turn, rounds)
         if used:
-            cut = np.array_split(w[:BUCKETS], SLICES)
-            yield core.batch_of(slice=np.arange(SLICES, dtype=np.int32), n=np.full(SLICES, used, np.int64), w=pa.array([x.tobytes() for x in cut], pa.binary()))
+            w, q = (np.array_split(x.reshape(LEVELS * BUCKETS, -1).astype(np.float16), SLICES) for x in (own.weights, np.sqrt(square)))
+            yield core.batch_of(slice=np.arange(SLICES, dtype=np.int32), n=np.full(SLICES, used, np.int64), w=pa.array([x.tobytes() for x in w], pa.binary()), q=pa.array([x.tobytes() for x in q], pa.binary()))
 
     return run
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted mean of each slice; one slice's sum is held at a time."""
-    now, total, n = None, None, 0
+    """Weighted mean of each slice's rows; one slice's sum is held at a time."""
+    now, total, weight = None, None, None
+
+    def done() -> pa.RecordBatch:
+        return core.batch_of(slice=pa.array([now], pa.int32()), w=pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()))
+
     for b in batches:
-        for s, k, raw in zip(numbers(b, "slice").tolist(), numbers(b, "n").tolist(), column(b, "w"), strict=True):
+        for s, w, q in zip(numbers(b, "slice").tolist(), column(b, "w"), column(b, "q"), strict=True):
             if s != now:
                 if now is not None:
-                    yield core.batch_of(slice=pa.array([now], pa.int32()), w=pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()))
-                now, total, n = s, 0.0, 0
-            total, n = total + k * np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64), n + k
+                    yield done()
+                now, total, weight = s, 0.0, 0.0
+            # Rows that no task has used keep their weights.
+            use = np.frombuffer(q.as_buffer(), np.float16).astype(np.float64)[:, None] ** 2 + 1e-6
+            total, weight = total + use * np.frombuffer(w.as_buffer(), np.float16).reshape(-1, FAN), weight + use
     if now is not None:
-        yield core.batch_of(slice=pa.array([now], pa.int32()), w=pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()))
+        yield done()
 
 
-def _vocabulary(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for number, block in zip(numbers(b, "block").tolist(), Block.each(b), strict=True):
-        yield core.batch_of(h=block.vocab.view(np.int64), block=np.full(len(block.vocab), number, np.int64), ending=block.ending.astype(np.int32), n=block.train.astype(np.int64))
+def _parts(parts: int):
+    """Each block's vocabulary, cut by hash range."""
+    edges = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
 
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for number, block in zip(numbers(b, "block").tolist(), Block.each(b, "vocab", "train"), strict=True):
+            cut = [0, *np.searchsorted(block.vocab, edges).tolist(), len(block.vocab)]
+            part = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            yield core.batch_of(
+                part=np.array(part, np.int32), block=np.full(len(part), number, np.int64),
+                h=pa.array([block.vocab[cut[p] : cut[p + 1]].tobytes() for p in part], pa.binary()), n=pa.array([block.train[cut[p] : cut[p + 1]].tobytes() for p in part], pa.binary()),
+            )
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word: the word's total for each block, and one row (block null) for the word itself."""
-    from lanternflow.llm.jaccard_join import _grouped
+    return fn
 
-    for h, block, ending, n in _grouped(batches, ["h", "block", "ending", "n"], 1 << 62):
-        cut = np.flatnonzero(np.diff(h, prepend=h[:1] - 1))
-        c = np.add.reduceat(n, cut)
-        size = np.diff(np.append(cut, len(h)))
-        yield core.batch_of(h=h, block=pa.array(block), ending=ending.astype(np.int32), c=np.repeat(c, size))
-        yield core.batch_of(h=h[cut], block=pa.nulls(len(cut), pa.int64()), ending=ending[cut].astype(np.int32), c=c)
 
+_COUNTS = "part int, block long, c binary, leaf long, mass long, room long"
 
-def _scorer(model, classes: Classes, emit, base: tuple[int, int]):
-    total, kinds = base
-    within, room, alone = emit
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part: the words' totals for each block's slice, and (block null) each leaf's total and number of known words."""
+    for b in core.whole_groups(batches, "part"):
+        part = numbers(b, "part")
+        cut = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))
+        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
+            h = [np.frombuffer(x.as_buffer(), np.uint64) for x in column(b, "h")[s:e]]
+            n = [np.frombuffer(x.as_buffer(), np.uint32) for x in column(b, "n")[s:e]]
+            words, back = np.unique(np.concatenate(h), return_inverse=True)
+            c = np.bincount(back, np.concatenate(n), len(words)).astype(np.int64)
+            known, at = np.unique(leaf(words), return_inverse=True)
+            mass, room = np.bincount(at, c).astype(np.int64), np.bincount(at, c > 0).astype(np.int64)
+            own = np.split(c[back], np.cumsum([len(x) for x in h])[:-1])
+            k, m = e - s, len(known)
+            none = lambda x, t=pa.int64(): pa.nulls(x, t)
+            yield core.batch_of(
+                part=np.full(k + m, part[s], np.int32), block=pa.concat_arrays([pa.array(numbers(b, "block")[s:e]), none(m)]), c=pa.concat_arrays([pa.array([squeeze(x) for x in own], pa.binary()), none(m, pa.binary())]),
+                leaf=pa.concat_arrays([none(k), pa.array(known)]), mass=pa.concat_arrays([none(k), pa.array(mass)]), room=pa.concat_arrays([none(k), pa.array(room)]),
+            )
+
+
+def _scorer(model, mass: np.ndarray, room: np.ndarray):
+    total, kinds = int(mass.sum()), int(room.sum())
 
     def fn(key: tuple, blocks: pa.Table, counts: pa.Table) -> pa.Table:
         out = []
+        order = np.argsort(counts.column("part").to_numpy())
+        c = np.concatenate([unsqueeze(counts.column("c")[i].as_buffer(), np.int64) for i in order.tolist()]).astype(np.float64)
         for block in Block.each(blocks.combine_chunks()):
-            h, c = counts.column("h").to_numpy().view(np.uint64), counts.column("c").to_numpy()
-            order = np.argsort(h)
-            c = c[order][np.searchsorted(h[order], block.vocab)].astype(np.float64)
-            k = classes.of(block.vocab, block.ending)
-            inside = np.where(alone[k], 0.0, np.log10((c + SMOOTH) / (within[k] + SMOOTH * (room[k] + 1))))
+            word = leaf(block.vocab)
+            inside = np.log10((c + SMOOTH) / (mass[word] + SMOOTH * (room[word] + 1)))
             plain = np.log10((c + SMOOTH) / (total + SMOOTH * (kinds + 1)))
-            cut, f, y = block.first[:-1], _history(block), k[block.tokens]
+            y = word[block.tokens]
             score = inside[block.tokens]
-            w = model.value
-            for s in range(0, len(y), STEP):
-                score[s : s + STEP] += class_scores(w, f[:, s : s + STEP], y[s : s + STEP]) / np.log(10)
-            add = lambda v: np.add.reduceat(v, cut)
+            for s in range(0, len(y), BLOCK):
+                e = min(s + BLOCK, len(y))
+                hist = histories(block, np.arange(s, e))
+                for i in range(s, e, STEP):
+                    j = min(i + STEP, e)
+                    score[i:j] += model.value.log_likelihood(hist[:, i - s : j - s], y[i:j]) / np.log(10)
+            add = lambda v, cut=block.first[:-1]: np.add.reduceat(v, cut)
             out.append(pa.table({
                 "doc_id": block.doc_id, "held_out": block.held.astype(bool), "n_tokens": np.diff(block.first), "n_known": add((c > 0).astype(np.int64)[block.tokens]),
-                "train_tokens": np.full(len(cut), total, np.int64), "base_score": add(plain[block.tokens]), "score": add(score),
+                "train_tokens": np.full(len(block.doc_id), total, np.int64), "base_score": add(plain[block.tokens]), "score": add(score),
             }))
         return pa.concat_tables(out)
 
@@ -255,52 +308,38 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, folds: int = 10) -> D
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens seen
     in training), train_tokens, base_score (smoothed unigrams) and score, both
-    log10.  Null or empty text: the end alone.  A null doc_id is in training.
-    Repeated rows count and score each.  Very long texts stay whole, in a block
-    of their own if need be.  An empty table gives an empty table; with no
-    training text every count is 0 and the class weights stay flat.
+    log10.  Training goes over each text once, in ``rounds`` rounds; the weights
+    are the same for the same files and splits, and differ a little with how
+    the table is cut.  Null or empty text: the end alone.  A null doc_id is in
+    training.  Repeated rows count and score each.  Very long texts stay whole,
+    in a block of their own if need be.  An empty table gives an empty table;
+    with no training text every count is 0 and all digits stay alike.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(core.NULL_ID)).alias("doc_id"), held_out(folds).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = core.stored(texts.mapInArrow(_pack(BLOCK), BLOCKS_SCHEMA), "blocks", per_file=8)
+    n_blocks, size = blocks.agg(F.count("*"), F.sum("size")).first()
+
+    # Parts of about equal size; as a power of two they share no leaf.
+    parts = 1 << min(BITS * LEVELS, max(0, ((size or 0) // PART).bit_length()))
+    slices = core.arrow_map(blocks.select("block", "vocab", "train"), _parts(parts), "part int, block long, h binary, n binary")
+    counts = core.stored(slices.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(_count, _COUNTS), "counts")
+    mass, room = np.zeros(LEAVES), np.zeros(LEAVES)
+    for r in counts.where("block IS NULL").select("leaf", "mass", "room").collect():
+        mass[r["leaf"]], room[r["leaf"]] = r["mass"], r["room"]
 
-    rows = core.arrow_map(blocks.select("block", *Block.KINDS), _vocabulary, "h long, block long, ending int, n long")
-    rows = rows.repartition(core.parts(spark), "h").sortWithinPartitions("h").mapInArrow(_count, "h long, block long, ending int, c long")
-    counts = core.stored(rows, "counts")
-    words = counts.where("block IS NULL")
-    total, kinds = words.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
-    total, kinds = total or 0, kinds or 0
-
-    end = int(END.astype(np.int64))
-    top = [end, *(r["h"] for r in words.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(TOP - 1).collect())]
-    top_hash = np.sort(np.array(top, np.int64).view(np.uint64))
-    rest = words.where(~F.col("h").isin(top))
-    endings = rest.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect()
-    ranked = sorted(endings, key=lambda r: (-r["c"], r["ending"]))[: CLASSES - TOP - 1]
-    table = np.full(65536, CLASSES - 1, np.int16)
-    for i, r in enumerate(ranked):
-        table[r["ending"]] = TOP + i
-    classes = Classes(top_hash, table)
-    within, room = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in endings:
-        within[table[r["ending"]]] += r["c"]
-        room[table[r["ending"]]] += r["v"]
-    alone = np.arange(CLASSES) < len(top_hash)
-    for r in words.where(F.col("h").isin(top)).collect():
-        within[np.searchsorted(top_hash, np.uint64(r["h"] % 2**64))] = r["c"]
-
-    w = np.zeros((BUCKETS + 1, CLASSES), np.float32)
-    w[BUCKETS] = np.log((within + 1) / (within + 1).sum())
+    model = Model.of(mass)
     for turn in range(rounds):
-        model = spark.sparkContext.broadcast(w)
-        slices = blocks.select("block", *Block.KINDS).mapInArrow(_train(model, classes, turn, rounds), "slice int, n long, w binary")
-        got = slices.repartition(SLICES, "slice").sortWithinPartitions("slice", "n").mapInArrow(_average, "slice int, w binary").collect()
+        sent = spark.sparkContext.broadcast(model)
+        got = blocks.select("block", "held", "first", "vocab", "tokens").mapInArrow(_train(sent, turn, rounds), "slice int, n long, w binary, q binary")
+        got = got.repartition(SLICES, "slice").sortWithinPartitions("slice", "n", "q").mapInArrow(_average, "slice int, w binary").collect()
         if got:
-            w = w.copy()
-            w[:BUCKETS] = np.concatenate([np.frombuffer(r["w"], np.float32).reshape(-1, CLASSES) for r in sorted(got, key=lambda r: r["slice"])])
-    scorer = _scorer(spark.sparkContext.broadcast(w), classes, (within, room, alone), (total, kinds))
-    answers = counts.where("block IS NOT NULL").select("block", "h", "c")
-    return core.give_back_ids(blocks.select("block", *Block.KINDS).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scorer, SCORES))
+            rows = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["slice"])])
+            model = Model(rows.reshape(LEVELS, BUCKETS, FAN), model.start)
+    scorer = _scorer(spark.sparkContext.broadcast(model), mass, room)
+    tasks = max(1, 2 * n_blocks)
+    answers = counts.where("block IS NOT NULL").select("block", "part", "c").repartition(tasks, "block")
+    return core.give_back_ids(blocks.select("block", *_COLUMNS).repartition(tasks, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scorer, SCORES))
 
 
 def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,11 +118,71 @@ def test_jaccard_long_lists_and_salting(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHORT", 2)
     monkeypatch.setattr(jaccard_join, "MEMBERS", 3)
     monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    monkeypatch.setattr(jaccard_join, "LIST", 4)
     monkeypatch.setattr(jaccard_join, "frequent_table", lambda *_: ())
     got = jaccard_join.jaccard_components(frame(spark, rows), 60)
     assert sorted(map(tuple, got.collect())) == brute_components(rows, 60)
 
 
+@pytest.mark.parametrize("size", [2, 3, 5, 10_000])
+def test_lists_that_go_on_over_batches_keep_every_entry(size):
+    """Whatever the batches, each entry of a list of two or more is kept and has the leader that the whole list gives it."""
+    rng = np.random.default_rng(size)
+    token = np.sort(rng.integers(0, 40, 300))
+    pos = np.zeros(300, np.int32)
+    for t in range(40):
+        pos[token == t] = np.sort(rng.integers(0, 9, (token == t).sum()))
+    n, ids = rng.integers(10, 60, 300).astype(np.int32), np.arange(300)
+    whole = pa.RecordBatch.from_pydict({"token": token, "set": ids, "n": n, "pos": pos})
+    got = [r for b in jaccard_join._lead(75)(whole.slice(i, size) for i in range(0, 300, size)) for r in b.to_pylist()]
+    want, count = {}, Counter(token.tolist())
+    for t in set(token.tolist()):
+        heads: list[int] = []
+        for i in np.flatnonzero(token == t).tolist():
+            h = next((h for h in heads if 100 * min(n[h], n[i]) >= 75 * max(n[h], n[i])), None)
+            if h is None:
+                heads.append(h := i)
+            want[i] = h
+    assert {r["set"]: r["lead"] for r in got} == {i: h for i, h in want.items() if count[token[i]] > 1} and len(got) == sum(c for c in count.values() if c > 1)
+    assert all(r["many"] > 2 for r in got if count[r["token"]] > 2)
+
+
+def brute_cells(rows, most):
+    return {(min(a, b), max(a, b)) for g, a, p in rows for h, b, q in rows if g == h and p != q}
+
+
+@pytest.mark.parametrize("most", [2, 5, 100])
+def test_cells_hold_every_pair_of_components(spark, most):
+    rng = random.Random(most)
+    rows = [(g, i, 0 if g < 2 and rng.random() < 0.8 else rng.randrange(4)) for i in range(70) for g in range(4) if rng.random() < 0.5]
+    got = jaccard_join._dealt(spark.createDataFrame(rows, "g long, set long, comp long"), "g", most).collect()
+    cells = defaultdict(list)
+    for r in got:
+        cells[r.cell].append(r)
+    met = set()
+    for c in cells.values():
+        role = jaccard_join._roles(np.array([r.role for r in c]), np.array([r.comp for r in c]))
+        for x, p in zip(c, role, strict=True):
+            for y, q in zip(c, role, strict=True):
+                if x.comp != y.comp and p != jaccard_join.GUEST and q != jaccard_join.HOME:
+                    met.add((min(x.set, y.set), max(x.set, y.set)))
+    assert met == brute_cells(rows, most)
+    if most < 100:
+        assert max(len(c) for c in cells.values()) <= 5 * most + 10
+
+
+def test_delta_pairs_survive_collisions():
+    """Tokens of a delta with equal low halves do not lower an overlap: 78 shared of 102 link."""
+    leader = np.arange(1, 91, dtype=np.uint64)
+    more = (np.arange(12, dtype=np.uint64) % np.uint64(3)) + np.uint64(5000)  # twelve tokens of three hashes
+    sets = [np.concatenate([leader[:78], more]), np.concatenate([leader[:66], more, np.arange(900, 912, dtype=np.uint64)])]
+    low = [np.concatenate([leader[78:], more]).astype(np.uint32), np.concatenate([leader[66:], more, np.arange(900, 912, dtype=np.uint64)]).astype(np.uint32)]
+    n, shared = np.array([len(s) for s in sets]), 66 + 12
+    assert 100 * shared >= 75 * (n.sum() - shared)
+    x, y = jaccard_join.delta_pairs(n, np.array([1, 2]), low, 75)
+    assert (x.tolist(), y.tolist()) == ([0], [1])
+
+
 def test_parity_gap_is_a_lower_bound():
     rng = np.random.default_rng(0)
     for _ in range(300):
@@ -343,24 +404,88 @@ def test_language_model(docs):
     assert all(r.score < 0 for r in rows)
 
 
+def lm_block(words_of_texts):
+    h = core.Words(np.frombuffer(" ".join(w for t in words_of_texts for w in t).encode(), np.uint8), np.array([0, sum(len(w) + 1 for t in words_of_texts for w in t) - 1])).hash
+    vocab, tokens = np.unique(h, return_inverse=True)
+    first = np.append(0, np.cumsum([len(t) for t in words_of_texts]))
+    return maxent_lm.Block(doc_id=np.arange(len(first) - 1), held=np.zeros(len(first) - 1, np.uint8), first=first, vocab=vocab, train=np.bincount(tokens).astype(np.uint32), tokens=tokens.astype(np.uint32))
+
+
 def test_class_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
-    vocab = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    n = 40_000
-    tokens = np.empty(n, np.uint32)
-    tokens[0] = 0
-    for k in range(1, n):  # the next word nearly follows from the last
-        tokens[k] = (tokens[k - 1] * 7 + 3) % 40 if rng.random() < 0.9 else rng.integers(40)
-    row = {"doc_id": np.zeros(1, np.int64), "held": np.zeros(1, np.uint8), "first": np.array([0, n]), "vocab": vocab, "ending": np.zeros(40, np.uint16), "train": np.bincount(tokens, minlength=40).astype(np.uint32), "tokens": tokens}
-    block = maxent_lm.Block({k: v.tobytes() for k, v in row.items()})
-    classes = maxent_lm.Classes(np.sort(vocab), np.full(65536, 63, np.int16))
-    w, square = np.zeros((maxent_lm.BUCKETS + 1, maxent_lm.CLASSES), np.float32), np.zeros(maxent_lm.BUCKETS + 1, np.float32)
-    y, f = classes.of(block.vocab, block.ending)[block.tokens], maxent_lm._history(block)
-    loss = lambda: -maxent_lm.class_logits(w, f)[np.arange(n), y].mean()
-    before = loss()
-    assert maxent_lm.train_on(w, square, block, classes, 0, 1) == n
-    assert np.allclose(np.exp(maxent_lm.class_logits(w, f[:, :100])).sum(axis=1), 1, atol=1e-5)
-    assert loss() < 0.5 * before
+    text = [0]
+    for _ in range(20_000):  # the next word nearly follows from the last
+        text.append((text[-1] * 7 + 3) % 40 if rng.random() < 0.9 else int(rng.integers(40)))
+    block = lm_block([[f"w{i}" for i in text]])
+    word = maxent_lm.leaf(block.vocab)[block.tokens]
+    model = maxent_lm.Model.of(np.bincount(word, minlength=maxent_lm.LEAVES).astype(float))
+    hist = maxent_lm.histories(block, np.arange(len(word)))
+    before = -model.log_likelihood(hist, word).mean()
+    assert maxent_lm.train_on(model, np.zeros((maxent_lm.LEVELS, maxent_lm.BUCKETS), np.float32), block, 0, 1) == len(word)
+    every = np.arange(maxent_lm.LEAVES)
+    for i in (0, 1, 77):
+        assert abs(np.exp(model.log_likelihood(np.repeat(hist[:, i : i + 1], len(every), axis=1), every)).sum() - 1) < 1e-3
+    assert -model.log_likelihood(hist, word).mean() < 0.5 * before
+
+
+def test_log_likelihood_and_steps_equal_a_plain_softmax():
+    """A digit's probability and its gradient, written out feature by feature in exact sums."""
+    rng = random.Random(9)
+    block = lm_block([words(rng, 60, 30) for _ in range(5)])
+    word = maxent_lm.leaf(block.vocab)[block.tokens]
+    model = maxent_lm.Model.of(np.bincount(word, minlength=maxent_lm.LEAVES).astype(float))
+    hist = maxent_lm.histories(block, np.arange(len(word)))
+    w = {}
+    seen: Counter = Counter()
+    fan, levels, bits = maxent_lm.FAN, maxent_lm.LEVELS, maxent_lm.BITS
+
+    def digits(i):
+        for k in range(levels):
+            before = int(word[i]) >> (bits * (levels - k))
+            rows = [(((int(f) ^ ((before * 0x9E3779B97F4A7C15 + k) % 2**64)) * 0xD6E8FEB86659FD93) % 2**64) >> 48 for f in hist[:, i]]
+            x = [float(model.start[k][before][d]) + sum(w.get((k, r, d), 0.0) for r in rows) for d in range(fan)]
+            z = sum(map(math.exp, x))
+            yield k, rows, [math.exp(v) / z for v in x], (int(word[i]) >> (bits * (levels - 1 - k))) & (fan - 1)
+
+    square = np.zeros((levels, maxent_lm.BUCKETS), np.float32)
+    for s in (0, 150):
+        # A step: the features of a level are changed one after another, from the same probabilities.
+        total: dict = defaultdict(lambda: [0.0] * fan)
+        for i in range(s, s + 150):
+            for k, rows, p, y in digits(i):
+                for q, r in enumerate(rows):
+                    for d in range(fan):
+                        total[k, q, r][d] += p[d] - (d == y)
+        for (k, _, r), g in sorted(total.items()):
+            seen[k, r] += sum(v * v for v in g)
+            for d in range(fan):
+                w[k, r, d] = w.get((k, r, d), 0.0) - maxent_lm.RATE / math.sqrt(seen[k, r] + 1) * g[d]
+        model.step(square, hist[:, s : s + 150], word[s : s + 150], maxent_lm.RATE)
+    want = [sum(math.log(p[y]) for _, _, p, y in digits(i)) for i in range(len(word))]
+    assert np.allclose(model.log_likelihood(hist, word), want, atol=2e-3)
+
+
+def test_language_model_beats_the_unigrams(spark):
+    rng = random.Random(2)
+    chain = {f"w{i}": [f"w{rng.randrange(200)}" for _ in range(3)] for i in range(200)}
+    rows = []
+    for i in range(300):
+        t = [f"w{rng.randrange(200)}"]
+        while len(t) < 80:
+            t.append(rng.choice(chain[t[-1]]))
+        rows.append((i, " ".join(t)))
+    got = maxent_lm.score_documents(frame(spark, rows)).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    base, model = (10 ** (-x / got[0]) for x in got[1:])
+    assert base > 150 and model < 0.4 * base
+
+
+def test_weights_are_averaged_by_their_gradients():
+    w = np.zeros((2, 3, maxent_lm.FAN), np.float16)
+    w[0, :, 0], w[1, :, 0] = [1, 1, 1], [4, 4, 1]
+    q = np.array([[1, 0, 0], [1, 2, 0]], np.float16)
+    rows = pa.RecordBatch.from_pydict({"slice": pa.array([0, 0], pa.int32()), "n": [5, 6], "w": [x.tobytes() for x in w], "q": [x.tobytes() for x in q]})
+    out = np.frombuffer(next(maxent_lm._average(iter([rows]))).column("w")[0].as_buffer(), np.float32).reshape(3, -1)
+    assert np.allclose(out[:, 0], [2.5, 4, 1], atol=1e-4) and (out[:, 1:] == 0).all()
 
 
 # --- 6: quality classifier
@@ -450,11 +575,39 @@ def test_windows_that_fit_no_leader_lead(spark):
     assert got == {i for i, _ in rows if i % 3}
 
 
-def test_link_tries_all_windows_of_a_leader():
-    key, ids = np.full(5, 9), np.array([1, 1, 2, 3, 3])
-    left, right = np.array([46, 10, 12, 5, 5]), np.array([3, 41, 46, 20, 41])
-    links, lead = substring_dedup._link(key, ids, left, right, 46)
-    assert set(zip(links["a"].tolist(), links["b"].tolist(), strict=True)) == {(1, 2), (1, 3)} and lead.tolist() == [0, 1]
+@pytest.mark.parametrize("seed", range(8))
+def test_sweep_ties_windows_as_the_definition_says(seed):
+    rng = np.random.default_rng(seed)
+    least, n = 6, 120
+    rows = sorted({(int(k), int(d), int(x), int(y)) for k, d, x, y in zip(rng.integers(0, 6, n), rng.integers(0, 30, n), rng.integers(0, 7, n), rng.integers(0, 7, n), strict=True) if x + y >= least})
+    key, ids, left, right = np.array(rows).T
+    over = lambda s, t: min(s[0], t[0]) + min(s[1], t[1]) >= least
+    want: dict = {}
+    for k in range(6):
+        lead: list = []
+        for _, d, x, y in (r for r in rows if r[0] == k):
+            if (k, x, y) not in want:
+                fit = [(e, s) for e, s in lead if e != d and over(s, (x, y))]
+                if not fit:
+                    lead.append((d, (x, y)))
+                    fit = [(d, (x, y))]
+                want[k, x, y] = sorted(e for e, _ in fit)
+    first, extent, use, to = substring_dedup.sweep(key, ids, left, right, least)
+    got = defaultdict(list)
+    for u, t in zip(use.tolist(), to.tolist(), strict=True):
+        i = first[u]
+        got[int(key[i]), int(left[i]), int(right[i])].append(int(ids[first[t]]))
+    assert {k: sorted(v) for k, v in got.items()} == want and (first[extent] <= np.arange(len(rows))).all()
+    # In batches of any size, with every window of an extent answered by its leaders.
+    for size in (1, 7, 50):
+        whole = pa.RecordBatch.from_pydict({"key": key, "doc_id": ids, "left": left, "right": right, "role": np.zeros(len(rows), np.int64)})
+        links = {(r["key"], r["a"], r["b"], r["left"], r["right"]) for b in substring_dedup._sweep(least)(whole.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()}
+        assert links == {(k, a, d, x, y) for k, d, x, y in rows for a in want[k, x, y] if a != d}
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    got = [Counter(map(tuple, substring_dedup.repeated_passages(frame(spark, ROWS, n)).collect())) for n in (1, 3, 16)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 20
 
 
 def test_edited_passages_are_found(spark):
