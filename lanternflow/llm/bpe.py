@@ -4,8 +4,8 @@ A partition's new words are laid out in one array of symbols.  The index maps
 each adjacent pair to all its places there.  Ranks that occur are kept in a
 heap and applied in ascending order: the places of the lowest pair are merged
 at once, and only the lists of the pairs to the left and right of them change.
-Each distinct word is encoded once and its ids, their text and the decoded
-text are kept, so that encoding a document is a look-up for each word.
+Each distinct word is encoded once and its ids are kept, so that encoding a
+document is a look-up for each word; decoding goes from the ids to the text.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -158,8 +159,8 @@ class WordBpe:
         for t, i in self.special.items():
             self.names += [""] * (i + 1 - len(self.names))
             self.names[i] = t
-        # piece -> (number of ids, the ids joined by a space, the tokens joined by a space)
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.digits = [str(i) for i in range(len(self.names))]
+        self.cache: dict[str, list[int]] = {}
         self.path, self._library = path, None
 
     def split(self, text: str) -> list[str]:
@@ -195,9 +196,7 @@ class WordBpe:
         for p in new:
             raw = p.encode()
             symbols.append([*[inner[b] for b in raw[:-1]], final[raw[-1]]])
-        names = self.names
-        for p, ids in zip(new, self.merges.encode(symbols), strict=True):
-            self.cache[p] = (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+        self.cache.update(zip(new, self.merges.encode(symbols), strict=True))
 
     def parts(self, text: str) -> list[str]:
         """Pieces and special tokens of a text, in order."""
@@ -208,24 +207,24 @@ class WordBpe:
             out += [part] if part in self.special else self.split(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text: number of ids, ids joined by a space, decoded text."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         if len(self.cache) > CACHE:
             self.cache.clear()
         for t, i in self.special.items():
-            self.cache[t] = (1, str(i), t)
+            self.cache[t] = [i]
         split = [self.parts(t) for t in texts]
         self.learn({p for ps in split for p in ps})
         get = self.cache.__getitem__
-        out = []
-        for ps in split:
-            n, ids, names = zip(*map(get, ps), strict=True) if ps else ((), (), ())
-            out.append((sum(n), " ".join(ids), " ".join(names)))
-        return out
+        return [list(chain.from_iterable(map(get, ps))) for ps in split]
+
+    def decimal(self, ids: list[int]) -> str:
+        return " ".join(map(self.digits.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens joined by a space, special ones included; the vocabulary has no other decoder."""
-        return " ".join([self.names[i] for i in ids if i < len(self.names) and self.names[i]])
+        """The tokens joined by a space, special ones included; the vocabulary has no other decoder.  Unknown ids are left out."""
+        names, n = self.names, len(self.names)
+        return " ".join([names[i] for i in ids if i < n and names[i]])
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -241,8 +240,9 @@ def _encoder(path: str):
     def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts = numbers(b, "doc_id"), column(b, "text")
         for i, j in core.steps(core.text_bytes(texts)[1], 4 << 20):
-            rows = word_bpe(path).encode(texts[i:j].to_pylist())
-            yield core.batch_of(doc_id=ids[i:j], n_tokens=np.array([r[0] for r in rows], np.int64), ids=pa.array([r[1] for r in rows]), decoded=pa.array([r[2] for r in rows]))
+            bpe = word_bpe(path)
+            rows = bpe.encode(texts[i:j].to_pylist())
+            yield core.batch_of(doc_id=ids[i:j], n_tokens=np.array([len(r) for r in rows], np.int64), ids=pa.array([bpe.decimal(r) for r in rows]), decoded=pa.array([bpe.decode(r) for r in rows]))
 
     return fn
 
@@ -253,10 +253,11 @@ def _digester(path: str):
     def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts = numbers(b, "doc_id"), column(b, "text")
         for i, j in core.steps(core.text_bytes(texts)[1], 4 << 20):
-            rows = word_bpe(path).encode(texts[i:j].to_pylist())
+            bpe = word_bpe(path)
+            rows = bpe.encode(texts[i:j].to_pylist())
             yield core.batch_of(
-                doc_id=ids[i:j], n_tokens=np.array([r[0] for r in rows], np.int64),
-                ids_sha256=pa.array([sha(r[1].encode()).hexdigest() for r in rows]), decoded_sha256=pa.array([sha(r[2].encode()).hexdigest() for r in rows]),
+                doc_id=ids[i:j], n_tokens=np.array([len(r) for r in rows], np.int64),
+                ids_sha256=pa.array([sha(bpe.decimal(r).encode()).hexdigest() for r in rows]), decoded_sha256=pa.array([sha(bpe.decode(r).encode()).hexdigest() for r in rows]),
             )
 
     return fn

@@ -9,6 +9,7 @@ Conventions of every operator in this subpackage:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import weakref
@@ -31,25 +32,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns renamed by place, but doc_id and text: no name is another's but for case."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)])
+
+
+def _filled() -> dict[str, Column]:
+    return {"doc_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "text": F.coalesce(F.col("text"), F.lit(""))}
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, without nulls."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
+    return _plain(docs).select(*[v.alias(k) for k, v in _filled().items()])
 
 
 def with_rest(docs: DataFrame) -> DataFrame:
-    """doc_id and text without nulls, and the other columns (and the doc_id as it was) in the struct ``rest``."""
-    return docs.select(*(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))).withColumns(
-        {"doc_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "text": F.coalesce(F.col("text"), F.lit(""))}
-    )
+    """doc_id and text without nulls, and the other columns by place (and the doc_id as it was) in the struct ``rest``, for ``like``."""
+    plain = _plain(docs)
+    rest = F.struct(*[F.col(n).alias(f"_{i}") for i, n in enumerate(plain.columns) if n != "text"])
+    return plain.select("doc_id", "text", rest.alias("rest")).withColumns(_filled())
 
 
 def like(df: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` from a frame with ``text`` and ``rest``; ``n_chars`` follows the text."""
-    fresh = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return df.select(*[(fresh[c] if fresh.get(c) is not None else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    out = []
+    for i, f in enumerate(docs.schema.fields):
+        kept = F.col("text") if f.name == "text" else F.char_length("text").cast(f.dataType) if f.name == "n_chars" else F.col(f"rest._{i}")
+        out.append(kept.alias(f.name))
+    return df.select(*out)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -99,9 +109,11 @@ def give_back_ids(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lanternflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ from lanternflow.llm import core
 from lanternflow.llm.core import U64, column, mix, numbers
 
 SAMPLES = 64
-#: Buckets of neighbouring ids, at most; each bucket's first row is sent to two places.
-BUCKETS = 1024
+#: Bytes of text in a range of neighbouring ids, about; each range's first row is sent to two places.
+RANGE = 4 << 20
 #: Bytes of text taken at once.
 STEP = 1 << 20
 #: Marks an empty text's samples; no other sample has it.
@@ -129,7 +130,12 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """(doc_id, fingerprint) of each row.  Null or empty text: every place ``ffff``.  Equal texts have equal fingerprints."""
+    """(doc_id, fingerprint) of each row.
+
+    Null or empty text: every place ``ffff``.  Equal texts have equal
+    fingerprints; repeated rows are answered each; very long texts are read
+    whole; an empty table gives an empty table.
+    """
 
     def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, off = core.text_bytes(column(b, "text"))
@@ -157,12 +163,12 @@ def _compare(samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         texts: list[str] = []
-        size, bucket = 0, None
+        size, now = 0, None
         for b in batches:
-            for bk, look, i, t in zip(numbers(b, "bucket").tolist(), numbers(b, "look").tolist(), numbers(b, "doc_id").tolist(), column(b, "text").to_pylist(), strict=True):
-                if bk != bucket:
-                    assert not ids, "a bucket has no row after its last"
-                    bucket = bk
+            for r, look, i, t in zip(numbers(b, "range").tolist(), numbers(b, "look").tolist(), numbers(b, "doc_id").tolist(), column(b, "text").to_pylist(), strict=True):
+                if r != now:
+                    assert not ids, "a range has no row after its last"
+                    now = r
                 if look:
                     if ids:
                         yield emit(ids, texts, t)
@@ -174,40 +180,78 @@ def _compare(samples: int):
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
-        assert not ids, "a bucket has no row after its last"
+        assert not ids, "a range has no row after its last"
 
     return run
 
 
-def compare_neighbours(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def _starts(room: int):
+    """Keys sorted by id and mark, with sizes: the first key, and one whenever about so many bytes have passed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed, last = 0, -1
+        for b in batches:
+            size = numbers(b, "size").astype(np.int64)
+            if not len(size):
+                continue
+            block = (passed + np.cumsum(size) - size) // room
+            yield b.filter(pa.array(np.diff(block, prepend=last) > 0)).select(["doc_id", "mark"])
+            passed, last = passed + int(size.sum()), int(block[-1])
+
+    return run
+
+
+def sort_keys(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Byte strings in the order of (id, mark)."""
+    both = (np.stack([ids, marks], axis=1).astype(np.int64) ^ np.int64(-(2**63))).astype(">i8")
+    return np.ascontiguousarray(both).view("S16").ravel()
+
+
+def _ranges(starts):
+    """Twice the number of the range that a row falls in, and one more for the range's first key."""
+
+    @F.pandas_udf("long")
+    def at(ids: pd.Series, marks: pd.Series) -> pd.Series:
+        keys, first = sort_keys(ids.to_numpy(), marks.to_numpy()), starts.value
+        k = np.searchsorted(first, keys, "right") - 1
+        return pd.Series(2 * k + (first[k] == keys))
+
+    return at
+
+
+def compare_neighbours(docs: DataFrame, samples: int = SAMPLES, room: int = RANGE) -> DataFrame:
     """Fingerprints of each document, of its edited text, and their likeness.
 
-    The next document is the next row by doc_id (rows of one id by text); after
-    the last comes the first.  Rows are dealt to buckets of neighbouring ids,
-    sorted there by Spark, and streamed; each bucket also gets the row that
-    follows its last.
+    The next document is the next row by doc_id (rows of one id by a hash of
+    the text); after the last comes the first.  Ids alone are sorted first, to
+    cut them to ranges of about ``room`` bytes of text.  Then each row goes to
+    its range, sorted there by Spark, and streams through; the first row of a
+    range also goes to the range before.  What the driver holds is 16 bytes for
+    each range.
 
     Null or empty text: 0 characters, fingerprint of ``ffff`` only; it is like
     another empty text (1.0) and unlike all others (0.0).  A null doc_id sorts
-    last.  A single row is its own next one.  An empty table gives an empty table.
+    last.  A single row is its own next one.  Very long texts are a range of
+    their own.  Equal samples (ties) cannot be told from each other.  An empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
-    base = core.id_text(docs)
-    n = min(BUCKETS, 3 * core.parts(spark))
-    cuts = base.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"] or []
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<bigint>")
-    bucket = F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))).cast("int")
-    rows = base.withColumn("bucket", bucket)
-    firsts = sorted((r["bucket"], r["id"]) for r in rows.groupBy("bucket").agg(F.min("doc_id").alias("id")).collect())
-    main = rows.withColumn("look", F.lit(0))
-    if firsts:
-        to = {i: firsts[k - 1][0] for k, (_, i) in enumerate(firsts)}
-        target = F.create_map(*[F.lit(x) for i, b in to.items() for x in (i, b)])
-        look = base.where(F.col("doc_id").isin(list(to))).withColumn("bucket", target[F.col("doc_id")].cast("int")).withColumn("look", F.lit(1))
-        main = main.unionByName(look)
-    dealt = main.repartition(n, "bucket").sortWithinPartitions("bucket", "look", "doc_id", "text")
+    base = core.id_text(docs).withColumn("mark", F.xxhash64("text"))
+    keys = base.select("doc_id", "mark", (F.octet_length("text") + 1).cast("long").alias("size"))
+    starts = keys.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").mapInArrow(_starts(room), "doc_id long, mark long").toArrow()
+    first = np.unique(sort_keys(*(starts.column(c).to_numpy() for c in ("doc_id", "mark"))))
+    n = max(1, len(first))
+    if not len(first):
+        first = sort_keys(np.zeros(1, np.int64), np.zeros(1, np.int64))
+    rows = base.withColumn("code", _ranges(spark.sparkContext.broadcast(first))("doc_id", "mark"))
+    own = F.shiftright("code", 1).cast("int")
+    spot = lambda r, look: F.struct(r.alias("range"), F.lit(look).alias("look"))
+    before = F.pmod(own - 1, F.lit(n)).cast("int")
+    spots = F.when(F.col("code") % 2 == 1, F.array(spot(own, 0), spot(before, 1))).otherwise(F.array(spot(own, 0)))
+    sent = rows.withColumn("spot", F.explode(spots)).select("spot.range", "spot.look", "doc_id", "mark", "text")
+    dealt = sent.repartitionById(n, F.col("range")).sortWithinPartitions("range", "look", "doc_id", "mark")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return core.give_back_ids(dealt.select("bucket", "look", "doc_id", "text").mapInArrow(_compare(samples), schema))
+    return core.give_back_ids(dealt.select("range", "look", "doc_id", "text").mapInArrow(_compare(samples), schema))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

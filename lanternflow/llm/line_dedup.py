@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lanternflow.llm import core
@@ -28,6 +28,8 @@ from lanternflow.llm.core import U64, column, mix, numbers
 #: Most lines whose arrays are broadcast: about 200 KB.
 HOT = 8_192
 MIN_CHARS = 10
+#: Lines that documents ask one shard about, on average at most.
+SHARD = 250_000
 
 
 class MinimalHash:
@@ -134,10 +136,15 @@ def _local_counts(min_chars: int):
     return fn
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, mark, lo, n): hashes of lines found in two documents or more, the smallest id, the documents."""
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, seen: Observation | None = None) -> DataFrame:
+    """(h, mark, lo, n): hashes of lines found in two documents or more, the smallest id, the documents.
+
+    ``seen`` gets the number of all lines of documents, repeats inside one not counted.
+    """
     found = core.arrow_map(core.id_text(docs), _local_counts(min_chars), "h long, mark long, lo long, hi long, n long")
     found = found.groupBy("h", "mark").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    if seen is not None:
+        found = found.observe(seen, F.sum("n").alias("asks"))
     return found.where("lo < hi").drop("hi")
 
 
@@ -152,14 +159,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, hot_lines: int = HO
 
     Null or empty text: one empty line, kept.  A null doc_id counts as one
     document after all others.  Repeated rows of one id are one document and
-    each is answered.  An empty table gives an empty table.
+    each is answered.  Very long texts are taken whole.  An empty table gives
+    an empty table.
     """
     spark = docs.sparkSession
-    known = core.stored(repeated_lines(docs, min_chars), "lines")
+    seen = Observation()
+    known = core.stored(repeated_lines(docs, min_chars, seen), "lines")
     total = known.agg(F.sum("n")).first()[0] or 0
     floor = max(2, -(-total // hot_lines))
     hot = spark.sparkContext.broadcast(_index([r.asDict() for r in known.where(F.col("n") >= floor).collect()]))
-    shards = core.parts(spark)
+    shards = max(core.parts(spark), -(-(seen.get["asks"] or 0) // SHARD))
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")
     base = core.with_rest(docs)
     asks = core.arrow_map(core.id_text(docs), _asks(hot, min_chars), "h long, mark long, doc_id long").withColumn("shard", shard)

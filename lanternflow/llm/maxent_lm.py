@@ -316,7 +316,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, folds: int = 10) -> D
     with no training text every count is 0 and all digits stay alike.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(core.NULL_ID)).alias("doc_id"), held_out(folds).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = core.id_text(docs).select("doc_id", ((F.col("doc_id") != core.NULL_ID) & held_out(folds)).alias("held"), "text")
     blocks = core.stored(texts.mapInArrow(_pack(BLOCK), BLOCKS_SCHEMA), "blocks", per_file=8)
     n_blocks, size = blocks.agg(F.count("*"), F.sum("size")).first()
 

@@ -5,9 +5,13 @@ unbiased risk
 
     pi R_p(+) + max(0, R_u(-) - pi R_p(-)),
 
-with trusted positives p, unlabelled web text u and the class prior pi, which
-is estimated from the training labels.  When the second term falls below zero,
-a step goes against it, so that the model cannot profit from overfitting.
+with trusted positives p, unlabelled web text u and the class prior pi.  When
+the second term falls below zero, a step goes against it, so that the model
+cannot profit from overfitting.  The prior is estimated from positives and
+unlabelled text alone: positives make up at least the share pi of unlabelled
+texts over any score, so the share of unlabelled texts over the best score,
+divided by that of positives, bounds pi from above, and comes close to it where
+a model parts the classes.  Negative labels are never used.
 Labels, language, source and doc_id never enter a score.
 """
 
@@ -106,6 +110,24 @@ def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(mean, scale, w, prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives in unlabelled texts, by the best bin of a model's scores.
+
+    A model fitted on one half scores the other.  Of all thresholds the one is
+    taken whose quotient is least once it is charged with the error of its two
+    shares.  Too few texts give 0.5.
+    """
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    model = nn_pu_fit(positive[::2], unlabelled[::2], 0.5, steps=400)
+    p, u = (np.sort(model.score(x[1::2])) for x in (positive, unlabelled))
+    at = np.unique(p)
+    share_p, share_u = (1 - np.searchsorted(x, at) / len(x) for x in (p, u))
+    error = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (p, u))
+    k = np.argmin((share_u + error) / share_p)
+    return float(np.clip(share_u[k] / share_p[k], 0.05, 0.95))
+
+
 def fold(folds: int = FOLDS) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
@@ -122,9 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
     """Fit on rows outside fold 0; only ``sample`` texts of each kind (about) reach the driver, as features."""
     spread = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     train = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(folds) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    seen = train.agg(F.count("*").alias("n"), F.sum((F.col("quality") == 1).cast("long")).alias("p")).first()
+    seen = train.agg(F.sum((F.col("quality") == 1).cast("long")).alias("p")).first()
     n_pos, total = seen["p"] or 0, docs.count()
-    prior = min(max((n_pos + 1) / (seen["n"] + 2), 0.05), 0.95)
     take = lambda n: int(min(1.0, sample / max(n, 1)) * (1 << 30))
     trusted = train.where((F.col("quality") == 1) & (spread < take(n_pos))).select("doc_id", F.lit(True).alias("positive"))
     chosen = (
@@ -135,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
     rows = core.arrow_map(chosen, _featurise, "positive boolean, unlabelled boolean, x array<double>").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES) if rows.num_rows else np.zeros((0, N_FEATURES))
     pos, unl = (rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("positive", "unlabelled"))
-    return nn_pu_fit(x[pos], x[unl], prior)
+    # Rows come in no order of their own; sorted, equal tables give equal models.
+    x_pos, x_unl = (y[np.lexsort(y.T)] for y in (x[pos], x[unl]))
+    return nn_pu_fit(x_pos, x_unl, class_prior(x_pos, x_unl))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,7 +195,11 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
 
 
 def good_only(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects."""
+    """``docs`` without the documents that the classifier rejects.
+
+    Null and empty texts are judged from zero features like any other; repeated
+    rows stay or go together; an empty table gives an empty table.
+    """
     return core.like(classify(docs, labels, **options).where("predicted = 1"), docs)
 
 

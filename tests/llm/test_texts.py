@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lanternflow.llm import bpe, compression_rules, core, fingerprints, jaccard_join, line_dedup, maxent_lm, packing, pii, quality_classifier, substring_dedup
@@ -287,9 +288,8 @@ def test_bpe_equals_the_library(docs, library):
     b = bpe.word_bpe(packing.tokenizer_path("word_bpe_49k.json"))
     rng = random.Random(3)
     texts = [*ODD, *(x or "" for _, x in ROWS)] + ["".join(rng.choice("aAbBeEé '!1Σσςſ́\n<|endoftext|>日") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
-    for x, (n, ids, text), e in zip(texts, b.encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert (n, ids, text) == (len(e.ids), " ".join(map(str, e.ids)), t.decode(e.ids, skip_special_tokens=False)), x
-        assert b.decode(e.ids) == text
+    for x, ids, e in zip(texts, b.encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids == e.ids and b.decimal(ids) == " ".join(map(str, e.ids)) and b.decode(ids) == t.decode(e.ids, skip_special_tokens=False), x
     got = bpe.encode_documents(docs, packing.tokenizer_path("word_bpe_49k.json")).collect()
     want = [(i, " ".join(map(str, t.encode(x or "", add_special_tokens=False).ids))) for i, x in ROWS]
     assert Counter((r.doc_id, r.ids) for r in got) == Counter(want)
@@ -366,6 +366,44 @@ def test_packing_over_several_tasks(docs):
 # --- 4: compression rules
 
 
+def brute_kept(t, size=4096, small=512):
+    """The verdict from the definition, text by text and chunk by chunk."""
+
+    def fits(x):
+        packed, n = len(zstandard.ZstdCompressor(level=3).compress(x)), len(x.decode(errors="ignore")) if x == t else sum(c & 0xC0 != 0x80 for c in x)
+        low = next(lo for top, lo, _ in compression_rules.BANDS if len(x) <= top)
+        mean = math.sqrt(n * len(x))
+        high = next(hi for top, _, hi in compression_rules.BANDS if mean <= top)
+        return len(x) >= low * packed and mean <= high * packed
+
+    if not t or not fits(t):
+        return False
+    parts = [t[k : k + size] for k in range(0, len(t), size)]
+    if len(parts) > 1 and len(parts[-1]) < small:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    return len(parts) == 1 or 2 * sum(len(x) for x in parts if not fits(x)) <= len(t)
+
+
+def prose(rng, alphabet, n):
+    """Words of a small vocabulary, the frequent ones short."""
+    vocab = ["".join(rng.choice(alphabet) for _ in range(2 + min(6, k.bit_length()))) for k in range(1, 9000)]
+    return " ".join(vocab[min(int(rng.paretovariate(0.22)) - 1, rng.randrange(8998))] for _ in range(n))
+
+
+def test_compression_is_alike_in_all_alphabets():
+    """A text and its twin in two-byte letters have one verdict: prose stays, loops go, and both are as brute force says."""
+    latin, other = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"
+    to = str.maketrans(latin, other)
+    rng = random.Random(4)
+    texts = [prose(rng, latin, n) for n in (80, 300, 600, 900, 2000) for _ in range(4)] + ["the same words again and again " * n for n in (20, 300)] + [prose(rng, latin, 60) * 9]
+    every = [x.encode() for t in texts for x in (t, t.translate(to))]
+    got = compression_rules.compress_verdict(every)[2].tolist()
+    assert got == [brute_kept(x) for x in every]
+    assert got[::2] == got[1::2] and not any(got[-6:]) and sum(got) >= 30
+    tail = prose(rng, latin, 900).encode()[:4096] + b"z" * 300
+    assert [len(c) for c in compression_rules.chunks(tail)] == [4396] and [len(c) for c in compression_rules.chunks(tail + b"z" * 300)] == [4096, 600]
+
+
 def test_compression_rules(docs):
     got = {(r.doc_id, r.n_words): r for r in compression_rules.compression_rules(docs).collect()}
     for i, t in ROWS:
@@ -377,7 +415,7 @@ def test_compression_rules(docs):
         r = got[i, len(w)]
         assert (r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(ls) - len(set(ls)), len(cover))
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
-        assert r.kept == (not r.base_failed and bool(compression_rules.compress_verdict([t.encode()])[2][0]))
+        assert r.kept == (not r.base_failed and brute_kept(t.encode()))
 
 
 def test_compression_verdicts():
@@ -519,6 +557,29 @@ def test_quality_learns_from_no_held_out_label(spark):
     assert key(labels) == key(flipped)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_class_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(int(100 * share))
+    make = lambda n, good: rng.normal(0.0, 1.0, (n, quality_classifier.N_FEATURES)) + np.where(good, 0.0, 2.0)[:, None]
+    found = quality_classifier.class_prior(make(2000, np.ones(2000, bool)), make(4000, rng.random(4000) < share))
+    assert abs(found - share) < 0.06
+
+
+def test_quality_uses_no_negative_label(spark):
+    docs, labels = labelled(spark)
+    key = lambda x: sorted((r.doc_id, r.score) for r in quality_classifier.scores(docs, x).collect())
+    assert key(labels) == key(labels.where("quality = 1"))
+
+
+def test_quality_of_repeated_rows(spark):
+    docs, labels = labelled(spark)
+    got = quality_classifier.scores(docs.union(docs.limit(50)), labels).collect()
+    seen = defaultdict(set)
+    for r in got:
+        seen[r.doc_id].add(r.score)
+    assert len(got) == 650 and all(len(x) == 1 for x in seen.values())
+
+
 def test_quality_without_labels(docs, spark):
     got = quality_classifier.scores(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert len(got) == len(ROWS) and {r.score for r in got} == {0.5}
@@ -651,9 +712,52 @@ def test_runs_against_all_stretches():
 # --- 9: fingerprints
 
 
-def test_neighbours(docs):
-    rows = sorted(((core.NULL_ID if i is None else i, t or "") for i, t in ROWS), key=lambda x: (x[0], x[1].encode()))
-    got = sorted((core.NULL_ID if r.doc_id is None else r.doc_id, r.edited_sha256, r.n_chars, r.fingerprint) for r in fingerprints.compare_neighbours(docs).collect())
+def test_keys_sort_as_numbers():
+    rng = np.random.default_rng(1)
+    ids, marks = rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(-(2**63), 2**63 - 1, 500)
+    ids[:300] = ids[0]
+    assert (np.argsort(fingerprints.sort_keys(ids, marks)) == np.lexsort((marks, ids))).all()
+
+
+def brute_sample(text, k):
+    """The least term of one consistent weighted sample, from the formulas, with the library's own uniforms."""
+    best = None
+    for w, n in Counter(toks(text)).items():
+        h = core.Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        (u1, u2, b), (u3, u4, _) = (tuple(float(u[0]) for u in fingerprints._uniforms(x)) for x in (core.mix(h), core.mix(core.mix(h) + np.uint64(0xD1B54A32D192ED03))))
+        r, c = -math.log(u1) - math.log(u2), -math.log(u3) - math.log(u4)
+        t = math.floor(math.log(n) / r + b)
+        a = c / math.exp(r * (t - b)) / math.exp(r)
+        best = min(best or (math.inf,), (a, w, t))
+    return best[1:]
+
+
+def test_samples_equal_brute_force():
+    """Two texts share a place just where the brute-force samples are one and the same term and step."""
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, 40, 60)) for _ in range(6)]
+    p = fingerprints.fingerprints(*fingerprints._encode(texts), 48)
+    want = [[brute_sample(t, k) for k in range(48)] for t in texts]
+    same = [(a, b, k) for a in range(6) for b in range(a) for k in range(48)]
+    agree = sum((p[a, k] == p[b, k]) == (want[a][k] == want[b][k]) for a, b, k in same)
+    assert agree >= len(same) - 2 and 50 < sum(want[a][k] == want[b][k] for a, b, k in same) < len(same)
+
+
+@pytest.mark.parametrize("room", [1, 2000, 4 << 20])
+def test_neighbours(docs, room):
+    rows = [tuple(r) for r in core.id_text(docs).orderBy("doc_id", F.xxhash64("text")).collect()]
+    found = fingerprints.compare_neighbours(docs, room=room).collect()
+    got = sorted((core.NULL_ID if r.doc_id is None else r.doc_id, r.edited_sha256, r.n_chars, r.fingerprint) for r in found)
+    # The likenesses are the shares of equal places of the fingerprints.
+    place = lambda x: [x[k : k + 4] for k in range(0, 4 * fingerprints.SAMPLES, 4)]
+    share = lambda x, y: sum(p == q for p, q in zip(place(x), place(y), strict=True)) / fingerprints.SAMPLES
+    prints = dict(zip([t for _, t in rows], fingerprints.hexed(fingerprints.fingerprints(*fingerprints._encode([t for _, t in rows]))), strict=True))
+    following = defaultdict(set)
+    for k, (i, t) in enumerate(rows):
+        following[i, prints[t]].add(round(share(prints[t], prints[rows[(k + 1) % len(rows)][1]]), 6))
+    for r in found:
+        assert r.near_edited == share(r.fingerprint, r.edited_fingerprint)
+        assert round(r.near_next, 6) in following[core.NULL_ID if r.doc_id is None else r.doc_id, r.fingerprint]
     want = []
     for k, (i, t) in enumerate(rows):
         new = t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2]
@@ -814,6 +918,17 @@ def test_empty_tables(spark, empty):
     assert [df.count() for df in made] == [0] * len(made)
 
 
+def test_columns_that_differ_by_case_only(spark):
+    rows = [(i, f"a line that is the same\nand number {i} ends user{i}@mail.example", f"T{i}", f"l{i}", f"L{i}", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, TEXT string, lang string, Lang string, n_chars int")
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int")
+    for made in (core.like(line_dedup.dedup_lines(docs), docs), pii.sanitise(docs), jaccard_join.keep_one(docs), quality_classifier.good_only(docs, labels)):
+        assert made.columns == docs.columns
+        assert {(r[0], r[2], r[3], r[4]) for r in made.collect()} <= {(r[0], r[2], r[3], r[4]) for r in rows}
+    n = [x.count() for x in (jaccard_join.jaccard_components(docs), maxent_lm.score_documents(docs), fingerprints.compare_neighbours(docs), compression_rules.compression_rules(docs), pii.find_pii(docs))]
+    assert n == [5] * 5
+
+
 def test_very_long_text(spark):
     rng = random.Random(3)
     long = " ".join(words(rng, 600_000, 50_000)) + "\nmail me@example.com please"
@@ -824,3 +939,11 @@ def test_very_long_text(spark):
     assert {r.doc_id for r in substring_dedup.repeated_passages(docs).collect()} == {1, 2}
     assert compression_rules.compression_rules(docs).where("doc_id = 1").first().n_words == 600_003
     assert {r.doc_id: r.n_tokens for r in maxent_lm.score_documents(docs).collect()} == {1: 600_004, 2: 600_004, 3: 7}
+    path = packing.tokenizer_path
+    assert len({r.ids_sha256 for r in bpe.encode_documents(docs, path("word_bpe_49k.json"), digests=True).collect()}) == 2
+    made = packing.pack_documents(docs, path("byte_bpe_50k.json")).collect()
+    assert len({r.ids_crc32 for r in made if r.doc_id == 1 and r.piece == 0} | {r.ids_crc32 for r in made if r.doc_id == 2 and r.piece == 0}) == 1 and max(r.length for r in made) == 2048
+    near = {r.doc_id: r for r in fingerprints.compare_neighbours(docs).collect()}
+    assert near[1].near_next == 1.0 and near[1].fingerprint == near[2].fingerprint and near[2].near_next < 0.1
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert quality_classifier.scores(docs, labels).count() == 3
