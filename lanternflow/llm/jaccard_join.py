@@ -52,7 +52,7 @@ SHORT, RUN = 256, 512
 #: A leader with more members than this is sent to several tasks.
 MEMBERS = 2_000
 #: Members of a list, and members of a leader with deltas, that a cell of ``_dealt`` takes from each side.
-LIST, GROUP = 4_096, 8_192
+LIST, GROUP = 512, 2_048
 
 
 def needed(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
