@@ -50,7 +50,7 @@ FREQUENT = 1 << 20
 #: Lists up to this length are compared in one step instead of block by block; rows of a product of deltas.
 SHORT, RUN = 256, 512
 #: A leader with more members than this is sent to several tasks.
-MEMBERS = 2_000
+MEMBERS = 256
 #: Members of a list, and members of a leader with deltas, that a cell of ``_dealt`` takes from each side.
 LIST, GROUP = 512, 2_048
 
