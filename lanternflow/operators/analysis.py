@@ -10,8 +10,10 @@ from lanternflow.config import BANNER_LOOKBACK_S
 
 def hit_summary(hits: DataFrame, frames: DataFrame, threshold: float) -> DataFrame:
     """Frames (with or without hits), hits, hits above the threshold, greatest confidence (null without hits)."""
-    h = hits.agg(F.count("*").alias("n_hits"), F.count_if(F.col("confidence") >= threshold).alias("n_above"), F.max("confidence").alias("max_confidence"))
-    return frames.agg(F.count("*").alias("n_frames")).join(h)
+    both = frames.select(F.lit(1).alias("frame"), F.lit(None).cast("double").alias("confidence")).unionByName(hits.select(F.lit(0).alias("frame"), F.col("confidence").cast("double")))
+    return both.agg(
+        F.count_if(F.col("frame") == 1).alias("n_frames"), F.count_if(F.col("frame") == 0).alias("n_hits"), F.count_if(F.col("confidence") >= threshold).alias("n_above"), F.max("confidence").alias("max_confidence"),
+    )
 
 
 def longest_run(hits: DataFrame, threshold: float, max_gap_s: float) -> DataFrame:
@@ -28,13 +30,25 @@ def longest_run(hits: DataFrame, threshold: float, max_gap_s: float) -> DataFram
 def spaced_top(hits: DataFrame, k: int, min_gap_s: float, min_conf: float, group: str = "clip_id") -> DataFrame:
     """The most confident hits of each clip that are ``min_gap_s`` apart from all chosen before; then by time.
 
-    k below 1 still chooses one.  The choice is sequential, so each clip's
-    candidates are folded in one array; clips spread over tasks, and the fold
-    holds only the k chosen ones.
+    k below 1 still chooses one.  The choice is sequential, but a chosen hit
+    passes over only those less than a gap away: at most the hits of three
+    slots of one gap.  The last of k is therefore among the first k times that
+    many, and only these are folded: their number follows from how dense a
+    clip's hits are, not from how long it is.
     """
     row = "struct<neg:double,ts_s:double,ord:bigint,frame_idx:bigint,person_track_id:bigint>"
     fields = F.struct((-F.col("confidence")).alias("neg"), "ts_s", F.col("ord"), "frame_idx", "person_track_id")
-    xs = hits.where(F.col("confidence") >= min_conf).groupBy(group).agg(F.array_sort(F.collect_list(fields)).alias("xs"))
+    found = hits.where(F.col("confidence") >= min_conf).select(group, fields.alias("x"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("x"))
+    if min_gap_s <= 0:
+        found = found.withColumn("place", place).where(F.col("place") <= max(k, 1))
+    else:
+        slot = F.floor(F.col("x.ts_s") / F.lit(min_gap_s))
+        dense = Window.partitionBy(group, "slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        most = Window.partitionBy(group).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        counted = found.withColumn("slot", slot).withColumn("n", F.count("*").over(dense)).withColumn("most", F.max("n").over(most))
+        found = counted.withColumn("place", place).where(F.col("place") <= 3 * F.col("most") * F.lit(max(k, 1)))
+    xs = found.groupBy(group).agg(F.array_sort(F.collect_list("x")).alias("xs"))
 
     def step(acc: Column, x: Column) -> Column:
         far = F.forall(acc, lambda y: F.abs(x["ts_s"] - y["ts_s"]) >= F.lit(min_gap_s))
@@ -47,10 +61,11 @@ def spaced_top(hits: DataFrame, k: int, min_gap_s: float, min_conf: float, group
 def active_banner(frames: DataFrame, events: DataFrame, lookback_s: float = BANNER_LOOKBACK_S) -> DataFrame:
     """Types of the events that ended within the lookback of each frame, at its time or before, in order.
 
-    Time is cut to slots of the lookback and an event is sent to its own and
-    the next slot, so the join is an equality on (clip, slot).
+    Time is cut to slots of the lookback (of a second without one) and an event
+    is sent to its own and the next slot, so the join is an equality on
+    (clip, slot).
     """
-    slot = lambda c: F.floor(c / F.lit(lookback_s))
+    slot = lambda c: F.floor(c / F.lit(lookback_s if lookback_s > 0 else 1.0))
     e = events.select("clip_id", "event_type", "end_timestamp_s", F.explode(F.array(slot(F.col("end_timestamp_s")), slot(F.col("end_timestamp_s")) + 1)).alias("slot"))
     f = frames.select("clip_id", "frame_idx", "ts_s", slot(F.col("ts_s")).alias("slot"))
     hit = f.join(e, ["clip_id", "slot"]).where((F.col("end_timestamp_s") <= F.col("ts_s")) & (F.col("end_timestamp_s") >= F.col("ts_s") - F.lit(lookback_s)))
@@ -68,9 +83,13 @@ def signal_extremes(pairs: DataFrame, frames: DataFrame) -> DataFrame:
     Zero-seeded maxima never fall below 0; distance and approach speed are null without records.
     """
     top = [F.greatest(F.lit(0.0), F.coalesce(F.max(c), F.lit(0.0))).alias(f"max_{c}") for c in SIGNALS]
-    p = pairs.agg(F.min("person_vehicle_distance_norm").alias("min_distance_norm"), F.max("approach_speed_px_s").alias("max_approach_speed_px_s"), *top, F.count_distinct("clip_id", "frame_idx").alias("frames_with_pair"))
-    f = frames.agg(F.count("*").alias("frames_total"), F.count_if("has_person").alias("person_frames"), F.count_if("has_vehicle").alias("vehicle_frames"))
-    return p.join(f)
+    seen = ["has_person", "has_vehicle"]
+    none = lambda cols: [F.lit(None).cast(t).alias(c) for c, t in cols]
+    values = ["person_vehicle_distance_norm", "approach_speed_px_s", *SIGNALS]
+    p = pairs.select("clip_id", "frame_idx", *[F.col(c).cast("double").alias(c) for c in values], *none((c, "boolean") for c in seen))
+    f = frames.select(*none((("clip_id", "string"), ("frame_idx", "long"))), *none((c, "double") for c in values), *seen)
+    return p.unionByName(f).agg(F.min("person_vehicle_distance_norm").alias("min_distance_norm"), F.max("approach_speed_px_s").alias("max_approach_speed_px_s"), *top, F.count_distinct("clip_id", "frame_idx").alias("frames_with_pair"),
+        F.count("has_person").alias("frames_total"), F.count_if("has_person").alias("person_frames"), F.count_if("has_vehicle").alias("vehicle_frames"))
 
 
 def progress(frames: DataFrame, every: int = 100) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternflow.functions import geometry as G
+from lanternflow.functions.text import fixed
 
 # Colours of the classes and of a weapon box, blue-green-red.
 PERSON_BGR, VEHICLE_BGR, WEAPON_BGR = (0, 220, 0), (0, 140, 255), (0, 0, 255)
@@ -22,12 +23,12 @@ def _corners(box: Column) -> list[Column]:
 def track_boxes(objs: DataFrame) -> DataFrame:
     """A box and label for each object."""
     colour = F.when(F.col("cls") == "person", _colour(PERSON_BGR)).otherwise(_colour(VEHICLE_BGR))
-    label = F.format_string("%s#%d %.2f", "cls", "track_id", "confidence")
+    label = F.format_string("%s#%d %s", "cls", "track_id", fixed("confidence", 2))
     return objs.select("clip_id", "frame_idx", F.lit("track").alias("kind"), "track_id", *_corners(F.col("bbox")), colour.alias("colour"), label.alias("label"))
 
 
 def weapon_boxes(hits: DataFrame) -> DataFrame:
-    label = F.format_string("weapon %.2f", "confidence")
+    label = F.concat(F.lit("weapon "), fixed("confidence", 2))
     return hits.select("clip_id", "frame_idx", F.lit("weapon").alias("kind"), F.col("person_track_id").alias("track_id"), *_corners(F.col("bbox")), _colour(WEAPON_BGR).alias("colour"), label.alias("label"))
 
 
@@ -43,7 +44,7 @@ def banner_lines(banners: DataFrame) -> DataFrame:
 
 def snapshot_manifest(chosen: DataFrame, pad_ratio: float = 1.0) -> DataFrame:
     """File name and crop window of each chosen hit; needs bbox, width and height."""
-    name = F.format_string("frame%05d_t%.2fs_conf%.2f", "frame_idx", "ts_s", "confidence")
+    name = F.format_string("frame%05d_t%ss_conf%s", "frame_idx", fixed("ts_s", 2), fixed("confidence", 2))
     return chosen.withColumn("name", name).withColumn("window", G.crop_window(F.col("bbox"), pad_ratio, F.col("width"), F.col("height")))
 
 
@@ -57,7 +58,7 @@ def hit_boxes(hits: DataFrame, persons: DataFrame) -> DataFrame:
 def hit_lines(hits: DataFrame, threshold: float) -> DataFrame:
     """A line for each hit, marked if it reaches the threshold; needs ts_s."""
     above = F.col("confidence") >= F.lit(threshold)
-    text = F.format_string("frame %d t=%.2fs person#%d weapon %.3f%s", "frame_idx", "ts_s", "person_track_id", "confidence", F.when(above, " *").otherwise(""))
+    text = F.format_string("frame %d t=%ss person#%d weapon %s%s", "frame_idx", fixed("ts_s", 2), "person_track_id", fixed("confidence", 3), F.when(above, " *").otherwise(""))
     return hits.select("clip_id", "frame_idx", "ts_s", "person_track_id", "confidence", above.alias("above"), text.alias("line"))
 
 
@@ -68,4 +69,4 @@ def drawable(boxes: DataFrame) -> DataFrame:
 
 def export_names(boxes: DataFrame, place: str) -> DataFrame:
     """File name of each exported label box: its place, aspect ratio and image."""
-    return boxes.withColumn("name", F.format_string("%03d_ar%.1f_%s", F.col(place), "aspect", "image_stem"))
+    return boxes.withColumn("name", F.format_string("%03d_ar%s_%s", F.col(place), fixed("aspect", 1), "image_stem"))

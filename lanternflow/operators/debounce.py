@@ -72,11 +72,12 @@ def _chain(cooldown: float) -> Column:
 
 
 def first_candidates(found: DataFrame, t: Thresholds) -> DataFrame:
-    """Candidates without those that can never emit.
+    """Candidates without those that can never emit, in pieces of a key that do not depend on each other.
 
     Events before a streak end no later than the key's last candidate before
     it.  If the streak's first candidate comes a cooldown after that one, it
-    emits and the rest of the streak cannot.
+    emits whatever came before: the rest of the streak cannot, and a new piece
+    of the key begins.
     """
     w = Window.partitionBy(*KEY, "streak").orderBy(*ORDER)
     own = Window.partitionBy(*KEY).orderBy(*ORDER)
@@ -84,20 +85,24 @@ def first_candidates(found: DataFrame, t: Thresholds) -> DataFrame:
     marked = found.withColumn("prev", F.lag("ts_s").over(own)).withColumn("k", F.row_number().over(w))
     marked = marked.withColumn("first_ts", F.first("ts_s").over(so_far)).withColumn("before", F.first("prev").over(so_far))
     lone = F.coalesce(F.col("first_ts") >= F.col("before") + F.lit(t.cooldown_s), F.lit(True))
+    begins = ((F.col("k") == 1) & lone).cast("int")
+    marked = marked.withColumn("piece", F.sum(begins).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return marked.where((F.col("k") == 1) | ~lone).drop("prev", "k", "first_ts", "before")
 
 
 def debounce(samples: DataFrame, t: Thresholds = Thresholds(), event_type: str = EVENT_TYPE) -> DataFrame:
     """Events of each clip and vehicle.
 
-    Windows find the streaks; only candidates reach the per-key fold.
+    Windows find the streaks; only candidates reach the fold, and a key is cut
+    wherever the cooldown is over, so the fold holds the candidates between two
+    such gaps, not those of a key.
     ``max_gap_s`` must not be negative.
     """
     if t.max_gap_s < 0:
         raise ValueError("max_gap_s must not be negative")
     cand = first_candidates(candidates(streaks(samples, t), t), t)
     fields = ["ts_s", "frame_idx", F.col("vehicle_ord").cast("bigint").alias("vehicle_ord"), F.col("streak").cast("bigint").alias("streak"), "start_ts_s", "start_frame_idx", "peak", "track_ids"]
-    xs = cand.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("xs"))
+    xs = cand.groupBy(*KEY, "piece").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("xs"))
     out = xs.select(*KEY, F.inline(_chain(t.cooldown_s)))
     return out.select(
         "clip_id", F.lit(event_type).alias("event_type"), F.col("start_ts_s").alias("start_timestamp_s"), F.col("ts_s").alias("end_timestamp_s"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from lanternflow.config import DEFAULT, RunConfig
-from lanternflow.operators import debounce, detect, gate, score
+from lanternflow.operators import debounce, detect, gate, scene, score
 
 
 @dataclass(frozen=True)
@@ -35,12 +35,15 @@ class Detections:
     def nearest(self) -> DataFrame:
         return gate.nearest_gated(self.persons, self.vehicles, self.config.weapon_proximity_norm)
 
+    @property
+    def scenes(self) -> DataFrame:
+        """Whole frames: objects and boxes are each shuffled once, by (clip, frame), for all that follows."""
+        return scene.scenes(self.objects, self.raw, self.config)
+
     @property
     def matched(self) -> DataFrame:
-        """Each gated person's best threat with the nearest vehicle: one person-vehicle join and one with the boxes."""
-        near = gate.nearest_gated(self.persons, self.vehicles, self.config.weapon_proximity_norm, ("bbox", "width", "height"))
-        crops = detect.crop_windows(near, self.config.weapon_pad_ratio).drop("bbox", "width", "height")
-        return detect.in_crops(detect.best_threat(detect.threats(self.raw, self.config.weapon_conf)), crops)
+        """Each gated person's best threat with the nearest vehicle."""
+        return scene.matched(self.scenes)
 
     @property
     def hits(self) -> DataFrame:
@@ -52,7 +55,7 @@ class Detections:
 
     @property
     def samples(self) -> DataFrame:
-        return score.samples(self.vehicles, self.by_vehicle, self.config.weapon_confidence_threshold)
+        return scene.samples(self.scenes, self.config.weapon_confidence_threshold)
 
     @property
     def events(self) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lanternflow.functions import geometry as G
 from lanternflow.operators import analysis, annotate, debounce, detect, gate, labels
 from lanternflow.plans.flagship import Detections
+from lanternflow.sources import sinks
 from lanternflow.sources import testdata as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,13 +215,9 @@ def q_events_short_cooldown(spark, sf_dir):
     return _event_columns(debounce.debounce(plan(spark, sf_dir).samples, debounce.Thresholds(cooldown_s=1.0, max_gap_s=0.3)))
 
 
-@query(_with("SELECT row_number() OVER (ORDER BY start_ts_s, ts_s, vehicle_track_id) AS place, round(start_ts_s, 6) AS start_timestamp_s, track_ids FROM evt", "evt"))
+@query(_with("SELECT 'clip0' AS clip_id, row_number() OVER (ORDER BY start_ts_s, ts_s, vehicle_track_id) AS place, round(start_ts_s, 6) AS start_timestamp_s, track_ids FROM evt", "evt"))
 def q_events_sorted(spark, sf_dir):
-    from pyspark.sql import Window
-
-    # Events of a run are few by construction; the log's order is global, as its file is one.
-    w = Window.orderBy("start_timestamp_s", "end_timestamp_s", F.col("track_ids")[0])
-    return plan(spark, sf_dir).events.select(F.row_number().over(w).cast("long").alias("place"), r6("start_timestamp_s").alias("start_timestamp_s"), joined_ids().alias("track_ids"))
+    return sinks.numbered(plan(spark, sf_dir).events).select("clip_id", "place", r6("start_timestamp_s").alias("start_timestamp_s"), joined_ids().alias("track_ids"))
 
 
 @query(_with("SELECT f.frame_idx, string_agg(DISTINCT 'RISK: weapon', chr(10)) AS banner FROM (SELECT DISTINCT frame_idx, frame_idx / 15e0 AS ts_s FROM ev) f JOIN evt ON evt.ts_s <= f.ts_s AND evt.ts_s >= f.ts_s - 3e0 GROUP BY 1", "ev", "evt"))
@@ -261,7 +258,7 @@ def q_topk_spaced(spark, sf_dir):
     return _spaced(spark, sf_dir).select("frame_idx", "person_track_id", r6("confidence").alias("confidence"))
 
 
-@query(_with(_SPACED.lstrip(",\n "), "hit").replace(")\nord AS", "),\nord AS") + """SELECT frame_idx, person_track_id, round(ts_s, 2) AS ts_s, greatest(0, hx1 - 10) AS cx1, greatest(0, hy1 - 8) AS cy1, least(816, hx2 + 10) AS cx2, least(448, hy2 + 8) AS cy2,
+@query(_with(_SPACED.lstrip(",\n "), "hit").replace(")\nord AS", "),\nord AS") + """SELECT printf('frame%05d_t%.2fs_conf%.2f', frame_idx, ts_s, confidence) AS name, frame_idx, person_track_id, round(ts_s, 2) AS ts_s, greatest(0, hx1 - 10) AS cx1, greatest(0, hy1 - 8) AS cy1, least(816, hx2 + 10) AS cx2, least(448, hy2 + 8) AS cy2,
   round(px1, 6) AS px1 FROM chosen JOIN (SELECT frame_idx, track_id AS person_track_id, x1 AS px1 FROM per) USING (frame_idx, person_track_id)""")
 def q_snapshot_manifest(spark, sf_dir):
     d = plan(spark, sf_dir)
@@ -269,7 +266,7 @@ def q_snapshot_manifest(spark, sf_dir):
     chosen = annotate.hit_boxes(chosen, d.persons).withColumns({"width": F.lit(T.WIDTH), "height": F.lit(T.HEIGHT)})
     m = annotate.snapshot_manifest(chosen)
     cut = {k: F.col(f"window.{k}").cast("long") for k in ("cx1", "cy1", "cx2", "cy2")}
-    return m.select("frame_idx", "person_track_id", F.round("ts_s", 2).alias("ts_s"), *[c.alias(k) for k, c in cut.items()], r6("person_bbox.x1").alias("px1"))
+    return m.select("name", "frame_idx", "person_track_id", F.round("ts_s", 2).alias("ts_s"), *[c.alias(k) for k, c in cut.items()], r6("person_bbox.x1").alias("px1"))
 
 
 @query("SELECT DISTINCT event_id // 12 AS frame_idx FROM events WHERE (event_id // 12) % 100 = 0")
@@ -278,11 +275,11 @@ def q_progress(spark, sf_dir):
 
 
 @query(_with("""SELECT frame_idx, 'track' AS kind, track_id, CAST(trunc(x1) AS INT) AS x1, CAST(trunc(y1) AS INT) AS y1, CAST(trunc(x2) AS INT) AS x2, CAST(trunc(y2) AS INT) AS y2,
-  CASE WHEN class_id = 0 THEN '0,220,0' ELSE '0,140,255' END AS colour FROM obj
-  UNION ALL SELECT frame_idx, 'weapon', person_track_id, CAST(hx1 AS INT), CAST(hy1 AS INT), CAST(hx2 AS INT), CAST(hy2 AS INT), '0,0,255' FROM hit""", "hit"))
+  CASE WHEN class_id = 0 THEN '0,220,0' ELSE '0,140,255' END AS colour, printf('%s#%d %.2f', CASE WHEN class_id = 0 THEN 'person' ELSE 'vehicle' END, track_id, confidence) AS label FROM obj
+  UNION ALL SELECT frame_idx, 'weapon', person_track_id, CAST(hx1 AS INT), CAST(hy1 AS INT), CAST(hx2 AS INT), CAST(hy2 AS INT), '0,0,255', printf('weapon %.2f', confidence) FROM hit""", "hit"))
 def q_annotations(spark, sf_dir):
     d = plan(spark, sf_dir)
-    return annotate.track_boxes(d.objects).unionByName(annotate.weapon_boxes(d.hits)).drop("clip_id", "label")
+    return annotate.track_boxes(d.objects).unionByName(annotate.weapon_boxes(d.hits)).drop("clip_id")
 
 
 @query(_with("""SELECT frame_idx, 'RISK: weapon' AS line, CAST(24 AS INT) AS y FROM (SELECT DISTINCT frame_idx, frame_idx / 15e0 AS ts_s FROM ev) f
@@ -471,3 +468,11 @@ def q_events_stream(spark, sf_dir):
     from lanternflow.streaming.debounce import replay
 
     return _event_columns(replay(plan(spark, sf_dir).samples))
+
+
+@query(_with("""SELECT f.frame_idx, 'RISK: weapon' AS line FROM (SELECT DISTINCT frame_idx, frame_idx / 15e0 AS ts_s FROM ev) f
+  WHERE EXISTS (SELECT 1 FROM evt WHERE evt.ts_s <= f.ts_s AND evt.ts_s >= f.ts_s - 3e0)""", "ev", "evt"))
+def q_banner_stream(spark, sf_dir):
+    from lanternflow.streaming.debounce import replay_banner
+
+    return replay_banner(detect.timestamps(T.frames(spark, sf_dir)), plan(spark, sf_dir).events).select("frame_idx", "line")

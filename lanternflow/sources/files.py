@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lanternflow import schema
 
@@ -84,12 +85,18 @@ def merge_config(text: str) -> dict:
 
 
 class ClipSource(DataSource):
-    """``spark.read.format("clip")``: the sampled frames of clips described by options.
+    """``spark.read.format("clip")`` and ``spark.readStream.format("clip")``: the sampled frames of a clip described by options.
 
     Options: clip_id, frame_count, fps (0 or missing: 30), width, height,
-    stride (at least 1) and frames_per_task.  Only indices and times are made;
-    pixels are left to a reader that subclasses ``ClipReader.pixels``.  The
-    stride is taken by the reader, so skipped frames cost nothing.
+    stride (at least 1), frames_per_task, and for a stream frames_per_batch and
+    live.  Only indices and times are made; a model's source subclasses
+    ``ClipReader`` and yields rows of its own schema from ``read``.  The stride
+    is taken by the reader, so skipped frames cost nothing.
+
+    A stream gives the frames in order, ``frames_per_batch`` at a time, and
+    resumes behind the last frame of its checkpoint.  With ``live`` it has no
+    last frame: as many are there as have passed at the clip's rate since the
+    stream first began (``frame_count`` is not needed then).
     """
 
     @classmethod
@@ -102,26 +109,60 @@ class ClipSource(DataSource):
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return ClipReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
+        return ClipStreamReader(self.options)
+
 
 class Span(InputPartition):
     def __init__(self, start: int, stop: int) -> None:
         self.start, self.stop = start, stop
 
 
-class ClipReader(DataSourceReader):
+class _Clip:
+    """A clip's options and its frames by index."""
+
     def __init__(self, options: Mapping[str, str]) -> None:
-        if "frame_count" not in options:
+        self.live = str(options.get("live", "false")).lower() == "true"
+        if "frame_count" not in options and not self.live:
             raise FileNotFoundError(f"clip {options.get('clip_id', '')!r} cannot be opened: frame_count is unknown")
         self.clip = options.get("clip_id", "clip0")
-        self.count, self.width, self.height = int(options["frame_count"]), int(options.get("width", 0)), int(options.get("height", 0))
+        self.count, self.width, self.height = int(options.get("frame_count", 0)), int(options.get("width", 0)), int(options.get("height", 0))
         self.fps = float(options.get("fps", 0)) or 30.0
         self.stride = max(1, int(options.get("stride", 1)))
         self.per_task = max(1, int(options.get("frames_per_task", 10_000)))
+        self.per_batch = max(1, int(options.get("frames_per_batch", 10_000)))
 
-    def partitions(self) -> Sequence[InputPartition]:
-        return [Span(i, min(i + self.per_task, self.count)) for i in range(0, self.count, self.per_task)]
+    def spans(self, start: int, stop: int) -> Sequence[InputPartition]:
+        return [Span(i, min(i + self.per_task, stop)) for i in range(start, stop, self.per_task)]
 
     def read(self, partition: Span) -> Iterator[tuple]:
         first = -(-partition.start // self.stride) * self.stride
         for i in range(first, partition.stop, self.stride):
             yield (self.clip, i, i / self.fps, self.width, self.height, self.fps)
+
+
+class ClipReader(_Clip, DataSourceReader):
+    def partitions(self) -> Sequence[InputPartition]:
+        if self.live:
+            raise ValueError("a live clip can only be read as a stream")
+        return self.spans(0, self.count)
+
+
+class ClipStreamReader(_Clip, DataSourceStreamReader):
+    """Offsets are the next frame and, for a live clip, when it began."""
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"next": 0, "began": time.time() if self.live else 0.0}
+
+    def latestOffset(self, start: dict | None = None, limit: object = None) -> dict:  # noqa: N802
+        now = start or getattr(self, "_given", None) or self.initialOffset()
+        there = int((time.time() - now["began"]) * self.fps) if self.live else self.count
+        self._given = {"next": min(max(there, now["next"]), now["next"] + self.per_batch), "began": now["began"]}
+        return self._given
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        self._given = end
+        return self.spans(start["next"], end["next"])
+
+    def commit(self, end: dict) -> None:
+        pass

@@ -36,10 +36,13 @@ def detector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracked objects: of rows with one track in one frame the first; no confidence floor."""
+    """Tracked objects: of rows with one track in one frame the first; no confidence floor.
+
+    Dealt by (clip, frame), which serves all that groups or joins by frame.
+    """
     from lanternflow.operators.detect import class_of
 
-    rows = detector_rows(spark, sf_dir)
+    rows = detector_rows(spark, sf_dir).repartition("clip_id", "frame_idx")
     keys = ["clip_id", "frame_idx", "track_id"]
     rest = [c for c in rows.columns if c not in (*keys, "det_ord")]
     first = rows.groupBy(*keys).agg(F.min(F.struct("det_ord", *rest)).alias("x")).select(*keys, "x.*")

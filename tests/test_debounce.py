@@ -4,8 +4,11 @@ import random
 
 import pytest
 
-from lanternflow.operators.debounce import Thresholds, debounce
-from lanternflow.streaming.debounce import IDLE, closing_rows, debounce_stream, fold, replay
+from lanternflow.operators.analysis import active_banner
+from lanternflow.operators.annotate import banner_lines
+from lanternflow.operators.debounce import Thresholds, candidates, debounce, first_candidates, streaks
+from lanternflow.schema import EVENTS
+from lanternflow.streaming.debounce import IDLE, closing_rows, debounce_stream, fold, late_rows, replay, replay_banner, run_to
 
 T = Thresholds(0.5, 0.5, 5.0, 0.15)
 SCHEMA = "clip_id string, frame_idx long, ts_s double, vehicle_ord long, vehicle_track_id long, score double, track_ids array<long>"
@@ -89,28 +92,49 @@ def test_empty_table(spark):
     assert debounce(table(spark, [])).count() == 0
 
 
-def test_stream_equals_batch(spark):
+@pytest.mark.parametrize("stops", [0, 2])
+def test_stream_equals_batch(spark, stops):
     rng = random.Random(9)
     rows = [("c", i, i / 15.0, i, v, rng.random(), [v]) for v in range(3) for i in range(200)]
     samples = spark.createDataFrame(rows, SCHEMA)
     t = Thresholds(0.5, 0.15, 1.0, 0.15)
-    key = lambda df: sorted(tuple(r[:7]) for r in df.drop("track_ids").collect())
-    assert key(replay(samples, t)) == key(debounce(samples, t))
+    assert key(replay(samples, t, stops=stops)) == key(debounce(samples, t))
 
 
-def test_stream_with_disorder_over_many_batches(spark, tmp_path):
+def key(df):
+    return sorted(tuple(r[:7]) for r in df.drop("track_ids").collect())
+
+
+def test_stream_with_disorder_and_late_rows(spark, tmp_path):
+    """Rows out of order within the delay change nothing; a row later than the watermark is dropped and counted."""
     rng = random.Random(11)
     rows = [("c", i, i / 15.0, i, v, rng.random(), [v]) for v in range(2) for i in range(180)]
     t = Thresholds(0.5, 0.15, 1.0, 0.15)
     samples = spark.createDataFrame(rows, SCHEMA)
     rows.sort(key=lambda r: r[2] + rng.random())
-    for k in range(6):
-        spark.createDataFrame(rows[k * 60 : k * 60 + 60], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        q = debounce_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), t).writeStream.format("parquet")
-        q = q.options(checkpointLocation=f"{tmp_path}/state", path=f"{tmp_path}/out").outputMode("append").trigger(availableNow=True)
-        if k == 5:
+    rows.append(("c", 0, 0.01, 0, 0, 0.9, [0]))
+    late = 0
+    for k in range(3):
+        spark.createDataFrame(rows[k * 120 : k * 120 + 120 + (k == 2)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if k == 2:
             closing_rows(samples).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        q.start().awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
-    key = lambda df: sorted(tuple(r[:7]) for r in df.drop("track_ids").collect())
-    assert key(got) == key(debounce(samples, t))
+        late += late_rows(run_to(debounce_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), t), str(tmp_path)))
+    assert key(spark.read.parquet(f"{tmp_path}/out")) == key(debounce(samples, t)) and late == 1
+
+
+def test_banner_stream_equals_batch(spark):
+    frames = spark.createDataFrame([("c", i, i / 15.0) for i in range(300)] + [("d", i, i / 15.0) for i in range(30)], "clip_id string, frame_idx long, ts_s double")
+    events = spark.createDataFrame([("c", "weapon", 0.0, 2.0, 0, 30, 0.9, [1]), ("c", "weapon", 9.0, 10.0, 0, 150, 0.9, [1]), ("d", "weapon", 0.0, 1.0, 0, 15, 0.9, [2])], EVENTS)
+    want = {(r.clip_id, r.frame_idx, r.line) for r in banner_lines(active_banner(frames, events)).collect()}
+    assert {tuple(r) for r in replay_banner(frames, events).collect()} == want and len(want) > 90
+
+
+def test_long_key_is_cut_into_pieces(spark):
+    """A key that never rests is folded between the gaps, with the events of the whole fold."""
+    rng = random.Random(6)
+    t = Thresholds(0.5, 0.1, 0.6, 0.1)
+    own = [(i / 8.0, 0.0 if rng.random() < 0.3 else 0.9) for i in range(3000)]
+    samples = spark.createDataFrame([("c", i, x, i, 1, s, [1]) for i, (x, s) in enumerate(own)], SCHEMA)
+    pieces = first_candidates(candidates(streaks(samples, t), t), t).groupBy("piece").count()
+    assert pieces.count() > 50
+    assert sorted((r.start_timestamp_s, r.end_timestamp_s, r.peak_score) for r in debounce(samples, t).collect()) == plain(own, t)

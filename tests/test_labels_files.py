@@ -4,6 +4,8 @@ import csv
 import json
 
 import pytest
+import yaml
+from pyspark.sql import functions as F
 
 from lanternflow import schema
 from lanternflow.config import RunConfig
@@ -106,5 +108,39 @@ def test_event_sinks(spark, tmp_path):
 def test_label_sink(spark, tmp_path):
     imgs = spark.createDataFrame([("train", "x"), ("test", "y")], "split string, image_stem string")
     rows = spark.createDataFrame([("train", "x", 1, "b"), ("train", "x", 0, "a")], "split string, image_stem string, line_no int, line string")
-    sinks.write_labels(rows, imgs, f"{tmp_path}/out")
-    assert {(r.image_stem, r.label) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("x", "a\nb"), ("y", "")}
+    for _ in range(2):
+        manifest = yaml.safe_load(sinks.write_labels(rows, imgs.withColumn("path", F.concat("split", F.lit("/images/"), "image_stem")), f"{tmp_path}/out", ["gun", "blade"]))
+        assert {(r.image_stem, r.label, r.path) for r in spark.read.parquet(f"{tmp_path}/out/table").collect()} == {("x", "a\nb", "train/images/x"), ("y", "", "test/images/y")}
+        texts = {r.image_stem: r.value for r in spark.read.option("wholetext", True).text(f"{tmp_path}/out/labels").collect()}
+        assert texts["x"].rstrip("\n") == "a\nb"
+        assert manifest["names"] == ["gun", "blade"] and manifest["nc"] == 2 and manifest["test"] == "test/images"
+    assert "test" not in yaml.safe_load(sinks.merged_manifest("r", ["gun"], ["train", "valid"]))
+
+
+def test_event_log_is_in_order(spark):
+    events = spark.createDataFrame([("c", "weapon", float(9 - i), 10.0, 1, 2, 0.75, [i]) for i in range(9)], schema.EVENTS).repartition(5)
+    lines = [r.line for r in sinks.event_log_lines(events).collect()]
+    assert lines == [f"weapon at {i}.00s-10.00s, peak 0.75" for i in range(1, 10)]
+    assert [r.place for r in sinks.numbered(events).orderBy("start_timestamp_s").collect()] == list(range(1, 10))
+
+
+def test_summary_json(spark):
+    assert json.loads(sinks.summary_json(spark.range(1).selectExpr("3 AS frames_total", "CAST(NULL AS DOUBLE) AS min_distance_norm"))) == {"frames_total": 3, "min_distance_norm": None}
+
+
+def test_clip_source(spark, tmp_path):
+    """Batch and stream give the same frames; the stream resumes behind the last frame it has given."""
+    spark.dataSource.register(files.ClipSource)
+    options = {"clip_id": "c", "frame_count": "25", "fps": "10", "stride": "2", "frames_per_task": "4"}
+    batch = spark.read.format("clip").options(**options).load()
+    assert [(r.frame_idx, r.ts_s) for r in batch.orderBy("frame_idx").collect()] == [(i, i / 10) for i in range(0, 25, 2)]
+    for _ in range(3):
+        stream = spark.readStream.format("clip").options(**options, frames_per_batch="10").load()
+        stream.writeStream.format("parquet").options(checkpointLocation=f"{tmp_path}/state", path=f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.frame_idx for r in got) == list(range(0, 25, 2))
+
+
+def test_clip_metadata(spark):
+    rows = files.clips(spark, [("a", "p", 640, 480, 0.0, 10), ("b", "q", 640, 480, 25.0, 10), ("c", "r", 640, 480, None, 10)]).collect()
+    assert [r.fps for r in rows] == [30.0, 25.0, 30.0]

@@ -36,3 +36,16 @@ def test_label_tools(spark):
     config = files.merge_config('{"target_classes": ["gun"], "output": "o", "sources": [{"name": "pistols", "data_yaml": "x", "class_map": {"person": null, "weapon": "gun", "knife": "gun"}, "max_area_norm": {"gun": 0.02}}]}')
     merged = tools.merge_datasets({"pistols": lines.where("source = 'pistols'")}, {"pistols": ["person", "weapon", "knife"]}, config)
     assert 0 < merged.count() < lines.count() and {r.line[:2] for r in merged.collect()} == {"0 "}
+
+
+def test_fixed_rounds_as_python_prints(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lanternflow.functions.text import fixed
+
+    rng = random.Random(1)
+    xs = [round(rng.random() * 10 ** rng.randint(0, 5), 3) for _ in range(2000)] + [k / 8 for k in range(80)] + [0.745, 0.755, 1.005, 0.29, 2.675, 0.0, 1e5]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[fixed(F.col("x"), d).alias(f"d{d}") for d in (1, 2, 3)]).collect()
+    assert [(r.d1, r.d2, r.d3) for r in rows] == [(f"{x:.1f}", f"{x:.2f}", f"{x:.3f}") for x in xs]
