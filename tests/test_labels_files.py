@@ -111,7 +111,7 @@ def test_label_sink(spark, tmp_path):
     for _ in range(2):
         manifest = yaml.safe_load(sinks.write_labels(rows, imgs.withColumn("path", F.concat("split", F.lit("/images/"), "image_stem")), f"{tmp_path}/out", ["gun", "blade"]))
         assert {(r.image_stem, r.label, r.path) for r in spark.read.parquet(f"{tmp_path}/out/table").collect()} == {("x", "a\nb", "train/images/x"), ("y", "", "test/images/y")}
-        texts = {r.image_stem: r.value for r in spark.read.option("wholetext", True).text(f"{tmp_path}/out/labels").collect()}
+        texts = {r.image_stem: r.value for r in spark.read.text(f"{tmp_path}/out/labels", wholetext=True).collect()}
         assert texts["x"].rstrip("\n") == "a\nb"
         assert manifest["names"] == ["gun", "blade"] and manifest["nc"] == 2 and manifest["test"] == "test/images"
     assert "test" not in yaml.safe_load(sinks.merged_manifest("r", ["gun"], ["train", "valid"]))
