@@ -8,8 +8,8 @@ all digits.  Each digit has a softmax of its own,
 
 so the history tells apart classes and, inside a class, the words of it.  The
 features of each softmax are hashed: the word before, the two words before, and
-the word before that one alone (a skip feature), each taken together with the
-digits so far.  A softmax starts from the digits' shares in the corpus; the last
+(for the first two digits) the word before that one alone, a skip feature, each
+taken together with the digits so far.  A softmax starts from the digits' shares in the corpus; the last
 factor is the word's smoothed share among the words of its digits.
 
 Tokens are packed to blocks (each with its own vocabulary, by hash) once and
@@ -39,14 +39,16 @@ BITS, LEVELS = 4, 4
 FAN, LEAVES = 1 << BITS, 1 << (BITS * LEVELS)
 #: Hashed rows of ``FAN`` weights for each level: 17 MB in all.
 BUCKETS = 1 << 16
+#: Features of the history that each level has, of those that ``histories`` gives.
+FEATURES = (3, 3, 2, 2)
 SLICES = 32
-#: Tokens of a block, and of a gradient step; vocabulary entries of a part.
-BLOCK, STEP, PART = 1_000_000, 4096, 1 << 19
+#: Tokens of a block, of a gradient step, and of a training task at least (each sends a model); vocabulary entries of a part.
+BLOCK, STEP, TASK, PART = 1_000_000, 4096, 2_500_000, 1 << 19
 ROUNDS, RATE = 2, 0.5
 SMOOTH = 0.1
 END = np.uint64(0x5EED0E11D0C5A11D)
 _COLUMNS = {"doc_id": np.int64, "held": np.uint8, "first": np.int64, "vocab": np.uint64, "train": np.uint32, "tokens": np.uint32}
-BLOCKS_SCHEMA = "block long, size long, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+BLOCKS_SCHEMA = "block long, size long, length long, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
 def held_out(folds: int = 10) -> Column:
@@ -90,8 +92,8 @@ def _block(number: int, wait: list[tuple]) -> pa.RecordBatch:
     train = np.bincount(tokens, np.repeat(held == 0, count), len(vocab)).astype(np.uint32)
     cols = {"doc_id": ids, "held": held, "first": np.append(0, np.cumsum(count)), "vocab": vocab, "train": train, "tokens": tokens.astype(np.uint32)}
     return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([len(vocab)], pa.int64())] + [pa.array([squeeze(cols[c].astype(kind))], pa.binary()) for c, kind in _COLUMNS.items()],
-        names=["block", "size", *_COLUMNS],
+        [pa.array([x], pa.int64()) for x in (number, len(vocab), len(tokens))] + [pa.array([squeeze(cols[c].astype(kind))], pa.binary()) for c, kind in _COLUMNS.items()],
+        names=["block", "size", "length", *_COLUMNS],
     )
 
 
@@ -142,7 +144,7 @@ class Model:
     def softmax(self, k: int, hist: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """For a run of histories and digits before: feature rows, logits x (kept where exp neither overflows nor vanishes), exp(x), its sums."""
         node = before.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(k)
-        rows = [(((f ^ node) * U64(0xD6E8FEB86659FD93)) >> U64(48)).astype(np.uint16) for f in hist]
+        rows = [(((f ^ node) * U64(0xD6E8FEB86659FD93)) >> U64(48)).astype(np.uint16) for f in hist[: FEATURES[k]]]
         w = self.weights[k]
         x = np.take(self.start[k], before, axis=0)
         for r in rows:
@@ -318,7 +320,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, folds: int = 10) -> D
     spark = docs.sparkSession
     texts = core.id_text(docs).select("doc_id", ((F.col("doc_id") != core.NULL_ID) & held_out(folds)).alias("held"), "text")
     blocks = core.stored(texts.mapInArrow(_pack(BLOCK), BLOCKS_SCHEMA), "blocks", per_file=8)
-    n_blocks, size = blocks.agg(F.count("*"), F.sum("size")).first()
+    n_blocks, size, length = blocks.agg(F.count("*"), F.sum("size"), F.sum("length")).first()
 
     # Parts of about equal size; as a power of two they share no leaf.
     parts = 1 << min(BITS * LEVELS, max(0, ((size or 0) // PART).bit_length()))
@@ -331,7 +333,9 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, folds: int = 10) -> D
     model = Model.of(mass)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-        got = blocks.select("block", "held", "first", "vocab", "tokens").mapInArrow(_train(sent, turn, rounds), "slice int, n long, w binary, q binary")
+        # Small files make large training tasks, so that what the tasks send stays in proportion to the tokens.
+        own = blocks.select("block", "held", "first", "vocab", "tokens").coalesce(max(1, -(-(length or 0) // TASK)))
+        got = own.mapInArrow(_train(sent, turn, rounds), "slice int, n long, w binary, q binary")
         got = got.repartition(SLICES, "slice").sortWithinPartitions("slice", "n", "q").mapInArrow(_average, "slice int, w binary").collect()
         if got:
             rows = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["slice"])])

@@ -480,7 +480,7 @@ def test_log_likelihood_and_steps_equal_a_plain_softmax():
     def digits(i):
         for k in range(levels):
             before = int(word[i]) >> (bits * (levels - k))
-            rows = [(((int(f) ^ ((before * 0x9E3779B97F4A7C15 + k) % 2**64)) * 0xD6E8FEB86659FD93) % 2**64) >> 48 for f in hist[:, i]]
+            rows = [(((int(f) ^ ((before * 0x9E3779B97F4A7C15 + k) % 2**64)) * 0xD6E8FEB86659FD93) % 2**64) >> 48 for f in hist[: maxent_lm.FEATURES[k], i]]
             x = [float(model.start[k][before][d]) + sum(w.get((k, r, d), 0.0) for r in rows) for d in range(fan)]
             z = sum(map(math.exp, x))
             yield k, rows, [math.exp(v) / z for v in x], (int(word[i]) >> (bits * (levels - 1 - k))) & (fan - 1)
