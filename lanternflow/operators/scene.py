@@ -34,7 +34,8 @@ def scenes(objects: DataFrame, raw: DataFrame, config: RunConfig = DEFAULT) -> D
     one = F.struct("det_ord", "track_id", "ts_s", "bbox", "width", "height")
     sides = {c: F.collect_list(F.when(F.col("cls") == k, one)).alias(c) for c, k in (("persons", "person"), ("vehicles", "vehicle"))}
     frames = objects.groupBy(*KEYS).agg(*sides.values())
-    best = detect.best_threat(detect.threats(raw, config.weapon_conf))
+    # Boxes are dealt by frame at once: the best of each person and the frame's list need no other shuffle.
+    best = detect.best_threat(detect.threats(raw, config.weapon_conf).repartition(*KEYS))
     boxes = best.groupBy(*KEYS).agg(F.collect_list(F.struct("person_track_id", "confidence", "crop_bbox")).alias("boxes"))
     both = frames.join(boxes, KEYS, "left")
     # Frames without boxes have no hits, and people without boxes none either.

@@ -12,7 +12,9 @@ CLIP, WIDTH, HEIGHT, FPS, PER_FRAME = "clip0", 816, 448, 15.0, 12
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
-    return e.withColumn("frame_idx", F.expr(f"event_id div {PER_FRAME}")).withColumn("clip_id", F.lit(CLIP))
+    # A column, as in real data; a constant would be folded out of the keys and hide how rows are dealt.
+    clip = F.when(F.col("event_id").isNotNull(), F.lit(CLIP))
+    return e.withColumn("frame_idx", F.expr(f"event_id div {PER_FRAME}")).withColumn("clip_id", clip)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
