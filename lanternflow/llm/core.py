@@ -155,6 +155,17 @@ def free(*tables: DataFrame) -> None:
             files.delete(where, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Hand Python at most so many rows at once, unless the session sets its own number.
+
+    At Spark's default of 10,000 a batch of texts takes some 30 MB, several
+    times over in the executor and its workers.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -166,6 +177,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for b in batches:
             if b.num_rows:
                 yield from fn(b)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

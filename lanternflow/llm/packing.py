@@ -36,7 +36,7 @@ OPEN, RUN = 64, 256
 TASK = 1 << 16
 SEPARATOR = 0
 #: Words whose ids a Python worker keeps.
-CACHE = 400_000
+CACHE = 150_000
 
 # The byte-level vocabulary splits text by this pattern before its merges; here spelt for
 # characters up to U+024F, whose letters, numbers and spaces are these.

@@ -66,3 +66,22 @@ def test_registered():
     names = [q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")]
     assert sorted(names) == sorted(f"op{k}" for k in range(1, 11)) and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stages_of_odd_tables(spark, table, tmp_path):
+    """Null, empty, repeated and tied rows, and no rows at all, pass through every stage."""
+    docs = spark.read.parquet(f"{table}/documents.parquet")
+    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, "en", "s", None), (3, "\n\n", "en", "s", 2), (3, "one two", "en", "s", 7)]
+    for rows in (odd, []):
+        now = spark.createDataFrame(rows, docs.schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, table)
+            assert now.dtypes == docs.dtypes and now.count() <= len(rows)
+        made = corpus_pipeline.STAGES[-1][1](spark, now, table)
+        assert made.count() == now.count()
+
+
+def test_run_of_an_empty_table(spark, table, tmp_path):
+    spark.read.parquet(f"{table}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{table}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
