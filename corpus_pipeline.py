@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  For rows that are null, empty, repeated or
+very long, and for empty tables, see the operators that the stages call.
 """
 
 from __future__ import annotations
@@ -14,27 +15,32 @@ from lanternflow.llm import core, jaccard_join, line_dedup, packing, pii, qualit
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
+    core.small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality_classifier.good_only(docs, labels)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that an earlier document has."""
+    core.small_batches(spark)
     return core.like(line_dedup.dedup_lines(docs), docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
+    core.small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask personal data and the terms that disclose it."""
+    core.small_batches(spark)
     return pii.sanitise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise and pack into sequences."""
+    core.small_batches(spark)
     return packing.pack_documents(docs, packing.tokenizer_path("byte_bpe_50k.json"))
 
 
