@@ -9,14 +9,11 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class RunConfig:
     video_path: str = ""
-    out_dir: str = ""
     weapon_model: str = ""
     detector_model: str = "yolo11n.pt"
     conf: float = 0.35
     device: str = "cpu"
     frame_stride: int = 1
-    write_video: bool = True
-    log_level: str = "INFO"
     weapon_conf: float = 0.4
     weapon_proximity_norm: float = 0.15
     weapon_pad_ratio: float = 0.4

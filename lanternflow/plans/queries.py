@@ -398,14 +398,17 @@ f AS (SELECT class_name, 'precision' AS metric, "precision" AS value FROM m UNIO
 SELECT class_name, metric, round(value, 6) AS value FROM f UNION ALL SELECT 'all', metric, round(avg(value), 6) FROM f GROUP BY metric"""
 
 
-@query(_METRICS)
-def q_metrics_flat(spark, sf_dir):
+def _per_class(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/labels.parquet")
     both = F.sum(F.expr("CAST(quality = 1 AND toxic = 0 AS DOUBLE)"))
-    per = t.groupBy(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("class_name")).agg(
+    return t.groupBy(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("class_name")).agg(
         (both / F.greatest(F.sum(F.expr("CAST(toxic = 0 AS DOUBLE)")), F.lit(1.0))).alias("precision"), (both / F.greatest(F.sum(F.expr("CAST(quality = 1 AS DOUBLE)")), F.lit(1.0))).alias("recall")
     )
-    return analysis.metrics_long(per).withColumn("value", r6("value"))
+
+
+@query(_METRICS)
+def q_metrics_flat(spark, sf_dir):
+    return analysis.metrics_long(_per_class(spark, sf_dir)).withColumn("value", r6("value"))
 
 
 @query(_with("""SELECT round(min(dist_norm), 6) AS min_distance_norm, round(max((vehicle_ord % 13) - 20e0), 6) AS max_approach_speed_px_s, round(greatest(0, max((person_ord % 97) / 10e0)), 6) AS max_dwell_time_s,
@@ -476,3 +479,47 @@ def q_banner_stream(spark, sf_dir):
     from lanternflow.streaming.debounce import replay_banner
 
     return replay_banner(detect.timestamps(T.frames(spark, sf_dir)), plan(spark, sf_dir).events).select("frame_idx", "line")
+
+
+@query(_with("SELECT CASE WHEN class_id = 0 THEN 'person' ELSE 'vehicle' END AS cls, count(*) AS n, CAST(sum(track_id) AS BIGINT) AS sum_track FROM det WHERE confidence >= 0.35e0 AND det_ord % 7 <> 0 GROUP BY 1", "det"))
+def q_untracked(spark, sf_dir):
+    rows = T.detector_rows(spark, sf_dir).withColumn("track_id", F.when(F.col("det_ord") % 7 != 0, F.col("track_id")))
+    return detect.objects(rows).groupBy("cls").agg(F.count("*").alias("n"), F.sum("track_id").alias("sum_track"))
+
+
+@query(_LABELS + "SELECT source, split, source || '_' || image_stem AS image_stem, line_no, target_idx || substr(line, 2) || CASE WHEN line_no = 1 THEN ' 0.9 x' ELSE '' END AS line FROM capped")
+def q_trailing_fields(spark, sf_dir):
+    extra = F.when(F.col("line_no") == 1, F.concat(F.lit("  "), "line", F.lit("  0.9 x "))).otherwise(F.col("line"))
+    lines, mapping = T.label_lines(spark, sf_dir).withColumn("line", extra), labels.class_remap(_NAMES, _MAP, _TARGETS)
+    return labels.merge([(s, lines.where(F.col("source") == s), mapping, _CAPS) for s in T.SOURCES.values()])
+
+
+@query(_LABELS + "SELECT source_group, printf('%03d_ar%.1f_%s', rank, aspect, name) AS name FROM (SELECT *, row_number() OVER (PARTITION BY source_group ORDER BY aspect DESC, name, line_no) AS rank FROM boxes) WHERE rank <= 10")
+def q_export_names(spark, sf_dir):
+    return annotate.export_names(labels.most_elongated(_boxes(spark, sf_dir), 10), "rank").select("source_group", "name")
+
+
+@query(_METRICS.split("\nSELECT class_name")[0].rsplit(",\nf AS", 1)[0] + """
+SELECT class_name, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(avg("precision") OVER (), 6) AS mean_precision, round(avg(recall) OVER (), 6) AS mean_recall FROM m""")
+def q_metrics_map(spark, sf_dir):
+    m = analysis.metrics_map(_per_class(spark, sf_dir)).select(F.col("precision").alias("mean_precision"), F.col("recall").alias("mean_recall"), F.explode("per_class").alias("class_name", "own"))
+    return m.select("class_name", r6("own.precision").alias("precision"), r6("own.recall").alias("recall"), r6("mean_precision").alias("mean_precision"), r6("mean_recall").alias("mean_recall"))
+
+
+@query(_with("SELECT 'weapon' AS event_type, round(start_ts_s, 6) AS start_timestamp_s, round(ts_s, 6) AS end_timestamp_s, start_frame_idx, frame_idx AS end_frame_idx, round(peak, 6) AS peak_score, track_ids FROM evt", "evt"))
+def q_events_csv(spark, sf_dir):
+    return sinks.events_csv(plan(spark, sf_dir).events).withColumns({c: r6(c) for c in ("start_timestamp_s", "end_timestamp_s", "peak_score")})
+
+
+@query(_with("SELECT printf('weapon at %.2fs-%.2fs, peak %.2f', start_ts_s, ts_s, peak) AS line FROM evt", "evt"))
+def q_event_lines(spark, sf_dir):
+    return sinks.event_log_lines(plan(spark, sf_dir).events)
+
+
+@query("SELECT 'cam' AS clip_id, i AS frame_idx, round(i / 25e0, 6) AS ts_s FROM range(0, 50000, 3) t(i)")
+def q_clip_frames(spark, sf_dir):
+    from lanternflow.sources.files import ClipSource
+
+    spark.dataSource.register(ClipSource)
+    clip = spark.read.format("clip").options(clip_id="cam", frame_count=50_000, fps=25, stride=3).load()
+    return clip.select("clip_id", "frame_idx", r6("ts_s").alias("ts_s"))

@@ -54,8 +54,7 @@ def write_events(events: DataFrame, path: str) -> None:
 
 def run_meta(config: RunConfig, model_digest: str | None, n_events: int) -> str:
     """A run's settings, the model's digest and the number of events, as JSON."""
-    meta = {k: v for k, v in asdict(config).items() if k not in ("out_dir", "write_video", "log_level")}
-    return json.dumps(meta | {"weapon_model_hash": model_digest, "num_events": n_events}, indent=2)
+    return json.dumps(asdict(config) | {"weapon_model_hash": model_digest, "num_events": n_events}, indent=2)
 
 
 def event_log_lines(events: DataFrame) -> DataFrame:
