@@ -41,7 +41,8 @@ FAN, LEAVES = 1 << BITS, 1 << (BITS * LEVELS)
 BUCKETS = 1 << 16
 #: Features of the history that each level has, of those that ``histories`` gives.
 FEATURES = (3, 3, 2, 2)
-SLICES = 32
+#: Most slices that the weights are averaged in; there is one for every two training tasks.
+SLICES = 4096
 #: Tokens of a block, of a gradient step, and of a training task at least (each sends a model); vocabulary entries of a part.
 BLOCK, STEP, TASK, PART = 1_000_000, 4096, 2_500_000, 1 << 19
 ROUNDS, RATE = 2, 0.5
@@ -199,7 +200,7 @@ def train_on(model: Model, square: np.ndarray, block: Block, turn: int, rounds:
     return len(at)
 
 
-def _train(model, turn: int, rounds: int):
+def _train(model, turn: int, rounds: int, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model.value.weights.copy(), model.value.start)
         square, used = np.zeros((LEVELS, BUCKETS), np.float32), 0
@@ -207,8 +208,8 @@ def _train(model, turn: int, rounds: int):
             for block in Block.each(b, "held", "first", "vocab", "tokens"):
                 used += train_on(own, square, block, turn, rounds)
         if used:
-            w, q = (np.array_split(x.reshape(LEVELS * BUCKETS, -1).astype(np.float16), SLICES) for x in (own.weights, np.sqrt(square)))
-            yield core.batch_of(slice=np.arange(SLICES, dtype=np.int32), n=np.full(SLICES, used, np.int64), w=pa.array([x.tobytes() for x in w], pa.binary()), q=pa.array([x.tobytes() for x in q], pa.binary()))
+            w, q = (np.array_split(x.reshape(LEVELS * BUCKETS, -1).astype(np.float16), slices) for x in (own.weights, np.sqrt(square)))
+            yield core.batch_of(slice=np.arange(slices, dtype=np.int32), n=np.full(slices, used, np.int64), w=pa.array([x.tobytes() for x in w], pa.binary()), q=pa.array([x.tobytes() for x in q], pa.binary()))
 
     return run
 
@@ -330,13 +331,15 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, folds: int = 10) -> D
     for r in counts.where("block IS NULL").select("leaf", "mass", "room").collect():
         mass[r["leaf"]], room[r["leaf"]] = r["mass"], r["room"]
 
+    trainers = max(1, -(-(length or 0) // TASK))
+    n_slices = min(SLICES, max(16, trainers // 2))
     model = Model.of(mass)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         # Small files make large training tasks, so that what the tasks send stays in proportion to the tokens.
-        own = blocks.select("block", "held", "first", "vocab", "tokens").coalesce(max(1, -(-(length or 0) // TASK)))
-        got = own.mapInArrow(_train(sent, turn, rounds), "slice int, n long, w binary, q binary")
-        got = got.repartition(SLICES, "slice").sortWithinPartitions("slice", "n", "q").mapInArrow(_average, "slice int, w binary").collect()
+        own = blocks.select("block", "held", "first", "vocab", "tokens").coalesce(trainers)
+        got = own.mapInArrow(_train(sent, turn, rounds, n_slices), "slice int, n long, w binary, q binary")
+        got = got.repartitionById(n_slices, F.col("slice")).sortWithinPartitions("slice", "n", "q").mapInArrow(_average, "slice int, w binary").collect()
         if got:
             rows = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["slice"])])
             model = Model(rows.reshape(LEVELS, BUCKETS, FAN), model.start)
