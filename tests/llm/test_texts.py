@@ -689,6 +689,28 @@ def test_edited_passages_are_found(spark):
     assert len(want) > 500 and want <= got
 
 
+@pytest.mark.parametrize("share", [75, 80, 85])
+def test_recall_of_near_passages(spark, share):
+    """Of pairs that brute force matches to about this share, nine in ten at least are found."""
+    rng = random.Random(share)
+    w = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], []
+    while len(want) < 80:
+        n = rng.randint(55, 80)
+        p = w(n)
+        q = list(p)
+        for i in rng.sample(range(n), max(1, round((100 - share) / 100 * n / 5))):
+            q[i] = f"x{rng.randrange(10**6)}"
+        pair = [w(rng.randint(20, 90)) + t + w(rng.randint(20, 90)) for t in (p, q)]
+        five = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in pair]
+        found = [m / (e - s) for a, b in (five, five[::-1]) for s, e, m in substring_dedup.runs(np.array([g in set(b) for g in a]), 75, 46)]
+        if found and share <= 100 * max(found) < share + 5:
+            want.append(len(rows))
+            rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(pair)]
+    got = {r.doc_id for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert sum(i in got and i + 1 in got for i in want) >= 0.9 * len(want)
+
+
 def test_runs_against_all_stretches():
     m = np.zeros(80, bool)
     m[0:5] = m[15:40] = m[48:68] = True
