@@ -29,6 +29,8 @@ from lanternflow.llm.core import U64, column, mix, numbers
 SAMPLES = 64
 #: Bytes of text in a range of neighbouring ids, about; each range's first row is sent to two places.
 RANGE = 4 << 20
+#: Ranges at most, about: beyond, they grow with the text, so their starts stay within 16 MB.
+RANGES = 1 << 20
 #: Bytes of text taken at once.
 STEP = 1 << 20
 #: Marks an empty text's samples; no other sample has it.
@@ -224,7 +226,8 @@ def compare_neighbours(docs: DataFrame, samples: int = SAMPLES, room: int = RANG
 
     The next document is the next row by doc_id (rows of one id by a hash of
     the text); after the last comes the first.  Ids alone are sorted first, to
-    cut them to ranges of about ``room`` bytes of text.  Then each row goes to
+    cut them to ranges of about ``room`` bytes of text (more, if there would be
+    over ``RANGES`` of them).  Then each row goes to
     its range, sorted there by Spark, and streams through; the first row of a
     range also goes to the range before.  What the driver holds is 16 bytes for
     each range.
@@ -237,6 +240,8 @@ def compare_neighbours(docs: DataFrame, samples: int = SAMPLES, room: int = RANG
     """
     spark = docs.sparkSession
     base = core.id_text(docs).withColumn("mark", F.xxhash64("text"))
+    total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    room = max(room, -(-total // RANGES))
     keys = base.select("doc_id", "mark", (F.octet_length("text") + 1).cast("long").alias("size"))
     starts = keys.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").mapInArrow(_starts(room), "doc_id long, mark long").toArrow()
     first = np.unique(sort_keys(*(starts.column(c).to_numpy() for c in ("doc_id", "mark"))))
