@@ -178,31 +178,53 @@ def _common_terms(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _term_counts(terms, repeated):
-    """Documents with each term of the filter (t) and each shape (below 0: -1 - shape); rows of ids that may repeat are told one by one."""
+    """Documents with each term of the filter (t) and each shape (below 0: -1 - shape); rows of ids that may repeat are told one by one.
 
-    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = numbers(b, "doc_id")
-        data, off = core.text_bytes(column(b, "text"))
-        one = core.in_id_filter(repeated.value, numbers(b, "at"))
-        all_t: list[np.ndarray] = []
-        told: list[tuple[np.ndarray, np.ndarray]] = []
-        for i, j in core.steps(off):
-            words, cased = core.Words(data, off[i : j + 1]), core.Words(data, off[i : j + 1], lower=False)
-            hit = _in_filter(terms.value, words.hash.view(np.int64))
-            h, first = core.unique_per_doc(words.hash[hit], words.doc[hit], j - i)
-            kind = np.zeros((j - i, len(SHAPES)), bool)
-            kind[cased.doc, shapes(cased)] = True
-            doc, shape = np.nonzero(kind)
-            t = np.concatenate([h.view(np.int64), -1 - shape])
-            doc = np.concatenate([np.repeat(np.arange(j - i), np.diff(first)), doc])
-            alone = ~one[i:j][doc]
-            all_t.append(t[alone])
-            told.append((t[~alone], ids[i:j][doc[~alone]]))
-        t, n = np.unique(np.concatenate(all_t), return_counts=True)
-        more_t, more_id = (np.concatenate(x) for x in zip(*told, strict=True))
-        yield core.batch_of(t=np.concatenate([t, more_t]), n=np.append(n, np.zeros(len(more_t), np.int64)), doc_id=pa.concat_arrays([pa.nulls(len(t), pa.int64()), pa.array(more_id, pa.int64())]))
+    Counts are added up over the whole task, so it sends each term about once.
+    """
 
-    return fn
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for b in batches:
+            ids = numbers(b, "doc_id")
+            data, off = core.text_bytes(column(b, "text"))
+            one = core.in_id_filter(repeated.value, numbers(b, "at"))
+            for i, j in core.steps(off):
+                words, cased = core.Words(data, off[i : j + 1]), core.Words(data, off[i : j + 1], lower=False)
+                hit = _in_filter(terms.value, words.hash.view(np.int64))
+                h, first = core.unique_per_doc(words.hash[hit], words.doc[hit], j - i)
+                kind = np.zeros((j - i, len(SHAPES)), bool)
+                kind[cased.doc, shapes(cased)] = True
+                doc, shape = np.nonzero(kind)
+                t = np.concatenate([h.view(np.int64), -1 - shape])
+                doc = np.concatenate([np.repeat(np.arange(j - i), np.diff(first)), doc])
+                alone = ~one[i:j][doc]
+                if not alone.all():
+                    told = t[~alone]
+                    yield core.batch_of(t=told, n=np.zeros(len(told), np.int64), doc_id=ids[i:j][doc[~alone]])
+                held.append(np.unique(t[alone], return_counts=True))
+                size += len(held[-1][0])
+                if size > PAIRS:
+                    held = [_added(held)]
+                    size = len(held[0][0])
+                    if size > PAIRS // 2:
+                        yield _sent(*held.pop())
+                        size = 0
+        if held:
+            yield _sent(*_added(held))
+
+    return run
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Partial counts of terms as one."""
+    t, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return t, np.bincount(back, np.concatenate([n for _, n in parts]), len(t)).astype(np.int64)
+
+
+def _sent(t: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return core.batch_of(t=t, n=n.astype(np.int64), doc_id=pa.nulls(len(t), pa.int64()))
 
 
 def _pair_counts(terms, repeated):
@@ -268,7 +290,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: i
     bits = core.id_filter(spark, holders.select(F.col("doc_id").alias("id")))
     picked = core.stored(core.with_slot(core.pick(texts, bits)).join(holders, "doc_id"), "mentions")
     common = core.arrow_map(picked.select("text"), _common_terms, "t long, n long").groupBy("t").agg(F.sum("n").alias("m")).where(F.col("m") >= support)
-    counted = core.arrow_map(core.with_slot(texts), _term_counts(_term_filter(spark, common), repeated), "t long, n long, doc_id long")
+    if not again:
+        # n(t) is m at least, so terms of very many such documents need not be counted.
+        common = common.where(_is_disclosing(F.lit(most), F.lit(most), F.col("m"), total, alpha))
+    counted = core.with_slot(texts).mapInArrow(_term_counts(_term_filter(spark, common), repeated), "t long, n long, doc_id long")
     n_t = core.stored(_documents(counted, "t").withColumnRenamed("n", "n_t"), "terms")
     by_shape = {r["t"]: r["n_t"] for r in n_t.where(F.col("t").between(-len(SHAPES), -1)).collect()}
 
