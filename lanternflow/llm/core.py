@@ -119,6 +119,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/lanternflow-{label}-{uuid.uuid4().hex}"
+    where, files = _where(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame, label: str, per_file: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
