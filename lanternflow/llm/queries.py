@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lanternflow.llm import (
+    alignment,
     bpe,
     compression_rules,
     fingerprints,
@@ -21,7 +22,7 @@ from lanternflow.llm import (
     token_files,
 )
 
-MODULES = (jaccard_join, line_dedup, bpe, compression_rules, maxent_lm, quality_classifier, packing, substring_dedup, fingerprints, pii, token_files, kmeans)
+MODULES = (jaccard_join, line_dedup, bpe, compression_rules, maxent_lm, quality_classifier, packing, substring_dedup, fingerprints, pii, token_files, kmeans, alignment)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in MODULES for k, q in m.SQL.items()}

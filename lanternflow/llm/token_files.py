@@ -273,12 +273,12 @@ def _encode(path: str, end: int):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, percentile: float = PERCENTILE) -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, percentile: float = PERCENTILE, ranges: int | None = None) -> None:
     """Tokenise and write token files in ascending order of doc_id.
 
     Texts go to ranges of ids once; each range is sorted, tokenised and written
     by one task, and how many ids come before it is known when all are written,
-    so ids are never shuffled.  There are as many ranges as
+    so ids are never shuffled.  Without ``ranges``, there are as many as
     ``spark.sql.shuffle.partitions`` and adaptive execution make.
 
     Null or empty text: the end id alone.  A null doc_id is the last id.
@@ -289,8 +289,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END, p
     """
     docs.sparkSession.dataSource.register(TokenFiles)
     rows = core.id_text(docs).withColumns({"mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    ranges = rows.repartitionByRange("doc_id", "mark", "row").sortWithinPartitions("doc_id", "mark", "row").select("doc_id", "text")
-    ids = ranges.mapInArrow(_encode(tokenizer, end), "doc_id long, ids binary")
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), "doc_id", "mark", "row")
+    ordered = dealt.sortWithinPartitions("doc_id", "mark", "row").select("doc_id", "text")
+    ids = ordered.mapInArrow(_encode(tokenizer, end), "doc_id long, ids binary")
     ids.write.format("token_files").option("percentile", percentile).mode("append").save(folder)
 
 
