@@ -26,9 +26,12 @@ model with byte fallback that adds a space.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,8 @@ GROUPS, LINKS, DOCS, UNITS = 150_000, 600_000, 50_000, 300_000
 #: Bytes of the longest unit that is remembered.
 LONG = 64
 SPACE = "▁"
+# Fixed value: the pattern by which byte-level pieces split text before their merges.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Pair:
@@ -65,14 +70,18 @@ class Pair:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b)
+        with open(a, encoding="utf-8") as f:
+            told = json.load(f)
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [x for x in range(256) if x not in own]
         byte = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(others)}
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for piece, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
+        self.ranks = self._ranks(told)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_len, self.b_len = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id(SPACE)
         words = [p.replace(SPACE, " ") for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         # A space may begin a piece; the others must be in none, so that the space that B adds stays a piece of its own.
@@ -80,8 +89,32 @@ class Pair:
         rest = rf"(?:(?![{self.edges}])\s+\S*)*" if self.edges else r"(?:\s+\S*)*"
         self.units = re.compile(rf"\s*\S+{rest}|\s+").findall
 
-    def a_ids(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+    def _ranks(self, told: dict):
+        """The same tokenizer by ranks, which is several times as fast; None unless merges rank as their ids do and words are split by the usual pattern."""
+        import tiktoken
+
+        vocab, first = told["model"]["vocab"], told["pre_tokenizer"] or {}
+        merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in told["model"].get("merges", [])]
+        plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and not told["normalizer"]
+        if not plain or None in merged or merged != sorted(merged) or any(len(self.a_bytes[i]) == 1 and i > min(merged) for i in vocab.values()):
+            return None
+        special = {t["content"] for t in told["added_tokens"]}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for p, i in vocab.items() if p not in special}, special_tokens={})
+
+    def a_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of units, one after the other, and where each unit's begin."""
+        if self.ranks is None:
+            return flat([e.ids for e in self.a.encode_batch(units, add_special_tokens=False)])
+        # Units that are white space alone end a text; another unit after them would change them.
+        blank = [u.isspace() for u in units]
+        joined = "".join([u for u, x in zip(units, blank, strict=True) if not x])
+        ids = self.ranks.encode_to_numpy(joined, allowed_special=set(), disallowed_special=()).astype(np.int64) if joined else np.zeros(0, np.int64)
+        sizes = np.array([0 if x else len(u.encode()) for u, x in zip(units, blank, strict=True)])
+        starts = np.concatenate([[0], np.searchsorted(np.cumsum(self.a_len[ids]), np.cumsum(sizes), "right")])
+        if not any(blank):
+            return ids, starts
+        parts = [ids[s:e] for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        return flat([self.ranks.encode_ordinary(u) if x else p.tolist() for u, x, p in zip(units, blank, parts, strict=True)])
 
     def b_ids(self, units: list[str]) -> list[list[int]]:
         """B's ids of units as they stand, each beginning with a space or an edge."""
@@ -89,28 +122,48 @@ class Pair:
         found = self.b.encode(bare, num_threads=1)
         return [([self.space] if u == " " else ids) if u[0] == " " else ids[1:] for u, ids in zip(units, found, strict=True)]
 
-    def groups(self, units: list[str]) -> list[list[tuple[tuple[int, ...], tuple[int, ...]]] | None]:
-        """The groups of each unit; None if A's or B's bytes differ from it."""
-        out: list = []
-        for u, a, b in zip(units, self.a_ids(units), self.b_ids(units), strict=True):
-            raw = u.encode()
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            out.append(cut(a, b, list(map(len, x)), list(map(len, y))) if b"".join(x) == raw and b"".join(y) == raw else None)
-        return out
+    def tokens(self, units: list[str]) -> Tokens:
+        """Both tokenisations of units, one after the other."""
+        return Tokens(*self.a_ids(units), *flat(self.b_ids(units)))
 
+    def same(self, units: list[str], t: Tokens) -> np.ndarray:
+        """Which units both tokenizers give back byte by byte."""
+        raw = [u.encode() for u in units]
+        x, y = [self.a_bytes[i] for i in t.a.tolist()], [self.b_bytes[i] for i in t.b.tolist()]
+        n = np.array([len(r) for r in raw])
+        whole = b"".join(raw)
+        if whole == b"".join(x) == b"".join(y) and (sums(self.a_len[t.a], t.a_start) == n).all() and (sums(self.b_len[t.b], t.b_start) == n).all():
+            return np.ones(len(units), bool)
+        joined = lambda parts, starts: [b"".join(parts[s:e]) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        return np.array([r == p == q for r, p, q in zip(raw, joined(x, t.a_start), joined(y, t.b_start), strict=True)])
 
-def cut(a: list[int], b: list[int], a_len: list[int], b_len: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """Groups of two sequences over the same bytes.
 
-    Tokens of no bytes end where the one before them ends; every token ends in
-    the group that its last byte is in.
-    """
-    if len(a) == len(b) == 1:
-        return [((a[0],), (b[0],))]
-    ea, eb = np.cumsum(a_len), np.cumsum(b_len)
-    ends = np.intersect1d(ea, eb)
-    i, j = np.searchsorted(ea, ends, "right").tolist(), np.searchsorted(eb, ends, "right").tolist()
-    return [(tuple(a[s:e]), tuple(b[p:q])) for s, e, p, q in zip([0, *i[:-1]], i, [0, *j[:-1]], j, strict=True)]
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after the other, and where each begins (one more at the end)."""
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.cumsum([0, *map(len, lists)])
+
+
+def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each run of values."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[starts[1:]] - total[starts[:-1]]
+
+
+@dataclass
+class Tokens:
+    """Ids of A and B for some texts, and where each text's begin."""
+
+    a: np.ndarray
+    a_start: np.ndarray
+    b: np.ndarray
+    b_start: np.ndarray
+
+    def cut(self, a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cut texts of equal bytes to groups: where in A and B each group begins (one more at the end), and each text's first group."""
+        ea, eb = np.cumsum(a_len[self.a]), np.cumsum(b_len[self.b])
+        ends = np.intersect1d(ea, eb, assume_unique=True)
+        ga, gb = np.searchsorted(ea, ends, "right"), np.searchsorted(eb, ends, "right")
+        return np.concatenate([[0], ga]), np.concatenate([[0], gb]), np.concatenate([[0], np.searchsorted(ga, self.a_start[1:], "right")])
 
 
 def links(group: tuple[tuple[int, ...], tuple[int, ...]]) -> dict[tuple[int, int], int]:
@@ -157,6 +210,8 @@ class Epoch:
         self.said: list[str] = []
         self.unit_start, self.unit_group, self.unit_stats = Grow(), Grow(), [Grow() for _ in range(4)]
         self.group: dict[tuple, int] = {}
+        #: Groups of one id each, by both ids in a number.
+        self.single: dict[int, int] = {}
         self.group_start, self.group_pair = Grow(), Grow()
         self.pair: dict[tuple[int, int], int] = {}
         self.pair_groups = Grow()
@@ -168,7 +223,7 @@ class Epoch:
     def full(self) -> bool:
         return len(self.group) > GROUPS or len(self.pair) > LINKS or self.docs > DOCS or len(self.unit) > UNITS
 
-    def _intern(self, group: tuple) -> int:
+    def _intern(self, group: tuple[tuple[int, ...], tuple[int, ...]]) -> int:
         g = self.group.get(group)
         if g is None:
             g = self.group[group] = len(self.group)
@@ -182,17 +237,32 @@ class Epoch:
             self.group_pair.add(own)
             self.pair_groups.held[own] += 1
             self.group_start.add([self.group_pair.n])
+            a, b = group
+            self.said.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
         return g
 
-    def add_unit(self, groups: list[tuple]) -> int:
-        """A new unit's number."""
-        self.unit_group.add([self._intern(g) for g in groups])
-        self.unit_start.add([self.unit_group.n])
-        stats = (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups))
-        for g, x in zip(self.unit_stats, stats, strict=True):
-            g.add([x])
-        self.said.append(";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups))
-        return len(self.said) - 1
+    def add_units(self, t: Tokens, a_len: np.ndarray, b_len: np.ndarray) -> int:
+        """Number new units, all of equal bytes in A and B; the first one's number."""
+        ga, gb, first = t.cut(a_len, b_len)
+        na, nb = np.diff(ga), np.diff(gb)
+        number = np.empty(len(na), np.int64)
+        single = (na == 1) & (nb == 1)
+        codes, back = np.unique((t.a[ga[:-1][single]] << 32) | t.b[gb[:-1][single]], return_inverse=True)
+        have = self.single
+        for c in codes.tolist():
+            if c not in have:
+                have[c] = self._intern(((c >> 32,), (c & 0xFFFFFFFF,)))
+        number[single] = np.array(list(map(have.__getitem__, codes.tolist())), np.int64)[back]
+        more = np.flatnonzero(~single)
+        bounds = zip(ga[more].tolist(), ga[more + 1].tolist(), gb[more].tolist(), gb[more + 1].tolist(), strict=True)
+        a, b = t.a.tolist(), t.b.tolist()
+        number[more] = [self._intern((tuple(a[s:e]), tuple(b[p:q]))) for s, e, p, q in bounds]
+        before = self.unit_start.n - 1
+        self.unit_start.add(self.unit_group.n + first[1:])
+        self.unit_group.add(number)
+        for g, x in zip(self.unit_stats, (np.diff(t.a_start), np.diff(t.b_start), np.diff(first), sums(na * nb, first)), strict=True):
+            g.add(x)
+        return before
 
 
 #: Of the rows of the stored table: documents, groups of an epoch, pairs counted too often, and pairs of documents whose id may repeat.
@@ -229,50 +299,50 @@ class Aligner:
         for batch in batches:
             texts, ids = column(batch, "text"), numbers(batch, "doc_id")
             apart = core.in_id_filter(self.repeated, numbers(batch, "at"))
-            for i, j in core.steps(core.text_bytes(texts)[1], 1 << 20):
+            for i, j in core.steps(core.text_bytes(texts)[1]):
                 yield from self._step(ids[i:j], texts[i:j].to_pylist(), apart[i:j])
                 if self.epoch.full():
                     yield from self._end()
         yield from self._end()
 
-    def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Unit numbers of all texts, where each text's begin, and what its hash is taken of; a text without tokens has none."""
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit numbers of all texts, and where each text's begin; a text without tokens has none."""
         e, both = self.epoch, self.both
         split = [both.units(" " + t) if t else [] for t in texts]
-        fresh = list({u for us in split for u in us if u not in e.unit})
+        known = e.unit
+        fresh = list({u for us in split for u in us if u not in known})
         once: dict[str, int] = {}
         bad: set[str] = set()
-        for s in range(0, len(fresh), 20_000):
-            part = fresh[s : s + 20_000]
-            for u, groups in zip(part, both.groups(part), strict=True):
-                if groups is None:
-                    bad.add(u)
-                else:
-                    (e.unit if len(u) <= LONG else once)[u] = e.add_unit(groups)
-        numbered = {**e.unit, **once} if once else e.unit
+        if fresh:
+            t = both.tokens(fresh)
+            fine = both.same(fresh, t)
+            if not fine.all():
+                bad = {u for u, ok in zip(fresh, fine.tolist(), strict=True) if not ok}
+                fresh = [u for u in fresh if u not in bad]
+                t = both.tokens(fresh)
+            for k, u in enumerate(fresh, e.add_units(t, both.a_len, both.b_len)):
+                (known if len(u) <= LONG else once)[u] = k
+        numbered = {**known, **once} if once else known
         found: list[list[int]] = []
         for t, us in zip(texts, split, strict=True):
             if bad and any(u in bad for u in us):
-                whole = both.groups([" " + t])[0]  # the bytes may agree over the whole text all the same
-                found.append([] if whole is None else [e.add_unit(whole)])
+                whole = both.tokens([" " + t])  # the bytes may agree over the whole text all the same
+                found.append([e.add_units(whole, both.a_len, both.b_len)] if both.same([" " + t], whole).all() else [])
             else:
                 found.append(list(map(numbered.__getitem__, us)))
-        said = e.said
-        text = [";".join(map(said.__getitem__, f)) for f in found]
-        starts = np.cumsum([0, *map(len, found)])
-        return np.array([u for f in found for u in f], np.int64), starts, text
+        return flat(found)
 
     def _step(self, ids: np.ndarray, texts: list[str], apart: np.ndarray) -> Iterator[pa.RecordBatch]:
         e, n = self.epoch, len(texts)
-        units, starts, text = self._units(texts)
-        sha = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in text]
+        units, starts = self._units(texts)
         doc = np.repeat(np.arange(n), np.diff(starts))
-        stats = []
-        for g in e.unit_stats:
-            sums = np.concatenate([[0], np.cumsum(g.now[units])])
-            stats.append(sums[starts[1:]] - sums[starts[:-1]])
+        stats = [sums(g.now[units], starts) for g in e.unit_stats]
         at, of = spread(units, e.unit_start.now)
-        code, times = np.unique((doc[of] << 32) | e.unit_group.now[at], return_counts=True)
+        every = e.unit_group.now[at]
+        said = list(map(e.said.__getitem__, every.tolist()))
+        cuts = np.concatenate([[0], np.cumsum(stats[2])]).tolist()
+        sha = [hashlib.sha256(";".join(said[s:t]).encode()).hexdigest() if t > s else "" for s, t in zip(cuts[:-1], cuts[1:], strict=True)]
+        code, times = np.unique((doc[of] << 32) | every, return_counts=True)
         owner, group = code >> 32, code & 0xFFFFFFFF
         cuts = np.searchsorted(owner, np.arange(n + 1))
         e.docs += n
@@ -357,8 +427,7 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ref, off = refs.flatten().to_numpy(), np.concatenate([[0], np.cumsum(refs.value_lengths().to_numpy())])
                 out = []
                 for x in (best, total):
-                    sums = np.concatenate([[0], np.cumsum(x[ref] * times)]) if len(ref) else np.zeros(1, np.int64)
-                    out.append(sums[off[1:]] - sums[off[:-1]])
+                    out.append(sums(x[ref] * times, off))
                 kept = [column(docs, c) for c in OUT[:6]]
                 yield pa.RecordBatch.from_arrays([*kept[:5], pa.array(out[0]), pa.array(out[1]), kept[5]], names=[*OUT[:5], "n_best", "count_sum", OUT[5]])
 
