@@ -38,12 +38,35 @@ def scenes(objects: DataFrame, raw: DataFrame, config: RunConfig = DEFAULT) -> D
     best = detect.best_threat(detect.threats(raw, config.weapon_conf).repartition(*KEYS))
     boxes = best.groupBy(*KEYS).agg(F.collect_list(F.struct("person_track_id", "confidence", "crop_bbox")).alias("boxes"))
     both = frames.join(boxes, KEYS, "left")
+    return settled(both, config)
+
+
+def assembled(objects: DataFrame, boxes: DataFrame, config: RunConfig = DEFAULT) -> DataFrame:
+    """Rows of both kinds side by side, for one grouping by frame; tracked objects and possible threats only."""
+    one = F.struct("det_ord", "track_id", "cls", "ts_s", "bbox", "width", "height").alias("object")
+    box = F.struct("person_track_id", "box_ord", "confidence", "crop_bbox").alias("box")
+    tracked = objects.where(F.col("track_id").isNotNull()).select(*KEYS, "ts_s", one)
+    return tracked.unionByName(detect.threats(boxes, config.weapon_conf).select(*KEYS, "ts_s", box), allowMissingColumns=True)
+
+
+def gathered(frames: DataFrame, config: RunConfig = DEFAULT, *rest: str) -> DataFrame:
+    """Scenes of frames that hold their ``objects`` and ``boxes`` as lists, in any order: the first of a track's objects and the best of a person's boxes count."""
+    first = F.filter("objects", lambda o: ~F.exists("objects", lambda p: (p["track_id"] == o["track_id"]) & (p["det_ord"] < o["det_ord"])))
+    better = lambda c, b: (c["confidence"] > b["confidence"]) | ((c["confidence"] == b["confidence"]) & (c["box_ord"] < b["box_ord"]))
+    best = F.filter("boxes", lambda b: ~F.exists("boxes", lambda c: (c["person_track_id"] == b["person_track_id"]) & better(c, b)))
+    alone = frames.select(*KEYS, *rest, first.alias("objects"), best.alias("boxes"))
+    of = lambda kind: F.filter("objects", lambda o: o["cls"] == kind)
+    return settled(alone.select(*KEYS, *rest, of("person").alias("persons"), of("vehicle").alias("vehicles"), "boxes"), config, *rest)
+
+
+def settled(both: DataFrame, config: RunConfig, *rest: str) -> DataFrame:
+    """Who is near whom and who has a hit, inside each frame."""
     # Frames without boxes have no hits, and people without boxes none either.
     armed = F.filter("persons", lambda p: F.exists("boxes", lambda b: b["person_track_id"] == p["track_id"]))
     people = F.transform(armed, lambda p: _match(p, F.col("boxes"), F.col("vehicles"), config))
     gated = F.filter(people, lambda m: m["near"].isNotNull() & G.nonempty(m["window"]))
     flat = F.flatten(F.transform(gated, lambda m: F.transform(m["boxes"], lambda b: _hit(m, b))))
-    return both.select(*KEYS, "vehicles", F.coalesce(flat, F.array().cast(_MATCHES)).alias("matches"))
+    return both.select(*KEYS, *rest, "vehicles", F.coalesce(flat, F.array().cast(_MATCHES)).alias("matches"))
 
 
 def _hit(m: Column, b: Column) -> Column:
@@ -58,7 +81,7 @@ def matched(scenes: DataFrame) -> DataFrame:
     return scenes.select(*KEYS, F.inline("matches"))
 
 
-def samples(scenes: DataFrame, threshold: float = DEFAULT.weapon_confidence_threshold) -> DataFrame:
+def samples(scenes: DataFrame, threshold: float = DEFAULT.weapon_confidence_threshold, *rest: str) -> DataFrame:
     """A row for every tracked vehicle of every frame, with or without a hit."""
 
     def sample(v: Column) -> Column:
@@ -67,4 +90,4 @@ def samples(scenes: DataFrame, threshold: float = DEFAULT.weapon_confidence_thre
         conf = F.array_max(F.transform(own, lambda m: m["confidence"]))
         return F.struct(v["ts_s"].alias("ts_s"), v["det_ord"].alias("vehicle_ord"), v["track_id"].alias("vehicle_track_id"), score.gate_score(conf, threshold).alias("score"), F.concat(F.array(v["track_id"]), ids).alias("track_ids"))
 
-    return scenes.select(*KEYS, F.inline(F.transform("vehicles", sample)))
+    return scenes.select(*KEYS, *rest, F.inline(F.transform("vehicles", sample)))

@@ -466,6 +466,24 @@ def q_drawable_boxes(spark, sf_dir):
     return annotate.drawable(T.weapon_raw(spark, sf_dir)).select("frame_idx", "person_track_id", "box_ord")
 
 
+@query(_with(_EVENTS, "evt"))
+def q_events_segments(spark, sf_dir):
+    """The events with every key cut to slots; no task holds a key."""
+    from lanternflow.operators import segments
+
+    return _event_columns(segments.debounce(plan(spark, sf_dir).samples))
+
+
+@query(_with(_EVENTS, "evt"))
+def q_stream_flagship(spark, sf_dir):
+    """The events from streams of raw detections and boxes, in disorder, with two restarts."""
+    from lanternflow.streaming.flagship import replay
+
+    objects = T.detector_rows(spark, sf_dir).withColumn("cls", detect.class_of(F.col("class_id")))
+    boxes = T.weapon_raw(spark, sf_dir).withColumn("ts_s", F.col("frame_idx") / F.lit(T.FPS))
+    return _event_columns(replay(objects, boxes, stops=2))
+
+
 @query(_with(_EVENTS, "evt"))
 def q_events_stream(spark, sf_dir):
     from lanternflow.streaming.debounce import replay
