@@ -29,9 +29,10 @@ import hashlib
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ from lanternflow.llm.packing import tokenizer_path
 GROUPS, LINKS, DOCS, UNITS = 150_000, 600_000, 50_000, 300_000
 #: Bytes of the longest unit that is remembered.
 LONG = 64
+#: Units that are tokenised as one text.
+RUN = 2_000
 SPACE = "▁"
 # Fixed value: the pattern by which byte-level pieces split text before their merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,20 +104,10 @@ class Pair:
         special = {t["content"] for t in told["added_tokens"]}
         return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for p, i in vocab.items() if p not in special}, special_tokens={})
 
-    def a_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A's ids of units, one after the other, and where each unit's begin."""
+    def a_ids(self, texts: list[str]) -> list[list[int]]:
         if self.ranks is None:
-            return flat([e.ids for e in self.a.encode_batch(units, add_special_tokens=False)])
-        # Units that are white space alone end a text; another unit after them would change them.
-        blank = [u.isspace() for u in units]
-        joined = "".join([u for u, x in zip(units, blank, strict=True) if not x])
-        ids = self.ranks.encode_to_numpy(joined, allowed_special=set(), disallowed_special=()).astype(np.int64) if joined else np.zeros(0, np.int64)
-        sizes = np.array([0 if x else len(u.encode()) for u, x in zip(units, blank, strict=True)])
-        starts = np.concatenate([[0], np.searchsorted(np.cumsum(self.a_len[ids]), np.cumsum(sizes), "right")])
-        if not any(blank):
-            return ids, starts
-        parts = [ids[s:e] for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        return flat([self.ranks.encode_ordinary(u) if x else p.tolist() for u, x, p in zip(units, blank, parts, strict=True)])
+            return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        return [self.ranks.encode_ordinary(t) for t in texts]
 
     def b_ids(self, units: list[str]) -> list[list[int]]:
         """B's ids of units as they stand, each beginning with a space or an edge."""
@@ -122,20 +115,30 @@ class Pair:
         found = self.b.encode(bare, num_threads=1)
         return [([self.space] if u == " " else ids) if u[0] == " " else ids[1:] for u, ids in zip(units, found, strict=True)]
 
-    def tokens(self, units: list[str]) -> Tokens:
-        """Both tokenisations of units, one after the other."""
-        return Tokens(*self.a_ids(units), *flat(self.b_ids(units)))
-
-    def same(self, units: list[str], t: Tokens) -> np.ndarray:
-        """Which units both tokenizers give back byte by byte."""
+    def tokens(self, units: list[str]) -> tuple[Tokens, np.ndarray]:
+        """Both tokenisations of units, one after the other, and which units both give back byte by byte."""
         raw = [u.encode() for u in units]
-        x, y = [self.a_bytes[i] for i in t.a.tolist()], [self.b_bytes[i] for i in t.b.tolist()]
-        n = np.array([len(r) for r in raw])
-        whole = b"".join(raw)
-        if whole == b"".join(x) == b"".join(y) and (sums(self.a_len[t.a], t.a_start) == n).all() and (sums(self.b_len[t.b], t.b_start) == n).all():
-            return np.ones(len(units), bool)
-        joined = lambda parts, starts: [b"".join(parts[s:e]) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        return np.array([r == p == q for r, p, q in zip(raw, joined(x, t.a_start), joined(y, t.b_start), strict=True)])
+        a, b = flat(self.a_ids(units)), flat(self.b_ids(units))
+        joined = lambda table, ids, starts: [b"".join(map(table.__getitem__, ids[s:e].tolist())) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        same = [r == x == y for r, x, y in zip(raw, joined(self.a_bytes, *a), joined(self.b_bytes, *b), strict=True)]
+        return Tokens(*a, *b), np.array(same, bool)
+
+    def tokens_at_once(self, units: list[str]) -> Tokens | None:
+        """The same of units that are no white space alone, ``RUN`` of them joined to one text; None if not all bytes come back."""
+        if self.ranks is None:
+            return None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for s in range(0, len(units), RUN):
+            text = "".join(units[s : s + RUN])
+            a = self.ranks.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int64)
+            b = self.b_ids([text])[0]
+            if not b"".join(map(self.a_bytes.__getitem__, a.tolist())) == b"".join(map(self.b_bytes.__getitem__, b)) == text.encode():
+                return None
+            found.append((a, np.array(b, np.int64)))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends = np.cumsum([len(u.encode()) for u in units])
+        starts = [np.concatenate([[0], np.searchsorted(np.cumsum(n[x]), ends, "right")]) for x, n in ((a, self.a_len), (b, self.b_len))]
+        return Tokens(a, starts[0], b, starts[1])
 
 
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +174,8 @@ def links(group: tuple[tuple[int, ...], tuple[int, ...]]) -> dict[tuple[int, int
     a, b = group
     if len(a) == len(b) == 1:
         return {(a[0], b[0]): 1}
-    ua, na = np.unique(a, return_counts=True)
-    ub, nb = np.unique(b, return_counts=True)
-    return {(x, y): n * m for x, n in zip(ua.tolist(), na.tolist(), strict=True) for y, m in zip(ub.tolist(), nb.tolist(), strict=True)}
+    ca, cb = Counter(a), Counter(b)
+    return {(x, y): n * m for x, n in ca.items() for y, m in cb.items()}
 
 
 class Grow:
@@ -256,7 +258,10 @@ class Epoch:
         more = np.flatnonzero(~single)
         bounds = zip(ga[more].tolist(), ga[more + 1].tolist(), gb[more].tolist(), gb[more + 1].tolist(), strict=True)
         a, b = t.a.tolist(), t.b.tolist()
-        number[more] = [self._intern((tuple(a[s:e]), tuple(b[p:q]))) for s, e, p, q in bounds]
+        keys = [(tuple(a[s:e]), tuple(b[p:q])) for s, e, p, q in bounds]
+        for key in dict.fromkeys(keys):
+            self._intern(key)
+        number[more] = list(map(self.group.__getitem__, keys))
         before = self.unit_start.n - 1
         self.unit_start.add(self.unit_group.n + first[1:])
         self.unit_group.add(number)
@@ -309,28 +314,47 @@ class Aligner:
         """Unit numbers of all texts, and where each text's begin; a text without tokens has none."""
         e, both = self.epoch, self.both
         split = [both.units(" " + t) if t else [] for t in texts]
-        known = e.unit
-        fresh = list({u for us in split for u in us if u not in known})
-        once: dict[str, int] = {}
-        bad: set[str] = set()
-        if fresh:
-            t = both.tokens(fresh)
-            fine = both.same(fresh, t)
-            if not fine.all():
-                bad = {u for u, ok in zip(fresh, fine.tolist(), strict=True) if not ok}
-                fresh = [u for u in fresh if u not in bad]
-                t = both.tokens(fresh)
-            for k, u in enumerate(fresh, e.add_units(t, both.a_len, both.b_len)):
-                (known if len(u) <= LONG else once)[u] = k
-        numbered = {**known, **once} if once else known
-        found: list[list[int]] = []
-        for t, us in zip(texts, split, strict=True):
-            if bad and any(u in bad for u in us):
-                whole = both.tokens([" " + t])  # the bytes may agree over the whole text all the same
-                found.append([e.add_units(whole, both.a_len, both.b_len)] if both.same([" " + t], whole).all() else [])
-            else:
-                found.append(list(map(numbered.__getitem__, us)))
-        return flat(found)
+        every = list(chain.from_iterable(split))
+        numbers = np.fromiter(map(e.unit.get, every, repeat(-1)), np.int64, len(every))
+        starts = np.cumsum([0, *map(len, split)])
+        missing = np.flatnonzero(numbers < 0)
+        if not len(missing):
+            return numbers, starts
+        new = [every[k] for k in missing.tolist()]
+        met, bad = self._meet(list(dict.fromkeys(new)))
+        numbers[missing] = list(map(met.get, new, repeat(-1)))
+        if not bad:
+            return numbers, starts
+        # The bytes of a text with a unit that does not come back may agree over the whole of it all the same.
+        found = []
+        for k, t in enumerate(texts):
+            own = numbers[starts[k] : starts[k + 1]]
+            if (own < 0).any():
+                whole, same = both.tokens([" " + t])
+                own = np.array([e.add_units(whole, both.a_len, both.b_len)] if same[0] else [], np.int64)
+            found.append(own)
+        return np.concatenate(found), np.cumsum([0, *map(len, found)])
+
+    def _meet(self, fresh: list[str]) -> tuple[dict[str, int], bool]:
+        """Numbers of new units, and whether some have none as their bytes do not come back."""
+        both, met, bad = self.both, {}, False
+        blank = [u for u in fresh if u.isspace()]
+        rest = [u for u in fresh if not u.isspace()]
+        for units, joined in ((rest, True), (blank, False)):
+            if not units:
+                continue
+            t = both.tokens_at_once(units) if joined else None
+            if t is None:
+                t, same = both.tokens(units)
+                if not same.all():
+                    bad = True
+                    units = [u for u, ok in zip(units, same.tolist(), strict=True) if ok]
+                    if not units:
+                        continue
+                    t, _ = both.tokens(units)
+            met.update(zip(units, range(first := self.epoch.add_units(t, both.a_len, both.b_len), first + len(units)), strict=True))
+        self.epoch.unit.update((u, k) for u, k in met.items() if len(u) <= LONG)
+        return met, bad
 
     def _step(self, ids: np.ndarray, texts: list[str], apart: np.ndarray) -> Iterator[pa.RecordBatch]:
         e, n = self.epoch, len(texts)
