@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternflow.config import BANNER_LOOKBACK_S
+from lanternflow.operators import spaced
 
 
 def hit_summary(hits: DataFrame, frames: DataFrame, threshold: float) -> DataFrame:
@@ -16,45 +17,52 @@ def hit_summary(hits: DataFrame, frames: DataFrame, threshold: float) -> DataFra
     )
 
 
+#: Seconds of a slot, and slots (or blocks of them) that are combined at once.
+RUN_SLOT_S, RUN_FAN = 60.0, 4096
+
+
+def _joined_run(max_gap_s: float):
+    """Combine the runs of two stretches of time: first and last hit, end of the first run, start of the last, greatest length."""
+
+    def step(a: Column, x: Column) -> Column:
+        joined = x["first"] - a["last"] <= F.lit(max_gap_s)
+        return F.struct(
+            a["first"].alias("first"), F.when(joined & (a["tail"] == a["first"]), x["head"]).otherwise(a["head"]).alias("head"),
+            F.when(joined & (x["tail"] == x["first"]), a["tail"]).otherwise(x["tail"]).alias("tail"), x["last"].alias("last"),
+            F.greatest(a["best"], x["best"], F.when(joined, x["head"] - a["tail"]).otherwise(F.lit(0.0))).alias("best"),
+        )
+
+    return lambda xs: F.when(F.size(xs) > 0, F.reduce(F.slice(xs, 2, F.greatest(F.size(xs), F.lit(1))), F.try_element_at(xs, F.lit(1)), step))
+
+
 def longest_run(hits: DataFrame, threshold: float, max_gap_s: float) -> DataFrame:
-    """The longest run of above-threshold hits of all people of each clip; a gap beyond ``max_gap_s`` ends a run."""
-    above = hits.where(F.col("confidence") >= threshold).select("clip_id", "ts_s").distinct()
-    w = Window.partitionBy("clip_id").orderBy("ts_s")
-    gap = F.coalesce(F.col("ts_s") - F.lag("ts_s").over(w) > F.lit(max_gap_s), F.lit(False)).cast("int")
-    run = above.withColumn("gap", gap).withColumn("run", F.sum("gap").over(w))
-    lengths = run.groupBy("clip_id", "run").agg((F.max("ts_s") - F.min("ts_s")).alias("s"))
-    longest = lengths.groupBy("clip_id").agg(F.max("s").alias("longest"))
-    return hits.select("clip_id").distinct().join(longest, "clip_id", "left").select("clip_id", F.coalesce("longest", F.lit(0.0)).alias("longest_run_s"))
+    """The longest run of above-threshold hits of all people of each clip; a gap beyond ``max_gap_s`` ends a run.
+
+    Slots of a clip's time give their runs, and runs of neighbouring slots
+    combine; a task holds the hits of a slot or the runs of ``RUN_FAN`` slots.
+    """
+    combine = _joined_run(max_gap_s)
+    at = F.when(F.col("confidence") >= threshold, F.col("ts_s"))
+    slots = hits.select("clip_id", F.floor(F.col("ts_s") / F.lit(RUN_SLOT_S)).alias("slot"), at.alias("at")).groupBy("clip_id", "slot").agg(F.array_sort(F.collect_set("at")).alias("xs"))
+    one = lambda t: F.struct(*[t.alias(c) for c in ("first", "head", "tail", "last")], F.lit(0.0).alias("best"))
+    runs = slots.select("clip_id", "slot", combine(F.transform("xs", one)).alias("run"))
+    for keys in (["clip_id", "slot"], ["clip_id", "slot"], ["clip_id"]):
+        pair = F.when(F.col("run").isNotNull(), F.struct(F.col("slot").alias("s"), "run"))
+        wide = runs.select("clip_id", F.floor(F.col("slot") / RUN_FAN).alias("slot"), pair.alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+        runs = wide.select(*keys, combine(F.transform("xs", lambda x: x["run"])).alias("run"))
+    return runs.select("clip_id", F.coalesce("run.best", F.lit(0.0)).alias("longest_run_s"))
 
 
 def spaced_top(hits: DataFrame, k: int, min_gap_s: float, min_conf: float, group: str = "clip_id") -> DataFrame:
-    """The most confident hits of each clip that are ``min_gap_s`` apart from all chosen before; then by time.
+    """The most confident hits of each clip that are ``min_gap_s`` apart from all chosen before.
 
-    k below 1 still chooses one.  The choice is sequential, but a chosen hit
-    passes over only those less than a gap away: at most the hits of three
-    slots of one gap.  The last of k is therefore among the first k times that
-    many, and only these are folded: their number follows from how dense a
-    clip's hits are, not from how long it is.
+    k below 1 still chooses one.  Blocks of time are settled apart
+    (``operators.spaced``); no task holds a clip.
     """
-    row = "struct<neg:double,ts_s:double,ord:bigint,frame_idx:bigint,person_track_id:bigint>"
-    fields = F.struct((-F.col("confidence")).alias("neg"), "ts_s", F.col("ord"), "frame_idx", "person_track_id")
-    found = hits.where(F.col("confidence") >= min_conf).select(group, fields.alias("x"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy("x"))
-    if min_gap_s <= 0:
-        found = found.withColumn("place", place).where(F.col("place") <= max(k, 1))
-    else:
-        slot = F.floor(F.col("x.ts_s") / F.lit(min_gap_s))
-        dense = Window.partitionBy(group, "slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        most = Window.partitionBy(group).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        counted = found.withColumn("slot", slot).withColumn("n", F.count("*").over(dense)).withColumn("most", F.max("n").over(most))
-        found = counted.withColumn("place", place).where(F.col("place") <= 3 * F.col("most") * F.lit(max(k, 1)))
-    xs = found.groupBy(group).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        far = F.forall(acc, lambda y: F.abs(x["ts_s"] - y["ts_s"]) >= F.lit(min_gap_s))
-        return F.when((F.size(acc) < max(k, 1)) & far, F.concat(acc, F.array(x))).otherwise(acc)
-
-    out = xs.select(group, F.inline(F.aggregate("xs", F.array().cast(f"array<{row}>"), step)))
+    found = hits.where(F.col("confidence") >= min_conf).select(group, (-F.col("confidence")).alias("neg"), "ts_s", F.col("ord").cast("long").alias("ord"), "frame_idx", "person_track_id")
+    if min_gap_s > 0:
+        found = spaced.spaced(found, group, min_gap_s)
+    out = spaced.first_of_each(found, group, max(k, 1))
     return out.select(group, "frame_idx", "ts_s", "person_track_id", (-F.col("neg")).alias("confidence"))
 
 

@@ -234,6 +234,15 @@ def _timed(hits: DataFrame) -> DataFrame:
     return hits.withColumn("ts_s", F.col("frame_idx") / F.lit(T.FPS))
 
 
+@query(_with("""SELECT 'clip0' AS clip_id, round(coalesce(max(len), 0), 6) AS longest_run_s FROM (SELECT max(ts_s) - min(ts_s) AS len FROM (SELECT ts_s, sum(g) OVER (ORDER BY ts_s) AS run FROM
+(SELECT ts_s, CASE WHEN ts_s - lag(ts_s) OVER (ORDER BY ts_s) > 0.15e0 THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT ts_s FROM hit WHERE confidence >= 0.5e0))) GROUP BY run)""", "hit"))
+def q_longest_run_stream(spark, sf_dir):
+    """The longest run from a stream's session windows."""
+    from lanternflow.streaming.runs import replay_longest
+
+    return replay_longest(_timed(plan(spark, sf_dir).hits), 0.5, 0.15).withColumn("longest_run_s", r6("longest_run_s"))
+
+
 @query(_with("""SELECT 'clip0' AS clip_id, round(coalesce(max(len), 0), 6) AS longest_run_s FROM (SELECT max(ts_s) - min(ts_s) AS len FROM (SELECT ts_s, sum(g) OVER (ORDER BY ts_s) AS run FROM
 (SELECT ts_s, CASE WHEN ts_s - lag(ts_s) OVER (ORDER BY ts_s) > 0.15e0 THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT ts_s FROM hit WHERE confidence >= 0.5e0))) GROUP BY run)""", "hit"))
 def q_longest_run(spark, sf_dir):

@@ -6,11 +6,12 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternflow.config import RunConfig
 from lanternflow.functions.text import fixed
+from lanternflow.operators.ranked import ranked
 
 # The header of the event log.
 EVENT_COLUMNS = ["event_type", "start_timestamp_s", "end_timestamp_s", "start_frame_idx", "end_frame_idx", "peak_score", "track_ids"]
@@ -25,8 +26,9 @@ def ordered(events: DataFrame) -> DataFrame:
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """Events with their place in the log of their clip."""
-    return events.withColumn("place", F.row_number().over(Window.partitionBy("clip_id").orderBy(*_log_order())).cast("long"))
+    """Events with their place in the log of their clip, by ranges of (clip, time)."""
+    keys = dict(zip(("_start", "_end", "_first"), _log_order(), strict=True))
+    return ranked(events.withColumns(keys), ["clip_id"], [F.col(c) for c in keys]).drop(*keys)
 
 
 def events_json(events: DataFrame) -> str:
