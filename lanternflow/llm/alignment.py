@@ -55,6 +55,30 @@ SPACE = "▁"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def byte_table(vocab: dict[str, int]) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [x for x in range(256) if x not in own]
+    byte = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(others)}
+    out = [b""] * (max(vocab.values()) + 1)
+    for piece, i in vocab.items():
+        out[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
+    return out
+
+
+def ranks_of(told: dict, table: list[bytes]):
+    """A tokenizer file by ranks, which is several times as fast; None unless merges rank as their ids do and words are split by the usual pattern."""
+    import tiktoken
+
+    vocab, first = told["model"]["vocab"], told["pre_tokenizer"] or {}
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in told["model"].get("merges", [])]
+    plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and not told["normalizer"]
+    if not plain or None in merged or merged != sorted(merged) or any(len(table[i]) == 1 and i > min(merged) for i in vocab.values()):
+        return None
+    special = {t["content"] for t in told["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={table[i]: i for p, i in vocab.items() if p not in special}, special_tokens={})
+
+
 class Pair:
     """Both tokenizers, unit by unit.
 
@@ -75,13 +99,8 @@ class Pair:
         self.b = SentencePieceProcessor(model_file=b)
         with open(a, encoding="utf-8") as f:
             told = json.load(f)
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [x for x in range(256) if x not in own]
-        byte = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(others)}
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for piece, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
-        self.ranks = self._ranks(told)
+        self.a_bytes = byte_table(self.a.get_vocab())
+        self.ranks = ranks_of(told, self.a_bytes)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
@@ -92,18 +111,6 @@ class Pair:
         rest = rf"(?:(?![{self.edges}])\s+\S*)*" if self.edges else r"(?:\s+\S*)*"
         self.units = re.compile(rf"\s*\S+{rest}|\s+").findall
 
-    def _ranks(self, told: dict):
-        """The same tokenizer by ranks, which is several times as fast; None unless merges rank as their ids do and words are split by the usual pattern."""
-        import tiktoken
-
-        vocab, first = told["model"]["vocab"], told["pre_tokenizer"] or {}
-        merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in told["model"].get("merges", [])]
-        plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and not told["normalizer"]
-        if not plain or None in merged or merged != sorted(merged) or any(len(self.a_bytes[i]) == 1 and i > min(merged) for i in vocab.values()):
-            return None
-        special = {t["content"] for t in told["added_tokens"]}
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for p, i in vocab.items() if p not in special}, special_tokens={})
-
     def a_ids(self, texts: list[str]) -> list[list[int]]:
         if self.ranks is None:
             return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]

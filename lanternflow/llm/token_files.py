@@ -20,10 +20,12 @@ them count, in order, and how many ids come before each.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,16 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from lanternflow.llm import core
 from lanternflow.llm.core import column, numbers
-from lanternflow.llm.packing import byte_tokens, tokenizer_path
+from lanternflow.llm.alignment import Grow, byte_table, flat, ranks_of, spread
+from lanternflow.llm.packing import ByteTokens, tokenizer_path
 
 MAGIC = b"LFTOKEN1"
 BLOCK, PERCENTILE = 1024, 98
 END = 2
 #: Blocks that are packed or unpacked in one step.
 STEP = 256
+#: Units that a worker remembers, about, and that are tokenised as one text.
+UNITS, RUN = 300_000, 2_000
 #: Ids of a reading task, about.
 TASK = 8 << 20
 INDEX = "_files.json"
@@ -261,14 +266,89 @@ class TokenFiles(DataSource):
         return TokenReader(self.options["path"], int(self.options.get("task", TASK)))
 
 
+class Encoder(ByteTokens):
+    """Token ids of many texts at once.
+
+    A unit is white space and the word after it; no token reaches from a word
+    to white space after it, so units are tokenised once, many joined to one
+    text, and texts are put together from units.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        table = byte_table(self.tok.get_vocab())
+        self.ranks, self.sizes = ranks_of(told, table), np.array([len(x) for x in table])
+        self.units = re.compile(r"\s*\S+|\s+").findall
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.starts, self.ids = Grow(), Grow()
+        self.starts.add([0])
+
+    def _meet(self, fresh: list[str]) -> None:
+        # White space alone ends a text, and a word without any before it begins one: joined to others they would change.
+        joins = [u[0].isspace() and not u.isspace() for u in fresh]
+        rest = [u for u, j in zip(fresh, joins, strict=True) if j]
+        for s in range(0, len(rest), RUN):
+            part = rest[s : s + RUN]
+            text = "".join(part)
+            ids = self.ranks.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int64)
+            sizes = list(map(len, part if text.isascii() else [u.encode() for u in part]))
+            self._add(part, ids, np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes), "right"))
+        alone = [u for u, j in zip(fresh, joins, strict=True) if not j]
+        if alone:
+            ids, starts = flat([self.ranks.encode_ordinary(u) for u in alone])
+            self._add(alone, ids, starts[1:])
+
+    def _add(self, units: list[str], ids, ends: np.ndarray) -> None:
+        self.number.update(zip(units, range(self.starts.n - 1, self.starts.n - 1 + len(units)), strict=True))
+        self.starts.add(self.ids.n + ends)
+        self.ids.add(ids)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has; texts that must be seen whole go to the library."""
+        if self.ranks is None:
+            ids, starts = flat([self.tok.encode(t, add_special_tokens=False).ids for t in texts])
+            return ids, np.diff(starts)
+        if len(self.number) > UNITS or self.ids.n > 8 * UNITS:
+            self._forget()
+        whole = {k: np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int64) for k, t in enumerate(texts) if self.whole(t)}
+        split = [[] if k in whole else self.units(t) for k, t in enumerate(texts)]
+        every = list(chain.from_iterable(split))
+        numbered = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(numbered < 0)
+        if len(missing):
+            new = [every[k] for k in missing.tolist()]
+            self._meet(list(dict.fromkeys(new)))
+            numbered[missing] = list(map(self.number.__getitem__, new))
+        starts = self.starts.now
+        at, _ = spread(numbered, starts)
+        ids = self.ids.now[at]
+        first = np.cumsum([0, *map(len, split)])
+        total = np.concatenate([[0], np.cumsum(starts[numbered + 1] - starts[numbered])])
+        cut = total[first]
+        if not whole:
+            return ids, np.diff(cut)
+        parts = [whole[k] if k in whole else ids[cut[k] : cut[k + 1]] for k in range(len(texts))]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.array([end], "<u4").tobytes()
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
         for b in batches:
             texts, ids = column(b, "text"), numbers(b, "doc_id")
-            for i, j in core.steps(core.text_bytes(texts)[1], 1 << 20):
-                made = [x + mark for x in byte_tokens(path).encode(texts[i:j].to_pylist())]
-                yield core.batch_of(doc_id=ids[i:j], ids=core.binary_column(b"".join(made), np.array([len(x) for x in made])))
+            for i, j in core.steps(core.text_bytes(texts)[1]):
+                made, n = _encoders[path].encode_all(texts[i:j].to_pylist())
+                made = np.insert(made, np.cumsum(n), end).astype("<u4")
+                yield core.batch_of(doc_id=ids[i:j], ids=core.binary_column(made.tobytes(), 4 * (n + 1)))
 
     return run
 

@@ -104,6 +104,15 @@ def test_a_failed_write_leaves_nothing_that_counts(spark, tmp_path):
     assert not list((tmp_path / "f").glob("*"))
 
 
+def test_encoder_equals_the_library():
+    enc, tok, rng = token_files.Encoder(A), tokenizer(), random.Random(9)
+    made = ["".join(rng.choice(" \n\t\r\xa0\x1c\x85abcA1'.;é中😀<|>") for _ in range(30)) for _ in range(400)]
+    batch = ["", *(t or "" for t in TEXTS), *made]
+    for _ in range(2):  # units new, then known
+        ids, n = enc.encode_all(batch)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in batch]
+
+
 # --- 12: centroid clustering
 
 VECTORS = "vec_id long, embedding array<float>, label int, v array<int>, cluster string, n int"
