@@ -288,17 +288,18 @@ class Encoder(ByteTokens):
         self.starts, self.ids = Grow(), Grow()
         self.starts.add([0])
 
-    def _meet(self, fresh: list[str]) -> None:
-        # White space alone ends a text, and a word without any before it begins one: joined to others they would change.
-        joins = [u[0].isspace() and not u.isspace() for u in fresh]
-        rest = [u for u, j in zip(fresh, joins, strict=True) if j]
+    def _meet(self, fresh: dict[str, None], odd: set[str]) -> None:
+        """Tokenise new units; those of ``odd`` apart."""
+        alone = [u for u in odd if u in fresh]
+        for u in alone:
+            del fresh[u]
+        rest = list(fresh)
         for s in range(0, len(rest), RUN):
             part = rest[s : s + RUN]
             text = "".join(part)
             ids = self.ranks.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int64)
             sizes = list(map(len, part if text.isascii() else [u.encode() for u in part]))
             self._add(part, ids, np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes), "right"))
-        alone = [u for u, j in zip(fresh, joins, strict=True) if not j]
         if alone:
             ids, starts = flat([self.ranks.encode_ordinary(u) for u in alone])
             self._add(alone, ids, starts[1:])
@@ -322,7 +323,9 @@ class Encoder(ByteTokens):
         missing = np.flatnonzero(numbered < 0)
         if len(missing):
             new = [every[k] for k in missing.tolist()]
-            self._meet(list(dict.fromkeys(new)))
+            # White space alone ends a text, and a word without any before it begins one: joined to others they would change.
+            ends = {u for us in split if us for u in (us[0], us[-1]) if u.isspace() or not u[0].isspace()}
+            self._meet(dict.fromkeys(new), ends)
             numbered[missing] = list(map(self.number.__getitem__, new))
         starts = self.starts.now
         at, _ = spread(numbered, starts)
