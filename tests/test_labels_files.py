@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lanternflow import schema
 from lanternflow.config import RunConfig
 from lanternflow.operators import labels
-from lanternflow.sources import files, sinks
+from lanternflow.sources import files, label_tree, sinks
 
 
 def lines(spark, rows):
@@ -128,7 +128,7 @@ def test_summary_json(spark):
     assert json.loads(sinks.summary_json(spark.range(1).selectExpr("3 AS frames_total", "CAST(NULL AS DOUBLE) AS min_distance_norm"))) == {"frames_total": 3, "min_distance_norm": None}
 
 
-def test_clip_source(spark, tmp_path):
+def test_clip_source_as_a_stream(spark, tmp_path):
     """Batch and stream give the same frames; the stream resumes behind the last frame it has given."""
     spark.dataSource.register(files.ClipSource)
     options = {"clip_id": "c", "frame_count": "25", "fps": "10", "stride": "2", "frames_per_task": "4"}
@@ -144,3 +144,30 @@ def test_clip_source(spark, tmp_path):
 def test_clip_metadata(spark):
     rows = files.clips(spark, [("a", "p", 640, 480, 0.0, 10), ("b", "q", 640, 480, 25.0, 10), ("c", "r", 640, 480, None, 10)]).collect()
     assert [r.fps for r in rows] == [30.0, 25.0, 30.0]
+
+
+def test_label_tree(spark, tmp_path):
+    imgs = spark.createDataFrame([("train", "x"), ("test", "y"), ("train", "z")], "split string, image_stem string")
+    rows = spark.createDataFrame([("train", "x", 1, "b"), ("train", "x", 0, "a"), ("train", "z", 0, "c")], "split string, image_stem string, line_no int, line string").repartition(3)
+    for _ in range(2):  # written again, it is the same
+        label_tree.write_tree(rows, imgs, f"file://{tmp_path}/out", ["gun", "blade"])
+        found = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+        manifest = yaml.safe_load(found.pop("data.yaml"))
+        assert found == {"train/labels/x.txt": "a\nb\n", "train/labels/z.txt": "c\n", "test/labels/y.txt": ""}
+        assert manifest["names"] == ["gun", "blade"] and manifest["test"] == "test/images"
+
+
+def test_a_failed_label_tree_does_not_count(spark, tmp_path):
+    spark.dataSource.register(label_tree.LabelTree)
+
+    def fail(batches):
+        for b in batches:
+            yield b
+            raise ValueError("lost")
+
+    rows = spark.range(20).selectExpr("'train' AS split", "concat('s', id) AS image_stem", "'l' AS label").coalesce(1)
+    with pytest.raises(Exception, match="lost"):
+        rows.mapInArrow(fail, rows.schema).write.format("label_tree").mode("append").save(f"file://{tmp_path}/out")
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    rows.write.format("label_tree").mode("append").save(f"file://{tmp_path}/out")
+    assert len(list((tmp_path / "out/train/labels").glob("*.txt"))) == 20 and (tmp_path / "out/data.yaml").exists()
