@@ -969,3 +969,16 @@ def test_very_long_text(spark):
     assert near[1].near_next == 1.0 and near[1].fingerprint == near[2].fingerprint and near[2].near_next < 0.1
     labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
     assert quality_classifier.scores(docs, labels).count() == 3
+
+
+def test_ip_pattern_on_runs_of_digits():
+    """The same matches as the plain pattern, in linear time."""
+    import time
+
+    plain, rng = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice("019..a ") for _ in range(40))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
+    began = time.perf_counter()
+    assert list(pii.IP.finditer("1.2" + "7" * 1_000_000 + " 1.2.3.4"))[0][0] == "1.2.3.4"
+    assert time.perf_counter() - began < 1
