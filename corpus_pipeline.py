@@ -35,7 +35,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask personal data and the terms that disclose it."""
     core.small_batches(spark)
-    return pii.sanitise(docs)
+    return pii.sanitise(docs, related=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Personal data: fixed patterns, and terms that disclose them by corpus statistics.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers.  Each
-value found is a protected entity.  A term discloses it when the two go together
+value found is a protected entity; on demand (``related``) so are the host and the
+account of an address and the network of an IP, which recur in more documents
+than whole values do.  A term discloses an entity when the two go together
 far more than by chance; it is then masked wherever it stands in a document
 with the entity.  With counts of documents,
 
@@ -21,6 +23,7 @@ shape that is too rare is no cover, and its terms are removed.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -48,7 +51,7 @@ _DIGITS = re.compile("[^0-9]")
 _DOTTED = re.compile(r"[0-9]\.[0-9]").search
 _LONG = re.compile(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]").search
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-ALPHA, SUPPORT = 0.9, 3
+ALPHA, SUPPORT = 0.9, 2
 #: Pairs of entity and term that a step makes before it adds them up.
 PAIRS = 2_000_000
 _ALONE = -(2**63)
@@ -98,6 +101,19 @@ def entity(kind: int, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - 2**63
 
 
+def related_entities(kind: int, value: str) -> list[int]:
+    """What a value shares with others: an address's account and host, an IP's network."""
+    if kind > 1:
+        return []
+    parts = {"account": value.lower().split("@")[0], "host": value.lower().split("@")[1]} if kind == 0 else {"network": value.rpartition(".")[0]}
+    return [xxhash.xxh3_64_intdigest(f"{k}:{v}") - 2**63 for k, v in parts.items()]
+
+
+def entities_of(text: str, spans: list[tuple[int, int, int]], related: bool) -> set[int]:
+    found = {entity(k, text[s:e]) for s, k, e in spans}
+    return found.union(*[related_entities(k, text[s:e]) for s, k, e in spans]) if related else found
+
+
 def clear_words(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, start, end) of the words, in code points, and which are clear of all spans."""
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -133,20 +149,23 @@ _FOUND = f"doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone
 _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
 
 
-def _find(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    empty = hashlib.sha256(b"").hexdigest()
-    rows: dict[str, list] = {k: [] for k in ("count", "sha", "base", "entities")}
-    for t in column(b, "text").to_pylist():
-        spans = base_spans(t)
-        rows["count"].append([sum(k == x for _, k, _ in spans) for x in range(4)] if spans else [0, 0, 0, 0])
-        rows["sha"].append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest() if spans else empty)
-        rows["base"].append([{"s": s, "k": k, "e": e} for s, k, e in spans])
-        rows["entities"].append(sorted({entity(k, t[s:e]) for s, k, e in spans}))
-    n = np.array(rows["count"], np.int64).reshape(-1, 4)
-    yield core.batch_of(
-        doc_id=numbers(b, "doc_id"), mark=numbers(b, "mark"), n_email=n[:, 0].copy(), n_ip=n[:, 1].copy(), n_card=n[:, 2].copy(), n_phone=n[:, 3].copy(),
-        base_sha256=pa.array(rows["sha"], pa.string()), base=pa.array(rows["base"], _SPANS), entities=pa.array(rows["entities"], pa.list_(pa.int64())),
-    )
+def _find(related: bool):
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        empty = hashlib.sha256(b"").hexdigest()
+        rows: dict[str, list] = {k: [] for k in ("count", "sha", "base", "entities")}
+        for t in column(b, "text").to_pylist():
+            spans = base_spans(t)
+            rows["count"].append([sum(k == x for _, k, _ in spans) for x in range(4)] if spans else [0, 0, 0, 0])
+            rows["sha"].append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest() if spans else empty)
+            rows["base"].append([{"s": s, "k": k, "e": e} for s, k, e in spans])
+            rows["entities"].append(sorted(entities_of(t, spans, related)))
+        n = np.array(rows["count"], np.int64).reshape(-1, 4)
+        yield core.batch_of(
+            doc_id=numbers(b, "doc_id"), mark=numbers(b, "mark"), n_email=n[:, 0].copy(), n_ip=n[:, 1].copy(), n_card=n[:, 2].copy(), n_phone=n[:, 3].copy(),
+            base_sha256=pa.array(rows["sha"], pa.string()), base=pa.array(rows["base"], _SPANS), entities=pa.array(rows["entities"], pa.list_(pa.int64())),
+        )
+
+    return fn
 
 
 def _slots(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +190,18 @@ def _own_terms(text: str) -> np.ndarray:
     return np.unique(term[clear])
 
 
-def _common_terms(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows with ``text`` of documents with entities: the terms of these texts and, for each, the documents."""
-    every = [_own_terms(t) for t in column(b, "text").to_pylist()]
-    t, n = np.unique(np.concatenate(every), return_counts=True)
-    yield core.batch_of(t=t, n=n.astype(np.int64))
+def _common_terms(repeated):
+    """Documents with entities to the terms of their texts and, for each, the documents; those of ids that may repeat come with the id."""
+
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        every = [_own_terms(t) for t in column(b, "text").to_pylist()]
+        one = core.in_id_filter(repeated.value, numbers(b, "at"))
+        t, n = np.unique(np.concatenate([np.zeros(0, np.int64), *[x for x, again in zip(every, one, strict=True) if not again]]), return_counts=True)
+        yield _sent(t, n)
+        for x, i in zip([x for x, again in zip(every, one, strict=True) if again], numbers(b, "doc_id")[one].tolist(), strict=True):
+            yield core.batch_of(t=x, n=np.zeros(len(x), np.int64), doc_id=np.full(len(x), i))
+
+    return fn
 
 
 def _term_counts(terms, repeated):
@@ -269,8 +295,25 @@ def _is_disclosing(n_et: Column, n_e: Column, n_t: Column, total: int, alpha: fl
     return (ic > 0) & (pmi >= F.lit(alpha) * ic)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: int) -> tuple[DataFrame, list[int]]:
-    """(e, t, n_e, kind): terms that disclose an entity, with the number of their kind; and the documents of each shape.
+def _told(terms, related: bool):
+    """Texts of documents with entities to (doc_id, mark, e, t): a text's entities with those of its own terms that disclose something."""
+
+    def fn(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, mark, text, known in zip(numbers(b, "doc_id").tolist(), numbers(b, "mark").tolist(), column(b, "text").to_pylist(), column(b, "entities").to_pylist(), strict=True):
+            spans = base_spans(text)
+            term, _, _, clear = clear_words(text, spans)
+            t = np.unique(term[clear])
+            t = t[_in_filter(terms.value, t)]
+            own = np.array(sorted(entities_of(text, spans, related).intersection(known)), np.int64)
+            if len(t) and len(own):
+                n = len(t) * len(own)
+                yield core.batch_of(doc_id=np.full(n, i), mark=np.full(n, mark), e=np.repeat(own, len(t)), t=np.tile(t, len(own)))
+
+    return fn
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: int, related: bool) -> tuple[DataFrame, list[int]]:
+    """(doc_id, mark, e, t, kind, floor): terms of a text that disclose one of its entities, with the number of their kind; and the documents of each shape.
 
     Only entities in ``support`` documents or more can have such terms, and a
     term must be in as many with an entity.  n(e,t) is at most n(e), so a term
@@ -285,20 +328,20 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: i
     mentions = found.where(F.size("entities") > 0).select("doc_id", F.explode("entities").alias("e")).distinct()
     entities = core.stored(mentions.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
     most = entities.agg(F.max("n_e")).first()[0] or 0
+    bound = alpha * math.log(max(most, 1)) + (1 - alpha) * math.log(max(total, 1)) + 1e-9
 
     # An id's entities; a filter, then a join, brings them to its texts.
     holders = mentions.join(entities.select("e"), "e").groupBy("doc_id").agg(F.collect_list("e").alias("entities"))
     bits = core.id_filter(spark, holders.select(F.col("doc_id").alias("id")))
     picked = core.stored(core.with_slot(core.pick(texts, bits)).join(holders, "doc_id"), "mentions")
-    common = core.arrow_map(picked.select("text"), _common_terms, "t long, n long").groupBy("t").agg(F.sum("n").alias("m")).where(F.col("m") >= support)
-    if not again:
-        # n(t) is m at least, so terms of very many such documents need not be counted.
-        common = common.where(_is_disclosing(F.lit(most), F.lit(most), F.col("m"), total, alpha))
+    common = _documents(core.arrow_map(picked.select("doc_id", "text", "at"), _common_terms(repeated), "t long, n long, doc_id long"), "t")
+    # n(t) is n at least, so terms of very many such documents need not be counted.
+    common = common.where((F.col("n") >= support) & (F.log("n") <= bound))
     counted = core.with_slot(texts).mapInArrow(_term_counts(_term_filter(spark, common), repeated), "t long, n long, doc_id long")
     n_t = core.stored(_documents(counted, "t").withColumnRenamed("n", "n_t"), "terms")
     by_shape = {r["t"]: r["n_t"] for r in n_t.where(F.col("t").between(-len(SHAPES), -1)).collect()}
 
-    able = n_t.where(_is_disclosing(F.lit(most), F.lit(most), F.col("n_t"), total, alpha)).select("t", "n_t")
+    able = n_t.where(F.log("n_t") <= bound).select("t", "n_t")
     pairs = core.arrow_map(picked, _pair_counts(_term_filter(spark, able), repeated), "e long, t long, n long, doc_id long")
     pairs = _documents(pairs, "e", "t").withColumnRenamed("n", "n_et").where(F.col("n_et") >= support)
     out = pairs.join(entities, "e").join(able, "t").where(_is_disclosing(F.col("n_et"), F.col("n_e"), F.col("n_t"), total, alpha))
@@ -306,7 +349,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, support: i
     # A shape in at most n(e)^alpha N^(1 - alpha) documents would disclose the entity as well.
     cover = [by_shape.get(-1 - k, 0) for k in range(len(SHAPES))]
     floor = F.pow(F.col("n_e").cast("double"), F.lit(alpha)) * F.lit(float(max(total, 1)) ** (1 - alpha))
-    return out.select("e", "t", kind.alias("kind"), floor.alias("floor")), cover
+    out = core.stored(out.select("e", "t", kind.alias("kind"), floor.alias("floor")), "disclosing")
+    # Only terms that a text has meet its entities, so a hot entity makes no more rows than its texts have such terms.
+    rows = core.arrow_map(picked.select("doc_id", "text", "entities", F.xxhash64("text").alias("mark")), _told(_term_filter(spark, out), related), "doc_id long, mark long, e long, t long")
+    return rows.join(out, ["e", "t"]), cover
 
 
 def _mark_terms(cover: list[int]):
@@ -329,12 +375,13 @@ def _mark_terms(cover: list[int]):
     return fn
 
 
-def find_pii(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def find_pii(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, related: bool = False) -> DataFrame:
     """Find personal data and the terms that disclose it.
 
     Returns doc_id, mark (a hash of the text), the base's counts and digest,
     and ``spans``: array<struct<s, k, e>> by start and kind (code points, end
-    exclusive; k indexes ``KINDS``).
+    exclusive; k indexes ``KINDS``).  With ``related``, accounts, hosts and
+    networks are protected beside whole values.
 
     Null or empty text: no spans.  Repeated rows get the same spans; rows of
     one id count as one document, whose texts are taken together.  A null
@@ -343,9 +390,8 @@ def find_pii(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> D
     empty table.
     """
     texts = core.id_text(docs).withColumn("mark", F.xxhash64("text"))
-    found = core.stored(core.arrow_map(texts, _find, _FOUND), "pii")
-    terms, cover = disclosing_terms(docs, found, alpha, support)
-    told = found.where(F.size("entities") > 0).select("doc_id", "mark", F.explode("entities").alias("e")).join(terms, "e")
+    found = core.stored(core.arrow_map(texts, _find(related), _FOUND), "pii")
+    told, cover = disclosing_terms(docs, found, alpha, support, related)
     told = told.groupBy("doc_id", "mark", "t").agg(F.max("kind").alias("k"), F.max("floor").alias("f")).groupBy("doc_id", "mark")
     told = core.stored(told.agg(F.collect_list(F.struct("t", "k", "f")).alias("terms")), "told")
     picked = core.pick(core.id_text(docs), core.id_filter(docs.sparkSession, told.select(F.col("doc_id").alias("id"))))
@@ -397,7 +443,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_pii(core.documents(spark, sf_dir).select("doc_id", "text"))
+    out = find_pii(core.documents(spark, sf_dir).select("doc_id", "text"), related=True)
     return core.give_back_ids(out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text(F.col("spans")).alias("spans")))
 
 

@@ -916,6 +916,29 @@ def test_disclosing_terms_equal_brute_force(spark):
     assert len(out) == len(rows) and not [r.text for r in out if "@" in r.text]
 
 
+def test_related_entities_equal_brute_force(spark):
+    """Accounts, hosts and networks are protected too: a host's name beside its addresses goes, a repeated row changes nothing."""
+    rng = random.Random(8)
+    rows = [(i, f"mail acct{i}@host{i % 3}.example the Firm{i % 3} desk word{rng.randrange(40)} from 10.0.{i % 4}.{i} rack{i % 4}x{i % 2}") for i in range(36)]
+    rows += [(100 + i, f"mail the desk word{rng.randrange(40)} from here") for i in range(300)]
+
+    def parts(k, v):
+        return {(k, v), *({("account", v.split("@")[0]), ("host", v.split("@")[1])} if k == 0 else {("network", v.rsplit(".", 1)[0])} if k == 1 else ())}
+
+    own = {i: set().union(*[parts(k, t[s:e]) for s, k, e in brute_pii(t)]) for i, t in rows}
+    words = {i: {w.decode() for w in toks(t) if not re.search(rb"@|\.", w)} for i, t in rows}
+    n_e, n_t = Counter(e for x in own.values() for e in x), Counter(w for x in words.values() for w in x)
+    n_et = Counter((e, w) for i in own for e in own[i] for w in words[i])
+    bad = {x for x, k in n_et.items() if k >= 2 and n_e[x[0]] < len(rows) and math.log(len(rows) * k / (n_e[x[0]] * n_t[x[1]])) >= pii.ALPHA * math.log(len(rows) / n_e[x[0]]) - 1e-12}
+    want = {i: {w for w in words[i] if any((e, w) in bad for e in own[i])} for i in own}
+    assert {"firm0", "firm1", "firm2"} <= set().union(*want.values())
+    for more in ([], rows[:1]):
+        got = pii.find_pii(frame(spark, rows + more), related=True).collect()
+        texts = dict(rows)
+        assert all({texts[r.doc_id][x.s : x.e].lower() for x in r.spans if x.k >= 4} == want[r.doc_id] for r in got)
+    assert not any(x.k >= 4 and "Firm" in texts[r.doc_id][x.s : x.e] for r in pii.find_pii(frame(spark, rows)).collect() for x in r.spans)
+
+
 def test_repeated_rows_change_no_finding(spark):
     rows = [(i, f"ask Zyxwv{k} or Qrst{k} at zy{k}@corp.example") for i in range(6) for k in [i % 2]] + [(100 + i, f"ask anybody or at home number {i}") for i in range(200)]
     find = lambda x: {(r.doc_id, str(r.spans)) for r in pii.find_pii(frame(spark, x)).collect()}
