@@ -83,7 +83,8 @@ class Model:
         return np.concatenate([z, np.minimum(z * z, 16) / 4, np.ones((len(z), 1))], axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.inputs(x) @ self.weights, -30, 30)))
+        # Added up row by row, so that a text's score does not depend on its batch.
+        return 1 / (1 + np.exp(-np.clip((self.inputs(x) * self.weights).sum(axis=1), -30, 30)))
 
 
 def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.03, decay: float = 1e-4) -> Model:
