@@ -8,9 +8,10 @@ least length asked for are kept, about 2 n / T of n positions.
 
 Windows of two texts with one hash are joined on it: laid over each other at c
 they share the interval that both cover, which must be long enough.  Pairs that
-meet so under enough hash functions are candidates; both texts then meet, the
-shingles of one are marked in the other, and runs of at least the least length
-that are matched to the share asked for are near-duplicate passages.
+meet so under enough hash functions are candidates; both texts then meet and are
+aligned: shingles of one are tied to places in the other, in order.  A stretch
+of the alignment that is matched to the share asked for, gaps of both texts
+counted, is a near-duplicate passage.
 
 The join is a sweep.  Windows of a hash that reach equally far to both sides
 have one extent (there are at most (T + 1)^2, as further reach does not count);
@@ -189,6 +190,18 @@ def _sweep(least: int):
     return run
 
 
+def stretches(s: np.ndarray, e: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, matched) for marked runs [s, e): the stretches from one run to another that are matched to pct % and that no other such stretch holds."""
+    until = np.cumsum(e - s)
+    before = until - (e - s)
+    # A stretch of runs k to m is matched enough if gain[m] >= loss[k].
+    loss, gain = 100 * before - pct * s, 100 * until - pct * e
+    best = np.maximum.accumulate(gain[::-1])[::-1]
+    far = np.searchsorted(-best, -loss, "right") - 1
+    keep = np.diff(np.maximum.accumulate(far), prepend=-1) > 0
+    return np.flatnonzero(keep), far[keep], (until[far] - before)[keep]
+
+
 def runs(hit: np.ndarray, pct: int, least: int) -> list[tuple[int, int, int]]:
     """(start, end, matched) of the stretches from a marked place to a marked one, matched to pct %, of at least ``least`` places.
 
@@ -198,14 +211,90 @@ def runs(hit: np.ndarray, pct: int, least: int) -> list[tuple[int, int, int]]:
     s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(s):
         return []
-    until = np.cumsum(e - s)
-    before = until - (e - s)
-    # A stretch of runs k to m is matched enough if gain[m] >= loss[k].
-    loss, gain = 100 * before - pct * s, 100 * until - pct * e
-    best = np.maximum.accumulate(gain[::-1])[::-1]
-    far = np.searchsorted(-best, -loss, "right") - 1
-    keep = (np.diff(np.maximum.accumulate(far), prepend=-1) > 0) & (e[far] - s >= least)
-    return list(zip(s[keep].tolist(), e[far[keep]].tolist(), (until[far] - before)[keep].tolist(), strict=True))
+    first, last, matched = stretches(s, e, pct)
+    ok = e[last] - s[first] >= least
+    return list(zip(s[first[ok]].tolist(), e[last[ok]].tolist(), matched[ok].tolist(), strict=True))
+
+
+class Leader:
+    """A leader's shingles, to which those of members are aligned, and what members found of it."""
+
+    def __init__(self, seq: np.ndarray) -> None:
+        n = len(seq)
+        self.n = n
+        self.order = np.argsort(seq, kind="stable")
+        self.ranked = seq[self.order]
+        #: Ascends, so that a place near another can be looked up among those of one shingle.
+        self.key = np.searchsorted(self.ranked, self.ranked) * (n + 1) + self.order
+        self.mark = np.zeros(n, bool)
+        self.found: list[tuple[int, int]] = []
+
+    def _near(self, want: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places order[lo:hi] the one nearest to ``want``, and how far it is."""
+        k = np.clip(np.searchsorted(self.key, lo * (self.n + 1) + np.clip(want, 0, self.n)), lo, hi - 1)
+        x, y = self.order[np.maximum(k - 1, lo)], self.order[k]
+        x, y = np.where(abs(x - want) <= abs(y - want), x, y), abs(x - want)
+        return x, np.minimum(y, abs(x - want))
+
+    def align(self, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``own`` that the leader has as well, and where.
+
+        A shingle that the leader has several times goes where the nearest
+        shingle with one place, before or behind it, lets it be expected.  A
+        few that leave the order which those around them keep are let go.
+        """
+        lo, hi = np.searchsorted(self.ranked, own), np.searchsorted(self.ranked, own, "right")
+        i = np.flatnonzero(hi > lo)
+        if not len(i):
+            return i, i
+        lo, hi = lo[i], hi[i]
+        p = self.order[lo].copy()
+        many = np.flatnonzero(hi - lo > 1)
+        if len(many):
+            once = np.flatnonzero(hi - lo == 1)
+            shift = p[once] - i[once] if len(once) else np.zeros(1, np.int64)
+            at = np.searchsorted(once, many)
+            one, far = self._near(i[many] + shift[np.maximum(at - 1, 0)], lo[many], hi[many])
+            two, near = self._near(i[many] + shift[np.minimum(at, len(shift) - 1)], lo[many], hi[many])
+            p[many] = np.where(far <= near, one, two)
+        start = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(p) != 1)]))
+        if len(start) > 2:
+            end = np.append(start[1:], len(i))
+            before, behind = p[end[:-2] - 1], p[start[2:]]
+            stray = (end - start)[1:-1] < size
+            stray &= (before < behind) & ~((before < p[start[1:-1]]) & (p[end[1:-1] - 1] < behind))
+            keep = np.repeat(np.concatenate([[True], ~stray, [True]]), end - start)
+            i, p = i[keep], p[keep]
+        return i, p
+
+    def passages(self, own: np.ndarray, size: int, pct: int, least: int) -> list[tuple[int, int, int]]:
+        """(start, end, matched) in ``own`` of the passages that both texts have; their places here are kept."""
+        i, p = self.align(own, size)
+        if len(i) * 100 < least * pct:
+            return []
+        # Columns of the alignment; where the leader's places do not go on, no passage does.
+        step = np.where(np.diff(p) > 0, np.maximum(np.diff(i), np.diff(p)), 4 * (len(own) + self.n))
+        u = np.concatenate([[0], np.cumsum(step)])
+        first = np.flatnonzero(np.concatenate([[True], step != 1]))
+        last = np.append(first[1:] - 1, len(u) - 1)
+        k, m, matched = stretches(u[first], u[last] + 1, pct)
+        a, z = first[k], last[m]
+        ok = i[z] - i[a] + 1 >= least
+        a, z, matched = a[ok], z[ok], matched[ok]
+        for x, y in zip(a.tolist(), z.tolist(), strict=True):
+            self.mark[p[x : y + 1]] = True
+            self.found.append((int(p[x]), int(p[y]) + 1))
+        return list(zip(i[a].tolist(), (i[z] + 1).tolist(), matched.tolist(), strict=True))
+
+    def own_passages(self, least: int) -> list[tuple[int, int, int]]:
+        """(start, end, matched) of what members found, overlapping places put together."""
+        out: list[list[int]] = []
+        for s, e in sorted(self.found):
+            if out and s < out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([s, e])
+        return [(s, e, int(self.mark[s:e].sum())) for s, e in out if e - s >= least]
 
 
 def _passages(size: int, pct: int, least: int):
@@ -213,12 +302,12 @@ def _passages(size: int, pct: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        leaders: list[list] = []  # [shingles in order, sorted, marked places]
+        leaders: list[Leader] = []
         out: list[tuple] = []
 
         def close() -> None:
-            for seq, _, mark in leaders:
-                out.extend((group[0], group[0], s, e + size - 1, m / (e - s)) for s, e, m in runs(mark, pct, least))
+            for lead in leaders:
+                out.extend((group[0], group[0], s, e + size - 1, m / (e - s)) for s, e, m in lead.own_passages(least))
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
@@ -237,17 +326,10 @@ def _passages(size: int, pct: int, least: int):
                         close()
                         group, leaders = key, []
                     if role[k] == 0:
-                        leaders.append([own.copy(), np.sort(own), np.zeros(len(own), bool)])
-                        continue
-                    for lead in leaders:
-                        if not len(lead[1]) or not len(own):
-                            continue
-                        at = np.minimum(np.searchsorted(lead[1], own), len(lead[1]) - 1)
-                        found = runs(lead[1][at] == own, pct, least)
-                        if found:
-                            out.extend((ids[k], a[k], s, e + size - 1, m / (e - s)) for s, e, m in found)
-                            inside = np.concatenate([own[s:e] for s, e, _ in found])
-                            lead[2] |= np.isin(lead[0], inside)
+                        leaders.append(Leader(own))
+                    elif len(own):
+                        for lead in leaders:
+                            out.extend((ids[k], a[k], s, e + size - 1, m / (e - s)) for s, e, m in lead.passages(own, size, pct, least))
             if out:
                 yield flush()
         close()
@@ -263,7 +345,9 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, pct: int = PCT, s
     Returns a row for each document and passage: doc_id, class_id (the
     document the passage was matched with; its own id for that document),
     start_word, end_word (exclusive) and the share of the passage's shingles
-    that match.  Words are numbered from 0.
+    that match.  Words are numbered from 0.  Matched shingles stand in the same
+    order in both, and both passages are matched to ``pct`` %: pieces that the
+    other text scatters make no passage.
 
     Texts shorter than a passage (empty and null ones too) have none.  Repeats
     inside one document, and between rows of one id, do not count.  A null

@@ -711,6 +711,40 @@ def test_recall_of_near_passages(spark, share):
     assert sum(i in got and i + 1 in got for i in want) >= 0.9 * len(want)
 
 
+def test_scattered_pieces_are_no_passage(spark):
+    rng = random.Random(6)
+    w = lambda n: [f"t{rng.randrange(10**7)}" for _ in range(n)]
+    p, pieces = w(70), [w(25) for _ in range(6)]
+    one = w(30) + p + [x for piece in pieces for x in w(60) + piece] + w(30)
+    two = w(30) + p + [x for piece in pieces for x in piece] + w(30)
+    got = {(r.doc_id, r.class_id, r.start_word, r.end_word, r.shared) for r in substring_dedup.repeated_passages(frame(spark, [(1, " ".join(one)), (2, " ".join(two))])).collect()}
+    assert got == {(1, 1, 30, 100, 1.0), (2, 1, 30, 100, 1.0)}
+
+
+def test_alignment_of_passages():
+    rng = np.random.default_rng(9)
+    w = lambda n: rng.integers(1 << 20, 1 << 62, n, dtype=np.uint64)
+    p, q, common = w(60), w(60), w(3)
+    # The passages change places; each is found for itself, on both sides.
+    lead = substring_dedup.Leader(np.concatenate([w(10), p, w(5), q, w(10)]))
+    assert lead.passages(np.concatenate([q, w(2), p]), 5, 75, 46) == [(0, 60, 60), (62, 122, 60)]
+    assert lead.own_passages(46) == [(10, 70, 60), (75, 135, 60)]
+    # Shingles that the leader has many times go where the passage has them; a stray one does not cut it.
+    x = np.concatenate([p[:20], common, p[20:], w(4)])
+    lead = substring_dedup.Leader(np.concatenate([common, w(9), common, x, common, q[:1]]))
+    own = x.copy()
+    own[30] = q[0]
+    assert lead.passages(own, 5, 75, 46) == [(0, len(x), len(x) - 1)]
+    # A text of one shingle only, and one with nothing in common.
+    lead = substring_dedup.Leader(np.full(80, 7, np.uint64))
+    assert lead.passages(np.full(70, 7, np.uint64), 5, 75, 46) == [(0, 70, 70)]
+    assert lead.passages(w(70), 5, 75, 46) == [] == substring_dedup.Leader(w(0)).passages(w(70), 5, 75, 46)
+    # Words put in or left out on either side count as gaps.
+    lead = substring_dedup.Leader(np.concatenate([p[:30], w(15), p[30:]]))
+    assert lead.passages(p, 5, 75, 46) == [(0, 60, 60)] and lead.own_passages(46) == [(0, 75, 60)]
+    assert substring_dedup.Leader(np.concatenate([p[:30], w(40), p[30:]])).passages(p, 5, 75, 46) == []
+
+
 def test_runs_against_all_stretches():
     m = np.zeros(80, bool)
     m[0:5] = m[15:40] = m[48:68] = True
