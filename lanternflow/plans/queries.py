@@ -543,10 +543,12 @@ def q_event_lines(spark, sf_dir):
     return sinks.event_log_lines(plan(spark, sf_dir).events)
 
 
-@query("SELECT 'cam' AS clip_id, i AS frame_idx, round(i / 25e0, 6) AS ts_s FROM range(0, 50000, 3) t(i)")
+@query(
+    """SELECT 'clip0' AS clip_id, frame_idx, round(frame_idx / 15e0, 6) AS ts_s
+    FROM (SELECT unnest(range(0, n, 3)) AS frame_idx FROM (SELECT max(event_id // 12) + 1 AS n FROM events))"""
+)
 def q_clip_frames(spark, sf_dir):
-    from lanternflow.sources.files import ClipSource
+    from lanternflow.sources.files import clip_frames
 
-    spark.dataSource.register(ClipSource)
-    clip = spark.read.format("clip").options(clip_id="cam", frame_count=50_000, fps=25, stride=3).load()
-    return clip.select("clip_id", "frame_idx", r6("ts_s").alias("ts_s"))
+    clips = T.frames(spark, sf_dir).groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("frame_count"), F.max("fps").alias("fps"))
+    return clip_frames(clips, 3).select("clip_id", "frame_idx", r6("ts_s").alias("ts_s"))

@@ -67,6 +67,24 @@ def clips(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return t.withColumn("fps", F.coalesce(F.when(F.col("fps") > 0, F.col("fps")), F.lit(30.0)))
 
 
+def clip_frames(clips: DataFrame, stride: int = 1, per_row: int = 10_000) -> DataFrame:
+    """The sampled frames of every clip of a table: clip_id, frame_idx, ts_s.
+
+    ``clips`` has clip_id, frame_count and fps (0 or null: 30).  A long clip is
+    cut to spans of ``per_row`` frames that are dealt out before they become
+    rows, so no task holds a clip.  A clip without frames, or whose count is
+    null, gives none; equal rows give their frames each.
+    """
+    step = max(1, stride)
+    fps = F.coalesce(F.when(F.col("fps") > 0, F.col("fps").cast("double")), F.lit(30.0))
+    cut = F.expr(f"explode(sequence(0L, (frame_count - 1) div {per_row}L))")
+    spans = clips.where("frame_count > 0").select("clip_id", F.col("frame_count").cast("long").alias("frame_count"), fps.alias("fps")).select("*", cut.alias("span"))
+    first = F.expr(f"(span * {per_row}L + {step - 1}L) div {step}L * {step}L")
+    dealt = spans.repartition("clip_id", "span").select("*", first.alias("first"), F.expr(f"least(frame_count, (span + 1L) * {per_row}L) - 1L").alias("last"))
+    found = dealt.where("first <= last").select("clip_id", "fps", F.expr(f"explode(sequence(first, last, {step}L))").alias("frame_idx"))
+    return found.select("clip_id", "frame_idx", (F.col("frame_idx") / F.col("fps")).alias("ts_s"))
+
+
 def manifest_names(text: str) -> list[str]:
     """Class names of a YAML manifest; a mapping is ordered by its keys as numbers."""
     import yaml

@@ -146,6 +146,15 @@ def test_clip_metadata(spark):
     assert [r.fps for r in rows] == [30.0, 25.0, 30.0]
 
 
+def test_frames_of_a_table_of_clips(spark):
+    rows = [("a", 10, 5.0), ("b", 7, 0.0), ("c", 0, 1.0), ("d", None, 1.0), ("e", 1, None)]
+    clips = spark.createDataFrame(rows, "clip_id string, frame_count long, fps double")
+    for stride in (1, 3, 4, 20):
+        want = sorted((c, i, i / (fps or 30.0)) for c, n, fps in rows for i in range(0, n or 0, stride))
+        for per_row in (1, 2, 5, 100):
+            assert sorted(map(tuple, files.clip_frames(clips, stride, per_row).collect())) == want
+
+
 def test_label_tree(spark, tmp_path):
     imgs = spark.createDataFrame([("train", "x"), ("test", "y"), ("train", "z")], "split string, image_stem string")
     rows = spark.createDataFrame([("train", "x", 1, "b"), ("train", "x", 0, "a"), ("train", "z", 0, "c")], "split string, image_stem string, line_no int, line string").repartition(3)
