@@ -64,7 +64,7 @@ def test_stages_and_run(spark, table):
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "pii", "packing"]
     names = [q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")]
-    assert sorted(names) == sorted(f"op{k}" for k in range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(names) == sorted(f"op{k}" for k in range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
