@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternflow.config import DEFAULT
 from lanternflow.functions import geometry as G
 from lanternflow.operators import analysis, annotate, debounce, detect, gate, labels
 from lanternflow.plans.flagship import Detections
@@ -552,3 +553,24 @@ def q_clip_frames(spark, sf_dir):
 
     clips = T.frames(spark, sf_dir).groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("frame_count"), F.max("fps").alias("fps"))
     return clip_frames(clips, 3).select("clip_id", "frame_idx", r6("ts_s").alias("ts_s"))
+
+
+@query(_with("""SELECT min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n
+  FROM (SELECT *, sum(CASE WHEN frame_idx - before <= 1 THEN 0 ELSE 1 END) OVER (ORDER BY frame_idx, det_ord) AS track
+    FROM (SELECT frame_idx, det_ord, lag(frame_idx) OVER (ORDER BY frame_idx, det_ord) AS before FROM det WHERE class_id = 2 AND confidence >= 0.35e0)) GROUP BY track""", "det"))
+def q_tracks(spark, sf_dir):
+    """The tracker hook with the plainest tracker: vehicles seen without a frame between are one track."""
+    from lanternflow.operators.tracking import ByValue, tracked
+
+    rows = T.detector_rows(spark, sf_dir).where((F.col("class_id") == 2) & (F.col("confidence") >= DEFAULT.conf))
+    found = tracked(rows, lambda: ByValue("class_id", 1), forgets_after=1)
+    return found.groupBy("track_id").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count("*").alias("n")).drop("track_id")
+
+
+@query(_with("""SELECT count(*) AS late_rows FROM (SELECT CAST(trunc((frame_idx / 15e0 + 86400) * 1000000) AS BIGINT) AS us FROM det)
+  WHERE us <= (SELECT max(CAST(trunc((frame_idx / 15e0 + 86400) * 1000000) AS BIGINT)) FROM det) // 1000 * 1000 - 2000000""", "det"))
+def q_late_rows(spark, sf_dir):
+    """Detections played twice through a stream that restarts; what the second run drops as late."""
+    from lanternflow.streaming.late import replay_late
+
+    return replay_late(T.detector_rows(spark, sf_dir), ["clip_id", "det_ord"])
