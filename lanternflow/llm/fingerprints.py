@@ -33,6 +33,10 @@ RANGE = 4 << 20
 RANGES = 1 << 20
 #: Bytes of text taken at once.
 STEP = 1 << 20
+#: Weighted terms whose samples are held at once (8 bytes for each term and sample).
+RUN = 1 << 15
+#: Ranges of ids that one task streams, where there are over PARTS of them.
+STREAM, PARTS = 16, 1024
 #: Marks an empty text's samples; no other sample has it.
 NONE = 0xFFFF
 
@@ -84,27 +88,38 @@ def fingerprints(data: np.ndarray, off: np.ndarray, samples: int = SAMPLES) -> n
     at = np.flatnonzero(np.diff(key, prepend=-1))
     weight = np.diff(np.append(at, len(key)))
     doc, term = np.divmod(key[at], len(terms))
-    top = int(weight.max()) + 1
-    pair, back = _distinct(term * top + weight)
-    table = weighted_samples(terms[pair // top], pair % top, samples)
-    full = np.flatnonzero(np.bincount(doc, minlength=n))
-    first = np.searchsorted(doc, full)
+    least = np.empty((n, samples), np.uint64)
+    # Long texts: their samples are drawn run by run and only the least are held.
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
     stop = np.append(first[1:], len(doc))
-    # Texts in runs of bounded size: a run's rows are gathered and the least taken for each text.
-    i = 0
-    while i < len(full):
-        j = max(i + 1, int(np.searchsorted(stop, first[i] + 60_000, "right")))
-        if j == i + 1 and stop[i] - first[i] > 60_000:
-            least = np.full(samples, ~U64(0))
-            for s in range(first[i], stop[i], 60_000):
-                least = np.minimum(least, table[back[s : min(s + 60_000, stop[i])]].min(axis=0))
-            least = least[None]
-        else:
-            least = np.minimum.reduceat(table[back[first[i] : stop[j - 1]]], first[i:j] - first[i], axis=0)
-        got = (least & U64(0xFFFF)).astype(np.uint16)
-        got[got == NONE] = NONE - 1
-        out[full[i:j]] = got
-        i = j
+    long = stop - first > RUN
+    for s, e in zip(first[long].tolist(), stop[long].tolist(), strict=True):
+        best = np.full(samples, ~U64(0))
+        for i in range(s, e, RUN):
+            j = min(i + RUN, e)
+            best = np.minimum(best, weighted_samples(terms[term[i:j]], weight[i:j], samples).min(axis=0))
+        least[doc[s]] = best
+    # The rest: weighted terms of several texts are drawn once, in runs of terms; each run lowers the texts that have them.
+    rest = np.repeat(~long, stop - first)
+    doc_r, term_r, weight_r = doc[rest], term[rest], weight[rest]
+    if len(doc_r):
+        top = int(weight_r.max()) + 1
+        pair, back = _distinct(term_r * top + weight_r)
+        short = doc[first[~long]]
+        least[short] = ~U64(0)
+        for i in range(0, len(pair), RUN):
+            table = weighted_samples(terms[pair[i : i + RUN] // top], pair[i : i + RUN] % top, samples)
+            of = np.flatnonzero((back >= i) & (back < i + RUN)) if len(pair) > RUN else np.arange(len(back))
+            # Rows gathered at once: a run of the same size, each with whole or parted texts.
+            for u in range(0, len(of), RUN):
+                own = of[u : u + RUN]
+                d = doc_r[own]
+                at = np.flatnonzero(np.diff(d, prepend=-1))
+                least[d[at]] = np.minimum(least[d[at]], np.minimum.reduceat(table[back[own] - i], at, axis=0))
+    full = doc[first]
+    got = (least[full] & U64(0xFFFF)).astype(np.uint16)
+    got[got == NONE] = NONE - 1
+    out[full] = got
     return out
 
 
@@ -254,7 +269,8 @@ def compare_neighbours(docs: DataFrame, samples: int = SAMPLES, room: int = RANG
     before = F.pmod(own - 1, F.lit(n)).cast("int")
     spots = F.when(F.col("code") % 2 == 1, F.array(spot(own, 0), spot(before, 1))).otherwise(F.array(spot(own, 0)))
     sent = rows.withColumn("spot", F.explode(spots)).select("spot.range", "spot.look", "doc_id", "mark", "text")
-    dealt = sent.repartitionById(n, F.col("range")).sortWithinPartitions("range", "look", "doc_id", "mark")
+    parts = min(n, max(PARTS, -(-n // STREAM)))
+    dealt = sent.repartitionById(parts, F.pmod("range", F.lit(parts)).cast("int")).sortWithinPartitions("range", "look", "doc_id", "mark")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return core.give_back_ids(dealt.select("range", "look", "doc_id", "text").mapInArrow(_compare(samples), schema))
 

@@ -823,6 +823,34 @@ def test_neighbours(docs, room):
     assert {(g[0], g[3]) for g in got} == alone
 
 
+def test_fingerprints_do_not_depend_on_runs(monkeypatch):
+    """Long texts are drawn run by run, the others' terms in runs: whatever their size, the samples are the same."""
+    rng = random.Random(12)
+    texts = [" ".join(f"t{rng.randrange(4000)}" for _ in range(rng.randrange(900))) for _ in range(60)] + ["", " ".join(f"w{i}" for i in range(3000)), "a a b"]
+    want = fingerprints.fingerprints(*fingerprints._encode(texts))
+    for run in (64, 500, 5000):
+        monkeypatch.setattr(fingerprints, "RUN", run)
+        assert (fingerprints.fingerprints(*fingerprints._encode(texts)) == want).all()
+
+
+def test_fingerprint_of_a_text_of_many_words_is_bounded():
+    """A million distinct words: what is held beside the words is a run's samples, not a million's (512 MB)."""
+    import tracemalloc
+
+    data, off = fingerprints._encode([" ".join(f"w{i}" for i in range(1_000_000))])
+    tracemalloc.start()
+    fingerprints.fingerprints(data, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
+def test_ranges_stream_through_fewer_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} and {i % 7}") for i in range(200)], "doc_id long, text string")
+    want = sorted(map(tuple, fingerprints.compare_neighbours(docs).collect()))
+    monkeypatch.setattr(fingerprints, "PARTS", 3)
+    assert sorted(map(tuple, fingerprints.compare_neighbours(docs, room=20).collect())) == want
+
 def test_likeness_estimates_generalised_jaccard():
     rng = random.Random(8)
     texts = [" ".join(f"t{i // 2}{x}" for x in words(rng, 150, 300)) for i in range(120)]
