@@ -117,15 +117,22 @@ def banner_stream(frames: DataFrame, events: DataFrame, lookback_s: float = BANN
 
     A time-interval join with watermarks on both sides: an event's state goes
     once frames have passed it by the lookback, a frame's once events have.
+    Time is cut to slots of the lookback (of a second without one) and an event
+    is sent to all that it can reach, so the join is an equality on (clip, slot):
+    an event meets the frames of its slots, not all that the clip has in state.
     Rows are (clip_id, frame_idx, line); a frame without an event has none.
     """
-    f = timed(frames.select("clip_id", "frame_idx", "ts_s"), "ts_s", delay_s).withColumnRenamed("event_time", "frame_time").alias("f")
-    e = timed(events.select("clip_id", "event_type", "end_timestamp_s"), "end_timestamp_s", delay_s).alias("e")
+    slot = lambda c: F.floor(c / F.lit(lookback_s if lookback_s > 0 else 1.0))
+    f = timed(frames.select("clip_id", "frame_idx", "ts_s"), "ts_s", delay_s).withColumnRenamed("event_time", "frame_time").withColumn("slot", slot(F.col("ts_s"))).alias("f")
+    # A frame has one slot, so one more for an event makes no row twice; the millisecond covers what rounding moves.
+    end = F.col("end_timestamp_s")
+    reach = F.explode(F.sequence(slot(end), slot(end + F.lit(max(lookback_s, 0.0) + 0.001))))
+    e = timed(events.select("clip_id", "event_type", "end_timestamp_s"), "end_timestamp_s", delay_s).withColumn("slot", reach).alias("e")
     back = F.expr(f"INTERVAL {int(lookback_s * 1_000_000)} MICROSECONDS")
     near = (F.col("e.event_time") <= F.col("frame_time")) & (F.col("e.event_time") >= F.col("frame_time") - back)
     # Event times are whole microseconds; the seconds decide at the borders.
     exact = (F.col("end_timestamp_s") <= F.col("ts_s")) & (F.col("end_timestamp_s") >= F.col("ts_s") - F.lit(lookback_s))
-    joined = f.join(e, (F.col("f.clip_id") == F.col("e.clip_id")) & near & exact)
+    joined = f.join(e, (F.col("f.clip_id") == F.col("e.clip_id")) & (F.col("f.slot") == F.col("e.slot")) & near & exact)
     return joined.select("f.clip_id", "frame_idx", F.concat(F.lit("RISK: "), "event_type").alias("line"))
 
 

@@ -8,7 +8,7 @@ from lanternflow.operators.analysis import active_banner
 from lanternflow.operators.annotate import banner_lines
 from lanternflow.operators.debounce import Thresholds, candidates, debounce, first_candidates, streaks
 from lanternflow.schema import EVENTS
-from lanternflow.streaming.debounce import IDLE, closing_rows, debounce_stream, fold, late_rows, replay, replay_banner, run_to
+from lanternflow.streaming.debounce import IDLE, banner_stream, closing_rows, debounce_stream, fold, late_rows, replay, replay_banner, run_to
 
 T = Thresholds(0.5, 0.5, 5.0, 0.15)
 SCHEMA = "clip_id string, frame_idx long, ts_s double, vehicle_ord long, vehicle_track_id long, score double, track_ids array<long>"
@@ -129,6 +129,19 @@ def test_banner_stream_equals_batch(spark):
     assert {tuple(r) for r in replay_banner(frames, events).collect()} == want and len(want) > 90
 
 
+@pytest.mark.parametrize("lookback", [3.0, 0.1, 0.0])
+def test_banner_stream_joins_by_slots(spark, capsys, lookback):
+    """An event meets frames of its slots only, not all frames of its clip; none is lost at the lookback's borders."""
+    shown, ended = [i / 10.0 for i in range(1200)], [(t, i / 10.0) for i in range(0, 1200, 7) for t in ("weapon", "dwell")]
+    frames = spark.createDataFrame([("c", i, x) for i, x in enumerate(shown)], "clip_id string, frame_idx long, ts_s double")
+    events = spark.createDataFrame([("c", t, 0.0, x, 0, 0, 0.9, [1]) for t, x in ended], EVENTS)
+    banner_stream(frames, events, lookback).explain()
+    joins = [x for x in capsys.readouterr().out.splitlines() if "Join" in x]
+    assert len(joins) == 1 and joins[0].count("slot") >= 2
+    want = {("c", i, f"RISK: {t}") for i, x in enumerate(shown) for t, end in ended if x - lookback <= end <= x}
+    assert {tuple(r) for r in replay_banner(frames, events, lookback).collect()} == want and len(want) > 300
+
+
 def test_long_key_is_cut_into_pieces(spark):
     """A key that never rests is folded between the gaps, with the events of the whole fold."""
     rng = random.Random(6)
