@@ -148,8 +148,9 @@ class Model:
         rows = [(((f ^ node) * U64(0xD6E8FEB86659FD93)) >> U64(48)).astype(np.uint16) for f in hist[: FEATURES[k]]]
         w = self.weights[k]
         x = np.take(self.start[k], before, axis=0)
+        own = np.empty_like(x)
         for r in rows:
-            x += np.take(w, r, axis=0)
+            x += np.take(w, r, axis=0, out=own, mode="clip")  # a row is below BUCKETS; any other mode copies
         np.clip(x, -30, 30, out=x)
         e = np.exp(x)
         return rows, x, e, e @ _ONES
@@ -171,19 +172,51 @@ class Model:
             before, digit = word >> (BITS * (LEVELS - k)), (word >> (BITS * (LEVELS - 1 - k))) & (FAN - 1)
             rows, _, g, z = self.softmax(k, hist, before)
             g /= z[:, None]
-            g[at, digit] -= 1
+            g.reshape(-1)[at * FAN + digit] -= 1
             w, seen = self.weights[k], square[k]
             for r in rows:
-                order = np.argsort(r, kind="stable")
-                own = r[order]
-                new = np.ones(len(own), bool)
-                new[1:] = own[1:] != own[:-1]
-                cut = np.flatnonzero(new)
-                total = np.add.reduceat(np.take(g, order, axis=0), cut, axis=0)
-                use = own[cut]
-                seen[use] += np.einsum("ij,ij->i", total, total)
-                total *= (rate / np.sqrt(seen[use] + 1))[:, None]
-                w[use] -= total
+                use, total = sum_by_row(g, r)
+                grown = np.take(seen, use) + np.einsum("ij,ij->i", total, total)
+                seen[use] = grown
+                total *= (rate / np.sqrt(grown + 1))[:, None]
+                now = np.take(w, use, axis=0)
+                now -= total
+                put_rows(w, use, now)
+
+
+def sum_by_row(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in ``r``, sorted, and the sum of ``g`` over each; most occur once, and only the others are added up."""
+    order = np.argsort(r, kind="stable")
+    own = np.take(r, order)
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    cut = np.flatnonzero(new)
+    size = np.empty(len(cut), np.int64)
+    np.subtract(cut[1:], cut[:-1], out=size[:-1])
+    size[-1:] = len(own) - cut[-1:]
+    total = np.take(g, np.take(order, cut), axis=0)
+    more = np.flatnonzero(size > 1)
+    if len(more):
+        n = size[more]
+        first = np.cumsum(n) - n
+        places = np.repeat(cut[more] - first, n) + np.arange(n.sum())
+        put_rows(total, more, np.add.reduceat(np.take(g, order[places], axis=0), first, axis=0))
+    return np.take(own, cut).astype(np.intp), total
+
+
+def put_rows(w: np.ndarray, use: np.ndarray, rows: np.ndarray) -> None:
+    """``w[use] = rows``, each row as one value of its bytes, which NumPy stores far faster than rows of a matrix."""
+    whole = np.dtype((np.void, w.shape[1] * w.itemsize))
+    np.put(w.view(whole), use, rows.view(whole))
+
+
+def aligned(w: np.ndarray) -> np.ndarray:
+    """A copy whose rows of ``FAN`` begin at cache lines, so that reading one touches one line and not two."""
+    raw = np.empty(w.nbytes + 64, np.uint8)
+    first = -raw.ctypes.data % 64
+    out = raw[first : first + w.nbytes].view(w.dtype).reshape(w.shape)
+    out[...] = w
+    return out
 
 
 _ONES = np.ones(FAN, np.float32)
@@ -202,7 +235,7 @@ def train_on(model: Model, square: np.ndarray, block: Block, turn: int, rounds:
 
 def _train(model, turn: int, rounds: int, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(model.value.weights.copy(), model.value.start)
+        own = Model(aligned(model.value.weights), model.value.start)
         square, used = np.zeros((LEVELS, BUCKETS), np.float32), 0
         for b in batches:
             for block in Block.each(b, "held", "first", "vocab", "tokens"):
@@ -279,6 +312,7 @@ def _scorer(model, mass: np.ndarray, room: np.ndarray):
 
     def fn(key: tuple, blocks: pa.Table, counts: pa.Table) -> pa.Table:
         out = []
+        own = Model(aligned(model.value.weights), model.value.start)
         order = np.argsort(counts.column("part").to_numpy())
         c = np.concatenate([unsqueeze(counts.column("c")[i].as_buffer(), np.int64) for i in order.tolist()]).astype(np.float64)
         for block in Block.each(blocks.combine_chunks()):
@@ -292,7 +326,7 @@ def _scorer(model, mass: np.ndarray, room: np.ndarray):
                 hist = histories(block, np.arange(s, e))
                 for i in range(s, e, STEP):
                     j = min(i + STEP, e)
-                    score[i:j] += model.value.log_likelihood(hist[:, i - s : j - s], y[i:j]) / np.log(10)
+                    score[i:j] += own.log_likelihood(hist[:, i - s : j - s], y[i:j]) / np.log(10)
             add = lambda v, cut=block.first[:-1]: np.add.reduceat(v, cut)
             out.append(pa.table({
                 "doc_id": block.doc_id, "held_out": block.held.astype(bool), "n_tokens": np.diff(block.first), "n_known": add((c > 0).astype(np.int64)[block.tokens]),
